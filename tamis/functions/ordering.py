@@ -46,6 +46,7 @@ class Context:
     right: pa.Table | None = None  # up to k_right rows of the same group just after
     last_valid: dict = field(default_factory=dict)  # col -> (value, group position)
     next_valid: dict = field(default_factory=dict)  # col -> (value, group position)
+    sums0: dict = field(default_factory=dict)  # col -> total over all rows before the segment
 
 
 class Kernel:
@@ -55,6 +56,7 @@ class Kernel:
     k_right = 0
     context_cols: tuple[str, ...] = ()
     valid_cols: tuple[str, ...] = ()
+    sum_cols: tuple[str, ...] = ()  # columns whose running total before each segment is needed
 
     def output_fields(self, schema: StructType) -> list[StructField]:
         """Fields added (or replaced, by name) in the output."""
@@ -147,6 +149,7 @@ def ordered_scan(
     k_left, k_right = kernel.k_left, kernel.k_right
     ctx_cols = list(dict.fromkeys(kernel.context_cols))
     valid_cols = list(dict.fromkeys(kernel.valid_cols))
+    sum_cols = list(dict.fromkeys(kernel.sum_cols))
 
     def summarize(batches):
         tbl = _read_all(batches)
@@ -166,13 +169,14 @@ def ordered_scan(
                 "tail": last.select(ctx_cols).slice(max(0, last.num_rows - k_left)) if k_left else None,
                 "first_valid": {c: _first_valid(first.column(c)) for c in valid_cols},
                 "last_valid": {c: _last_valid(last.column(c)) for c in valid_cols},
+                "sums": {c: pc.sum(tbl.column(c)).as_py() or 0 for c in sum_cols},
             }
         payload = base64.b64encode(pickle.dumps(info)).decode("ascii")
         yield pa.RecordBatch.from_pydict({"pid": [pid], "payload": [payload]})
 
     rows = data.mapInArrow(summarize, "pid long, payload string").collect()
     infos = {r.pid: pickle.loads(base64.b64decode(r.payload)) for r in rows}
-    contexts = _chain(infos, k_left, k_right, valid_cols)
+    contexts = _chain(infos, k_left, k_right, valid_cols, sum_cols)
 
     out_fields = kernel.output_fields(data.schema)
     out_names = [f.name for f in out_fields]
@@ -186,12 +190,14 @@ def ordered_scan(
         if tbl is None or tbl.num_rows == 0:
             return
         pid = _partition_id()
-        lctx, rctx, gpos = ctx_blob.value[pid]
+        lctx, rctx, gpos, sums = ctx_blob.value[pid]
         segs = _segments(tbl, keys)
         pieces = []
+        local = {c: np.concatenate([[0], np.cumsum(tbl.column(c).to_numpy(zero_copy_only=False))]) for c in sum_cols}
         for i, (s, e) in enumerate(segs):
             seg = tbl.slice(s, e - s)
             ctx = Context(pos0=0, glen=e - s, gpos0=gpos + s)
+            ctx.sums0 = {c: sums[c] + local[c][s] for c in sum_cols}
             if i == 0 and lctx is not None:
                 ctx.pos0, ctx.left, ctx.last_valid = lctx["count"], lctx["tail"], lctx["last_valid"]
                 ctx.glen += lctx["count"]
@@ -211,7 +217,7 @@ def ordered_scan(
     return data.mapInArrow(run, out_schema)
 
 
-def _chain(infos: dict, k_left: int, k_right: int, valid_cols) -> dict:
+def _chain(infos: dict, k_left: int, k_right: int, valid_cols, sum_cols=()) -> dict:
     """Left/right contexts and global offsets per partition, from the summaries."""
     pids = sorted(infos)
     contexts = {}
@@ -219,10 +225,15 @@ def _chain(infos: dict, k_left: int, k_right: int, valid_cols) -> dict:
     run = None  # {"key", "count", "tail", "last_valid"}
     left = {}
     gpos, offsets = 0, {}
+    running = {c: 0 for c in sum_cols}
+    sums_before = {}
     for p in pids:
         info = infos[p]
         offsets[p] = gpos
         gpos += info["n"]
+        sums_before[p] = dict(running)
+        for c in sum_cols:
+            running[c] += info.get("sums", {}).get(c, 0)
         if info["n"] == 0:
             left[p] = None
             continue
@@ -265,7 +276,7 @@ def _chain(infos: dict, k_left: int, k_right: int, valid_cols) -> dict:
         else:
             run = {"key": info["first_key"], "count": info["first_len"], "head": info["head"], "next_valid": fv_local}
     for p in pids:
-        contexts[p] = (left.get(p), right.get(p), offsets[p])
+        contexts[p] = (left.get(p), right.get(p), offsets[p], sums_before[p])
     return contexts
 
 
@@ -466,27 +477,72 @@ class PositionKernel(Kernel):
         return out
 
 
-class AverageRankKernel(Kernel):
-    """1-based average rank of a value among all rows (ties share their mean rank).
+class CumulativeCountKernel(Kernel):
+    """Running total of ``weight`` before each row (``before``), over the ordered table."""
 
-    Run with ``partition_by=[value]``: each group is one tie run, possibly spread over
-    several partitions, and its rank is start + (size + 1) / 2.
-    """
-
-    def __init__(self, output):
-        self.output = output
+    def __init__(self, weight, output="__before"):
+        self.weight, self.output = weight, output
+        self.sum_cols = (weight,)
 
     def output_fields(self, schema):
-        from pyspark.sql.types import DoubleType
+        from pyspark.sql.types import LongType
 
-        return [StructField(self.output, DoubleType(), False)]
+        return [StructField(self.output, LongType(), False)]
 
     def apply(self, seg, ctx):
-        start = ctx.gpos0 - ctx.pos0
-        r = start + (ctx.glen + 1) / 2.0
-        return {self.output: pa.array(np.full(seg.num_rows, r, dtype=float))}
+        w = seg.column(self.weight).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = ctx.sums0[self.weight] + np.concatenate([[0], np.cumsum(w)[:-1]])
+        return {self.output: pa.array(before.astype(np.int64))}
+
+
+def value_counts_cumulative(df: DataFrame, column: str, num_partitions=None) -> DataFrame:
+    """(value, cnt, before): distinct non-null values in order with the rows before them.
+
+    Values are counted first (map-side combine), so a value repeated in a third of the
+    rows is one row here and cannot pin a range partition.
+    """
+    counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).agg(
+        F.count(F.lit(1)).alias("cnt")
+    )
+    return ordered_scan(counts, CumulativeCountKernel("cnt", "before"), ["value"], (), num_partitions)
 
 
 def average_rank(df: DataFrame, column: str, output: str, num_partitions=None) -> DataFrame:
-    """Average rank of ``column`` over the rows of ``df`` where it is not null."""
-    return ordered_scan(df.where(F.col(f"`{column}`").isNotNull()), AverageRankKernel(output), [], [column], num_partitions)
+    """1-based average rank of ``column`` among the non-null rows of ``df`` (ties share it)."""
+    ranks = value_counts_cumulative(df, column, num_partitions).select(
+        F.col("value").alias("__rv"), (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(output)
+    )
+    return df.join(ranks, F.col(f"`{column}`") == F.col("__rv"), "left").drop("__rv")
+
+
+def exact_quantiles(df: DataFrame, column: str, probs, num_partitions=None) -> list:
+    """Linear-interpolated quantiles (pandas/NumPy "linear"), exact and distributed.
+
+    No task ever holds the whole column: distinct values are counted, ordered by a range
+    partition and only the rows holding the wanted ranks reach the driver.
+    """
+    probs = list(probs)
+    vc = value_counts_cumulative(df, column, num_partitions)
+    n = vc.agg(F.sum("cnt")).first()[0]
+    if not n:
+        return [None for _ in probs]
+    ranks = sorted({r for p in probs for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
+    cond = None
+    for r in ranks:
+        c = (F.col("before") <= F.lit(r)) & (F.lit(r) < F.col("before") + F.col("cnt"))
+        cond = c if cond is None else cond | c
+    rows = vc.where(cond).select("value", "before", "cnt").collect()
+
+    def at(r):
+        for row in rows:
+            if row["before"] <= r < row["before"] + row["cnt"]:
+                return float(row["value"])
+        return None
+
+    out = []
+    for p in probs:
+        h = p * (n - 1)
+        lo, hi = int(np.floor(h)), int(np.ceil(h))
+        a, b = at(lo), at(hi)
+        out.append(a + (h - lo) * (b - a))
+    return out

@@ -1 +1,543 @@
-"""Feature builders (filled below)."""
+"""Feature builders: F1 polynomial, F2 datetime parts, F3 binning, F4 correlation selection,
+F6 feature families (numeric, categorical, datetime, text, clustering, PCA) and F5 the
+automated builder that plans them from one profile.
+
+Every builder fits with at most a few aggregations over all rows and adds its columns in
+one projection (no ``withColumn`` loops).
+"""
+
+from __future__ import annotations
+
+import math
+from itertools import combinations_with_replacement
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+
+from tamis.functions.fixed import DATETIME_PARTS
+from tamis.functions.stats import quantiles
+from tamis.operators.base import (
+    FittedStep,
+    Step,
+    StepError,
+    clamp,
+    col,
+    is_numeric,
+    one_row,
+    register_step,
+    unique_name,
+)
+from tamis.operators.dates import parse_timestamp
+
+
+def _select_with(d: DataFrame, new: dict[str, Column]) -> DataFrame:
+    return d.select(*[col(c) for c in d.columns], *[e.alias(n) for n, e in new.items()])
+
+
+# ---- F1 polynomial -------------------------------------------------------------------------
+
+
+def polynomial_terms(columns, degree):
+    """sklearn's order and names: by degree, then combinations with replacement."""
+    terms = []
+    for deg in range(2, degree + 1):
+        for combo in combinations_with_replacement(range(len(columns)), deg):
+            powers = {}
+            for i in combo:
+                powers[i] = powers.get(i, 0) + 1
+            name = " ".join(columns[i] if p == 1 else f"{columns[i]}^{p}" for i, p in sorted(powers.items()))
+            terms.append((name, combo))
+    return terms
+
+
+@register_step("create_polynomial_features")
+class PolynomialFeatures(Step):
+    required = ("columns", "degree")
+
+    def check_params(self):
+        if not isinstance(self.params["degree"], int) or self.params["degree"] < 1:
+            raise StepError("create_polynomial_features: 'degree' must be a positive integer")
+
+    def fit(self, df):
+        p = self.params
+        degree = clamp(int(p["degree"]), 1, 5)
+        cand = [c for c in p["columns"] if c in df.columns and is_numeric(df, c)]
+        if not cand:
+            return FittedStep(self.kind, p, {"columns": []})
+        row = one_row(df, *[F.var_samp(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cand)])
+        valid = [c for i, c in enumerate(cand) if row[f"v{i}"] is not None and not math.isnan(row[f"v{i}"]) and row[f"v{i}"] != 0]
+        if len(valid) > 10 and degree > 2:
+            raise StepError("create_polynomial_features: too many columns for degree > 2")
+        if not valid:
+            return FittedStep(self.kind, p, {"columns": []})
+        med = quantiles(df, valid, [0.5], p.get("quantile_method"))
+        filled = [F.coalesce(col(c).cast("double"), F.lit(med[c][0])) for c in valid]
+        terms = polynomial_terms(valid, degree)
+
+        def transform(d):
+            new = {}
+            names = list(d.columns)
+            for name, combo in terms:
+                e = filled[combo[0]]
+                for i in combo[1:]:
+                    e = e * filled[i]
+                n = unique_name(names, name)
+                names.append(n)
+                new[n] = e
+            return _select_with(d, new)
+
+        return FittedStep(self.kind, p, {"columns": valid, "medians": {c: med[c][0] for c in valid}}, transform,
+                          lineage={n: valid for n, _ in terms})
+
+
+# ---- F2 datetime parts -----------------------------------------------------------------------
+
+
+def datetime_part(ts: Column, part: str) -> Column:
+    return {
+        "year": F.year(ts),
+        "month": F.month(ts),
+        "day": F.dayofmonth(ts),
+        "hour": F.hour(ts),
+        "minute": F.minute(ts),
+        "second": F.second(ts),
+        "dayofweek": F.weekday(ts),  # Monday = 0, as pandas
+        "quarter": F.quarter(ts),
+    }[part]
+
+
+@register_step("extract_datetime_features")
+class DatetimeFeatures(Step):
+    required = ("columns", "features")
+
+    def check_params(self):
+        if not all(f in DATETIME_PARTS for f in self.params["features"]):
+            raise StepError("extract_datetime_features: invalid datetime features")
+
+    def fit(self, df):
+        p = self.params
+        feats = [f for f in p["features"] if f in DATETIME_PARTS]
+        cols = [c for c in p["columns"] if c in df.columns]
+        parsed = {c: parse_timestamp(df, c) for c in cols}
+
+        def transform(d):
+            names, new = list(d.columns), {}
+            for c in cols:
+                for f in feats:
+                    n = unique_name(names, f"{c}_{f}")
+                    names.append(n)
+                    new[n] = datetime_part(parsed[c], f)
+            return _select_with(d, new)
+
+        return FittedStep(self.kind, p, {}, transform)
+
+
+# ---- F3 binning ---------------------------------------------------------------------------
+
+
+def bin_code(x: Column, edges: list[float]) -> Column:
+    """pandas ``qcut``/``cut`` codes: intervals (a, b], the lowest edge included."""
+    inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]])
+    code = F.size(F.filter(inner, lambda e: e < x))
+    return F.when(x.isNotNull() & (x >= F.lit(float(edges[0]))) & (x <= F.lit(float(edges[-1]))), code)
+
+
+def quantile_edges(df, cols, bins, method=None):
+    probs = [i / bins for i in range(bins + 1)]
+    qs = quantiles(df, cols, probs, method)
+    out = {}
+    for c in cols:
+        if qs[c][0] is None:
+            continue
+        edges = sorted(set(qs[c]))
+        out[c] = edges
+    return out
+
+
+@register_step("bin_features")
+class BinFeatures(Step):
+    required = ("columns", "bins")
+
+    def check_params(self):
+        if not isinstance(self.params["bins"], int) or self.params["bins"] < 2:
+            raise StepError("bin_features: 'bins' must be an integer >= 2")
+
+    def fit(self, df):
+        p = self.params
+        bins = clamp(int(p["bins"]), 2, 50)
+        cand = [c for c in p["columns"] if c in df.columns and is_numeric(df, c)]
+        row = one_row(df, *[F.count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate(cand)],
+                      *[F.min(col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cand)],
+                      *[F.max(col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cand)]) if cand else None
+        valid = [c for i, c in enumerate(cand) if row[f"u{i}"] >= 2]
+        edges = quantile_edges(df, valid, bins, p.get("quantile_method"))
+        for i, c in enumerate(cand):
+            if c in valid and len(edges.get(c, [])) < 2:
+                mn, mx = row[f"mn{i}"], row[f"mx{i}"]
+                e = list(np.linspace(mn, mx, bins + 1))
+                e[0] = mn - (mx - mn) * 0.001
+                edges[c] = e
+
+        def transform(d):
+            names, new = list(d.columns), {}
+            for c in valid:
+                n = unique_name(names, f"{c}_binned")
+                names.append(n)
+                new[n] = bin_code(col(c).cast("double"), edges[c])
+            return _select_with(d, new)
+
+        return FittedStep(self.kind, p, {"edges": edges}, transform)
+
+
+# ---- F4 correlation selection ------------------------------------------------------------
+
+
+def variances(df, cols):
+    if not cols:
+        return {}
+    row = one_row(df, *[F.var_samp(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    return {c: row[f"v{i}"] for i, c in enumerate(cols)}
+
+
+def pearson_pairs(df, cols) -> dict:
+    """Pairwise-complete Pearson r for every pair, in one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    if not pairs:
+        return {}
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = col(a).cast("double"), col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        xs, ys = F.when(both, x), F.when(both, y)
+        aggs += [F.count(xs).alias(f"n{k}"), F.covar_samp(xs, ys).alias(f"c{k}"), F.var_samp(xs).alias(f"vx{k}"), F.var_samp(ys).alias(f"vy{k}")]
+    row = one_row(df, *aggs)
+    out = {}
+    for k, pr in enumerate(pairs):
+        c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
+        r = None
+        if c is not None and vx and vy and vx > 0 and vy > 0:
+            r = max(-1.0, min(1.0, c / math.sqrt(vx * vy)))
+        out[pr] = (r, row[f"n{k}"])
+    return out
+
+
+def correlated_to_drop(cols, corr: dict, threshold: float) -> list[str]:
+    drop = []
+    for j, b in enumerate(cols):
+        for a in cols[:j]:
+            r = corr.get((a, b), (None, 0))[0]
+            if r is not None and abs(r) > threshold:
+                drop.append(b)
+                break
+    return drop
+
+
+@register_step("select_features_correlation")
+class SelectFeaturesCorrelation(Step):
+    required = ("threshold",)
+
+    def check_params(self):
+        t = self.params["threshold"]
+        if not isinstance(t, (int, float)):
+            raise StepError("select_features_correlation: 'threshold' must be a number")
+
+    def fit(self, df):
+        p = self.params
+        thr = clamp(float(p["threshold"]), 0.1, 0.99)
+        nums = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)][:50]
+        var = variances(df, nums)
+        valid = [c for c in nums if var[c] is not None and not math.isnan(var[c]) and var[c] > 1e-10]
+        if len(valid) < 2:
+            return FittedStep(self.kind, p, {"dropped": []})
+        drop = correlated_to_drop(valid, pearson_pairs(df, valid), thr)
+        if len(drop) == len(df.columns):
+            raise StepError("select_features_correlation: cannot drop all columns")
+        return FittedStep(self.kind, p, {"dropped": drop}, lambda d: d.drop(*drop))
+
+
+# ---- F6 families -----------------------------------------------------------------------------
+
+
+def safe_denominator(x: Column) -> Column:
+    """|x| ≤ 1e-6 lifted to ±1e-6 (0 stays 0, as sign(0) = 0)."""
+    return F.when(F.abs(x) > 1e-6, x).otherwise(F.lit(1e-6) * F.signum(x))
+
+
+def numeric_family(df, profile: dict, budget: int, names: list) -> dict[str, Column]:
+    """F6a–e: log / sqrt by skew, reciprocal, z-scores, products and ratios."""
+    stats = profile["stats"]
+    hv = [c for c in profile["numeric_cols"] if stats[c].get("variance") is not None and stats[c]["variance"] > 1e-6]
+    new, count = {}, 0
+
+    def add(base, e):
+        nonlocal count
+        n = unique_name(names, base)
+        names.append(n)
+        new[n] = e
+        count += 1
+
+    for c in hv[:5]:
+        if count >= budget:
+            break
+        x = col(c).cast("double")
+        sk = stats[c].get("skewness") or 0
+        if sk > 1:
+            add(f"log_{c}", F.log1p(F.greatest(x, F.lit(0.0))))
+        if 0.5 < sk <= 1 and count < budget:
+            add(f"sqrt_{c}", F.sqrt(F.greatest(x, F.lit(0.0))))
+        if count < budget:
+            add(f"reciprocal_{c}", F.try_divide(F.lit(1.0), safe_denominator(x)))
+    if len(hv) >= 2:
+        for c in hv[:3]:
+            if count >= budget:
+                break
+            m, s = stats[c]["mean"], math.sqrt(stats[c]["variance"])
+            add(f"zscore_{c}", (col(c).cast("double") - F.lit(m)) / F.lit(s + 1e-8))
+    corr = profile.get("correlations", {})
+    inter = 0
+    for i, a in enumerate(hv):
+        for b in hv[i + 1 :]:
+            if count >= budget or inter >= 20:
+                break
+            r = corr.get((a, b), (None, 0))[0]
+            if r is not None and 0.3 <= abs(r) <= 0.8:
+                add(f"{a}_x_{b}", col(a).cast("double") * col(b).cast("double"))
+                inter += 1
+                if count < budget:
+                    add(f"{a}_div_{b}", F.try_divide(col(a).cast("double"), safe_denominator(col(b).cast("double"))))
+                    inter += 1
+    return new
+
+
+def categorical_family(df, profile, budget, names) -> dict[str, Column]:
+    """F6f: frequency, average rank of the frequency (1 = most frequent), top-3 indicators."""
+    cats = [c for c in profile["categorical_cols"] if c not in profile["high_cardinality_cols"]][:5]
+    new, count = {}, 0
+    for c in cats:
+        if count >= budget:
+            break
+        vc = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v IS NOT NULL").collect()
+        freq = {r["v"]: r["n"] for r in vc}
+        counts = sorted(freq.values(), reverse=True)
+        rank_of = {}
+        for n in set(counts):
+            first = counts.index(n) + 1
+            ties = counts.count(n)
+            rank_of[n] = first + (ties - 1) / 2.0
+        n1 = unique_name(names, f"freq_{c}")
+        names.append(n1)
+        m = F.create_map(*[F.lit(x) for kv in freq.items() for x in kv]) if freq else None
+        new[n1] = F.element_at(m, col(c)) if m is not None else F.lit(None)
+        count += 1
+        if count < budget and freq:
+            n2 = unique_name(names, f"rank_{c}")
+            names.append(n2)
+            rm = F.create_map(*[F.lit(x) for k, v in freq.items() for x in (k, rank_of[v])])
+            new[n2] = F.element_at(rm, col(c))
+            count += 1
+        if 3 <= profile["stats"][c]["unique_count"] <= 10:
+            top = sorted(freq.items(), key=lambda kv: (-kv[1], str(kv[0])))[:3]
+            for v, _ in top:
+                if count >= budget:
+                    break
+                n3 = unique_name(names, f"is_{c}_{str(v)[:10]}")
+                names.append(n3)
+                new[n3] = F.coalesce((col(c) == F.lit(v)).cast("int"), F.lit(0))
+                count += 1
+    return new
+
+
+def datetime_family(df, profile, budget, names) -> dict[str, Column]:
+    """F6g: parts, weekend and month-end flags, cyclic month, epoch seconds."""
+    new, count = {}, 0
+    for c in profile["datetime_cols"][:3]:
+        ts = parse_timestamp(df, c)
+        items = [(f"{c}_{f}", datetime_part(ts, f)) for f in ("year", "month", "day", "dayofweek", "hour", "quarter")]
+        items += [
+            (f"{c}_is_weekend", (F.weekday(ts) >= 5).cast("int")),
+            (f"{c}_is_month_end", (F.to_date(ts) == F.last_day(ts)).cast("int")),
+        ]
+        for base, e in items:
+            if count >= budget:
+                break
+            n = unique_name(names, base)
+            names.append(n)
+            new[n] = e
+            count += 1
+        if count < budget - 1:
+            for base, fn in ((f"{c}_month_sin", F.sin), (f"{c}_month_cos", F.cos)):
+                n = unique_name(names, base)
+                names.append(n)
+                new[n] = fn(F.lit(2 * math.pi) * F.month(ts) / 12)
+            count += 2
+        if count < budget:
+            n = unique_name(names, f"{c}_timestamp")
+            names.append(n)
+            new[n] = F.unix_seconds(ts.cast("timestamp"))
+            count += 1
+    return new
+
+
+def text_family(df, profile, budget, names) -> dict[str, Column]:
+    """F6h: length, word count, digit count, special count, mean word length."""
+    new, count = {}, 0
+    for c in profile["text_cols"][:2]:
+        s = F.coalesce(col(c).cast("string"), F.lit(""))
+        words = F.filter(F.split(F.trim(s), r"\s+"), lambda w: F.char_length(w) > 0)
+        items = [
+            (f"len_{c}", F.char_length(s)),
+            (f"word_count_{c}", F.size(words)),
+            (f"digit_count_{c}", F.regexp_count(s, F.lit(r"\d"))),
+            (f"special_char_count_{c}", F.regexp_count(s, F.lit(r"[^a-zA-Z0-9\s]"))),
+            (
+                f"avg_word_length_{c}",
+                F.when(F.size(words) > 0, F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)) / F.size(words)).otherwise(F.lit(0.0)),
+            ),
+        ]
+        for base, e in items:
+            if count >= budget:
+                break
+            n = unique_name(names, base)
+            names.append(n)
+            new[n] = e
+            count += 1
+    return new
+
+
+def standardized_inputs(df, cols, method=None):
+    med = quantiles(df, cols, [0.5], method)
+    filled = df.select(*[F.coalesce(col(c).cast("double"), F.lit(med[c][0] if med[c][0] is not None else 0.0)).alias(c) for c in cols])
+    row = one_row(filled, *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    mean = [row[f"m{i}"] for i in range(len(cols))]
+    std = [row[f"s{i}"] or 1.0 for i in range(len(cols))]
+    exprs = [
+        (F.coalesce(col(c).cast("double"), F.lit(med[c][0] if med[c][0] is not None else 0.0)) - F.lit(mean[i])) / F.lit(std[i] if std[i] else 1.0)
+        for i, c in enumerate(cols)
+    ]
+    return exprs
+
+
+def clustering_family(df, profile, budget, names, n_rows=None) -> dict[str, Column]:
+    """F6i: k-means label and distance to the nearest centre (standardised, median-filled)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    stats = profile["stats"]
+    cols = [c for c in profile["numeric_cols"] if stats[c].get("variance") is not None and stats[c]["variance"] > 1e-6]
+    if len(cols) < 2 or budget < 1:
+        return {}
+    n_rows = n_rows or profile["rows"]
+    k = min(5, max(2, n_rows // 1000))
+    exprs = standardized_inputs(df, cols)
+    z = df.select(*[e.alias(f"__z{i}") for i, e in enumerate(exprs)])
+    va = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(cols))], outputCol="__v")
+    model = KMeans(k=k, seed=42, featuresCol="__v", maxIter=50).fit(va.transform(z))
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    d2 = [sum((exprs[j] - F.lit(cen[j])) * (exprs[j] - F.lit(cen[j])) for j in range(len(cols))) for cen in centres]
+    best = F.least(*d2) if len(d2) > 1 else d2[0]
+    label = None
+    for i in reversed(range(len(d2))):
+        label = F.when(d2[i] == best, F.lit(i)) if label is None else F.when(d2[i] == best, F.lit(i)).otherwise(label)
+    new = {}
+    n1 = unique_name(names, "cluster_kmeans")
+    names.append(n1)
+    new[n1] = label
+    if budget > 1:
+        n2 = unique_name(names, "cluster_distance")
+        names.append(n2)
+        new[n2] = F.sqrt(best)
+    return new
+
+
+def pca_family(df, profile, budget, names) -> dict[str, Column]:
+    """F6j: up to 5 principal components of the standardised numeric columns.
+
+    The covariance matrix is one aggregation (d ≤ 50 columns, so d² sums); the
+    eigen-decomposition of that d×d matrix runs on the driver. Signs follow the rule
+    "largest loading positive".
+    """
+    stats = profile["stats"]
+    cols = [c for c in profile["numeric_cols"] if stats[c].get("variance") is not None and stats[c]["variance"] > 1e-6][:50]
+    if len(cols) < 3:
+        return {}
+    k = min(budget, len(cols), 5)
+    exprs = standardized_inputs(df, cols)
+    z = df.select(*[e.alias(f"__z{i}") for i, e in enumerate(exprs)])
+    d = len(cols)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(d):
+        for j in range(i, d):
+            aggs.append(F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"s{i}_{j}"))
+    row = one_row(z, *aggs)
+    n = row["n"]
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / max(n - 1, 1)
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:k]
+    new = {}
+    for rank, idx in enumerate(order):
+        v = vecs[:, idx]
+        if v[np.argmax(np.abs(v))] < 0:
+            v = -v
+        n_ = unique_name(names, f"pca_component_{rank + 1}")
+        names.append(n_)
+        new[n_] = sum(exprs[j] * F.lit(float(v[j])) for j in range(d))
+    return new
+
+
+# ---- F5 automated --------------------------------------------------------------------------
+
+
+@register_step("automated_feature_engineering")
+class AutomatedFeatures(Step):
+    """Plan feature families from one profile, add them in one projection, then prune
+    near-constant and highly correlated new features (F6k, F6l)."""
+
+    required = ("max_features",)
+
+    def fit(self, df):
+        from tamis.operators.profile import analyze_dataset_advanced
+
+        p = self.params
+        budget = clamp(int(p["max_features"]), 5, 500)
+        prof = analyze_dataset_advanced(df, as_dict=True)
+        names = list(df.columns)
+        new = {}
+        plan = [
+            (numeric_family, int(budget * 0.4)),
+            (categorical_family, int(budget * 0.25)),
+            (datetime_family, int(budget * 0.2)),
+            (text_family, int(budget * 0.1)),
+        ]
+        for fn, b in plan:
+            if b > 0:
+                new.update(fn(df, prof, b, names))
+        rest = budget - len(new)
+        if rest > 0 and p.get("clustering", True):
+            new.update(clustering_family(df, prof, min(rest, 2), names))
+        rest = budget - len(new)
+        if rest > 0 and p.get("pca", True):
+            new.update(pca_family(df, prof, min(rest, 5), names))
+        if not new:
+            return FittedStep(self.kind, p, {"features": []})
+        wide = _select_with(df, new)
+        var = variances(wide, list(new))
+        keep = [c for c in new if var[c] is not None and not math.isnan(var[c]) and var[c] >= 1e-6]
+        drop = correlated_to_drop(keep, pearson_pairs(wide, keep), 0.95) if len(keep) > 1 else []
+        keep = [c for c in keep if c not in drop]
+        final = {c: new[c] for c in keep}
+        return FittedStep(self.kind, p, {"features": keep}, lambda d: _select_with(d, final))
+
+
+def skew_candidates(df, cols) -> list:
+    """F7 helper: sample-corrected skewness (pandas ``skew``) per column."""
+    row = one_row(df, *[F.skewness(col(c)).alias(f"s{i}") for i, c in enumerate(cols)], *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+    out = {}
+    for i, c in enumerate(cols):
+        g, n = row[f"s{i}"], row[f"n{i}"]
+        out[c] = g * math.sqrt(n * (n - 1)) / (n - 2) if g is not None and n and n > 2 else None
+    return out

@@ -83,6 +83,11 @@ class Impute(Step):
         if s == "constant":
             v = parse_constant(self.params.get("constant_value"))
             return {c: v for c in cols}
+        if s == "median":
+            from tamis.functions.stats import quantiles
+
+            q = quantiles(df, cols, [0.5], self.params.get("quantile_method"))
+            return {c: q[c][0] for c in cols}
         aggs = []
         for i, c in enumerate(cols):
             if s == "mean":

@@ -49,14 +49,16 @@ class Scale(Step):
                 aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
             elif m == "minmax":
                 aggs += [F.min(x).alias(f"a{i}"), (F.max(x) - F.min(x)).alias(f"b{i}")]
-            else:
-                aggs += [F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}")]
-        row = one_row(df, *aggs).asDict()
+        row = one_row(df, *aggs).asDict() if aggs else {}
+        if m == "robust":
+            from tamis.functions.stats import quantiles
+
+            qs = quantiles(df, cols, [0.25, 0.5, 0.75], p.get("quantile_method"))
         params = {}
         for i, c in enumerate(cols):
             if m == "robust":
-                q = row[f"q{i}"]
-                a, b = (q[1], q[2] - q[0]) if q else (None, None)
+                q = qs[c]
+                a, b = (q[1], q[2] - q[0]) if q[0] is not None else (None, None)
             else:
                 a, b = row[f"a{i}"], row[f"b{i}"]
             if b is None or b == 0 or (isinstance(b, float) and math.isnan(b)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.functions.exprs import clip
+from tamis.functions.stats import quantiles
 from tamis.operators.base import FittedStep, Step, StepError, clamp, col, one_row, register_step, replace_columns
 
 
@@ -21,10 +22,10 @@ class Outliers(Step):
         cols, k = list(p["columns"]), clamp(float(p.get("factor", 1.5)), 0.1, 10.0)
         exprs, state = {}, {}
         if p["method"] == "iqr":
-            row = one_row(df, *[F.percentile(col(c).cast("double"), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)])
-            for i, c in enumerate(cols):
-                q = row[f"q{i}"]
-                if not q:
+            qs = quantiles(df, cols, [0.25, 0.75], p.get("quantile_method"))
+            for c in cols:
+                q = qs[c]
+                if q[0] is None:
                     continue
                 lo, hi = q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
                 exprs[c] = clip(col(c).cast("double"), lo, hi)

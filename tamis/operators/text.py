@@ -61,3 +61,28 @@ class CleanText(Step):
         lemmas = p.get("lemmas") if p.get("lemmatize", bool(p.get("lemmas"))) else None
         e = clean_text_expr(col(c), bool(p.get("remove_stopwords", False)), lemmas)
         return FittedStep(self.kind, p, {}, lambda d: replace_columns(d, {c: e}))
+
+
+def extract_domain_expr(x: Column) -> Column:
+    """Authority of the URL (user info and port kept), lower-cased.
+
+    A missing or blank value gives ""; a value without ``http(s)://`` gets ``http://``;
+    an authority without a dot (or over 253 characters) returns the prefixed text.
+    """
+    s = F.regexp_replace(x.cast("string"), r"^\s+|\s+$", "")
+    u = F.when(s.startswith("http://") | s.startswith("https://"), s).otherwise(F.concat(F.lit("http://"), s))
+    dom = F.lower(F.regexp_extract(u, r"^https?://([^/?#]*)", 1))
+    return (
+        F.when(x.isNull() | (s == ""), F.lit(""))
+        .when(~dom.contains(".") | (F.char_length(dom) > 253), u)
+        .otherwise(dom)
+    )
+
+
+@register_step("extract_domain")
+class ExtractDomain(Step):
+    required = ("column",)
+
+    def fit(self, df: DataFrame) -> FittedStep:
+        c = self.params["column"]
+        return FittedStep(self.kind, self.params, {}, lambda d: replace_columns(d, {c: extract_domain_expr(col(c))}))
