@@ -67,17 +67,13 @@ def add_expression_column(df: DataFrame, expression: str, new_col: str) -> DataF
     used = {a or b for a, b in idents} - names
     if not any(u in df.columns for u in used):
         raise StepError("expression must use at least one existing column")
-    e = expression
-    e = re.sub(r"(?<![A-Za-z0-9_])log10\s*\(", "tamis_log10(", e)
-    # map the listed functions onto NULL-safe Spark forms
-    e = e.replace("tamis_log10(", "log10(")
-    parsed = F.expr(_safe_division(e))
+    parsed = F.expr(_safe_division(expression))
     return df.withColumn(new_col, parsed)
 
 
 def _safe_division(e: str) -> str:
     """Rewrite ``a / b`` into ``try_divide(a, b)`` for simple operands."""
-    operand = r"(`[^`]+`|[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|\([^()]*\))"
+    operand = r"((?:[A-Za-z_][A-Za-z0-9_]*\s*)?\([^()]*\)|`[^`]+`|[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?)"
     prev = None
     while prev != e:
         prev = e
