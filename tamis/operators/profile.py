@@ -65,13 +65,15 @@ def compute_basic_stats(df: DataFrame, method: str | None = None) -> dict:
     n = df.count()
     miss = missing_summary(df).orderBy(F.desc("missing"), "ord").collect()
     lengths = one_row(df, *[F.avg(F.octet_length(col(f.name))).alias(f"l{i}") for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, StringType)] or [F.lit(0).alias("none")]).asDict()
+    # Bytes per value of fixed-width types.
+    widths = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "boolean": 1, "date": 4,
+              "timestamp": 8, "timestamp_ntz": 8}
     mem = 0.0
-    j = 0
     for i, f in enumerate(df.schema.fields):
         if isinstance(f.dataType, StringType):
             mem += (lengths.get(f"l{i}") or 0) * n
         else:
-            mem += f.dataType.defaultSize() * n
+            mem += widths.get(f.dataType.simpleString(), 16) * n
     return {
         "rows": n,
         "columns": len(df.columns),
