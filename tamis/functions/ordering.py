@@ -47,6 +47,7 @@ class Context:
     last_valid: dict = field(default_factory=dict)  # col -> (value, group position)
     next_valid: dict = field(default_factory=dict)  # col -> (value, group position)
     sums0: dict = field(default_factory=dict)  # col -> total over all rows before the segment
+    gsums0: dict = field(default_factory=dict)  # col -> total over the group's rows before the segment
 
 
 class Kernel:
@@ -170,6 +171,7 @@ def ordered_scan(
                 "first_valid": {c: _first_valid(first.column(c)) for c in valid_cols},
                 "last_valid": {c: _last_valid(last.column(c)) for c in valid_cols},
                 "sums": {c: pc.sum(tbl.column(c)).as_py() or 0 for c in sum_cols},
+                "last_sums": {c: pc.sum(last.column(c)).as_py() or 0 for c in sum_cols},
             }
         payload = base64.b64encode(pickle.dumps(info)).decode("ascii")
         yield pa.RecordBatch.from_pydict({"pid": [pid], "payload": [payload]})
@@ -198,8 +200,10 @@ def ordered_scan(
             seg = tbl.slice(s, e - s)
             ctx = Context(pos0=0, glen=e - s, gpos0=gpos + s)
             ctx.sums0 = {c: sums[c] + local[c][s] for c in sum_cols}
+            ctx.gsums0 = {c: 0 for c in sum_cols}
             if i == 0 and lctx is not None:
                 ctx.pos0, ctx.left, ctx.last_valid = lctx["count"], lctx["tail"], lctx["last_valid"]
+                ctx.gsums0 = dict(lctx.get("sums", ctx.gsums0))
                 ctx.glen += lctx["count"]
             if i == len(segs) - 1 and rctx is not None:
                 ctx.right = rctx["head"]
@@ -239,7 +243,9 @@ def _chain(infos: dict, k_left: int, k_right: int, valid_cols, sum_cols=()) -> d
             continue
         cont = run is not None and run["key"] == info["first_key"]
         left[p] = (
-            {"count": run["count"], "tail": run["tail"], "last_valid": dict(run["last_valid"])} if cont else None
+            {"count": run["count"], "tail": run["tail"], "last_valid": dict(run["last_valid"]), "sums": dict(run["sums"])}
+            if cont
+            else None
         )
         single = info["first_key"] == info["last_key"] and info["first_len"] == info["n"]
         lv_local = {c: v for c, v in info["last_valid"].items() if v is not None}
@@ -249,9 +255,11 @@ def _chain(infos: dict, k_left: int, k_right: int, valid_cols, sum_cols=()) -> d
             tail = _concat(run["tail"], info["tail"]) if k_left else None
             if tail is not None:
                 tail = tail.slice(max(0, tail.num_rows - k_left))
-            run = {"key": info["last_key"], "count": run["count"] + info["n"], "tail": tail, "last_valid": lv}
+            gs = {c: run["sums"].get(c, 0) + info["sums"].get(c, 0) for c in sum_cols}
+            run = {"key": info["last_key"], "count": run["count"] + info["n"], "tail": tail, "last_valid": lv, "sums": gs}
         else:
-            run = {"key": info["last_key"], "count": info["last_len"], "tail": info["tail"], "last_valid": lv_local}
+            run = {"key": info["last_key"], "count": info["last_len"], "tail": info["tail"], "last_valid": lv_local,
+                   "sums": dict(info.get("last_sums", {}))}
     # right to left
     run = None  # {"key", "count", "head", "next_valid"} ; next_valid offsets from start of "after"
     right = {}
@@ -495,6 +503,24 @@ class CumulativeCountKernel(Kernel):
         return {self.output: pa.array(before.astype(np.int64))}
 
 
+class GroupCumulativeKernel(Kernel):
+    """Running total of ``weight`` before each row inside its group."""
+
+    def __init__(self, weight, output="before"):
+        self.weight, self.output = weight, output
+        self.sum_cols = (weight,)
+
+    def output_fields(self, schema):
+        from pyspark.sql.types import LongType
+
+        return [StructField(self.output, LongType(), False)]
+
+    def apply(self, seg, ctx):
+        w = seg.column(self.weight).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = ctx.gsums0[self.weight] + np.concatenate([[0], np.cumsum(w)[:-1]])
+        return {self.output: pa.array(before.astype(np.int64))}
+
+
 def value_counts_cumulative(df: DataFrame, column: str, num_partitions=None) -> DataFrame:
     """(value, cnt, before): distinct non-null values in order with the rows before them.
 
@@ -515,34 +541,59 @@ def average_rank(df: DataFrame, column: str, output: str, num_partitions=None) -
     return df.join(ranks, F.col(f"`{column}`") == F.col("__rv"), "left").drop("__rv")
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, num_partitions=None) -> list:
-    """Linear-interpolated quantiles (pandas/NumPy "linear"), exact and distributed.
+def exact_quantiles_multi(df: DataFrame, columns, probs, num_partitions=None) -> dict:
+    """Linear-interpolated quantiles (pandas/NumPy "linear") of several columns, exact.
 
-    No task ever holds the whole column: distinct values are counted, ordered by a range
-    partition and only the rows holding the wanted ranks reach the driver.
+    One job for all columns: values are unpivoted to (column index, value), counted
+    (map-side combine), range-partitioned by (column, value) and scanned for running
+    counts; only the rows holding the wanted ranks reach the driver. No task ever holds
+    a whole column.
     """
-    probs = list(probs)
-    vc = value_counts_cumulative(df, column, num_partitions)
-    n = vc.agg(F.sum("cnt")).first()[0]
-    if not n:
-        return [None for _ in probs]
-    ranks = sorted({r for p in probs for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
+    columns, probs = list(columns), list(probs)
+    if not columns:
+        return {}
+    stacked = df.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("r")
+    ).select("r.ci", "r.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = stacked.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    scanned = ordered_scan(counts, GroupCumulativeKernel("cnt", "before"), ["v"], ["ci"], num_partitions)
+    totals = {r["ci"]: r["n"] for r in counts.groupBy("ci").agg(F.sum("cnt").alias("n")).collect()}
+    wanted = {}
     cond = None
-    for r in ranks:
-        c = (F.col("before") <= F.lit(r)) & (F.lit(r) < F.col("before") + F.col("cnt"))
-        cond = c if cond is None else cond | c
-    rows = vc.where(cond).select("value", "before", "cnt").collect()
-
-    def at(r):
-        for row in rows:
-            if row["before"] <= r < row["before"] + row["cnt"]:
-                return float(row["value"])
-        return None
-
-    out = []
-    for p in probs:
-        h = p * (n - 1)
-        lo, hi = int(np.floor(h)), int(np.ceil(h))
-        a, b = at(lo), at(hi)
-        out.append(a + (h - lo) * (b - a))
+    for i in range(len(columns)):
+        n = totals.get(i)
+        if not n:
+            continue
+        ranks = sorted({r for p in probs for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
+        wanted[i] = ranks
+        for r in ranks:
+            c = (F.col("ci") == i) & (F.col("before") <= F.lit(r)) & (F.lit(r) < F.col("before") + F.col("cnt"))
+            cond = c if cond is None else cond | c
+    rows = scanned.where(cond).select("ci", "v", "before", "cnt").collect() if cond is not None else []
+    out = {}
+    for i, c in enumerate(columns):
+        n = totals.get(i)
+        if not n:
+            out[c] = [None for _ in probs]
+            continue
+        mine = [r for r in rows if r["ci"] == i]
+
+        def at(rank):
+            for row in mine:
+                if row["before"] <= rank < row["before"] + row["cnt"]:
+                    return float(row["v"])
+            return None
+
+        vals = []
+        for p in probs:
+            h = p * (n - 1)
+            lo, hi = int(np.floor(h)), int(np.ceil(h))
+            a, b = at(lo), at(hi)
+            vals.append(a + (h - lo) * (b - a))
+        out[c] = vals
     return out
+
+
+def exact_quantiles(df: DataFrame, column: str, probs, num_partitions=None) -> list:
+    """Exact linear-interpolated quantiles of one column (see ``exact_quantiles_multi``)."""
+    return exact_quantiles_multi(df, [column], probs, num_partitions)[column]

@@ -41,8 +41,8 @@ def tokens_expr(x: Column, pattern: str = TOKEN_PATTERN) -> Column:
 def clean_text_expr(x: Column, remove_stopwords=False, lemmas: dict | None = None) -> Column:
     toks = tokens_expr(x)
     if remove_stopwords:
-        stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t) & (F.char_length(t) > 1))
+        # a literal IN list becomes a hash-set lookup (InSet) inside the lambda
+        toks = F.filter(toks, lambda t: ~t.isin(*ENGLISH_STOP_WORDS) & (F.char_length(t) > 1))
     if lemmas:
         m = F.create_map(*[F.lit(v) for kv in sorted(lemmas.items()) for v in kv])
         toks = F.transform(toks, lambda t: F.coalesce(F.element_at(m, t), t))

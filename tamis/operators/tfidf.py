@@ -23,8 +23,7 @@ from tamis.operators.base import FittedStep, Step, StepError, clamp, col, regist
 
 def tfidf_tokens(x):
     toks = F.regexp_extract_all(F.lower(F.coalesce(x.cast("string"), F.lit(""))), F.lit(TFIDF_TOKEN_PATTERN), 0)
-    stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    return F.filter(toks, lambda t: ~t.isin(*ENGLISH_STOP_WORDS))
 
 
 def fit_vocabulary(df: DataFrame, column: str, max_features=100, min_df=2, max_df=0.95) -> tuple[DataFrame, int]:
