@@ -1456,7 +1456,71 @@ def q_forest(spark, sf):
 # ---- R recommendations ---------------------------------------------------------------------------------------
 
 
-@_query("recommendations")
+_REC_COLS = [
+    ("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "str"),
+    ("o_totalprice", "float"), ("o_orderdate", "str"), ("o_orderpriority", "str"),
+]
+
+
+def _recommend_sql():
+    parts = []
+    seq = [0]
+
+    def add(typ, c, sev, prio, value, src, cond):
+        cs = "NULL" if c is None else f"'{c}'"
+        parts.append(
+            f"SELECT {seq[0]} AS seq, '{typ}' AS type, {cs} AS \"column\", '{sev}' AS severity, {prio}::DOUBLE AS priority, "
+            f"CAST({value} AS DOUBLE) AS value FROM ({src}) WHERE {cond}"
+        )
+        seq[0] += 1
+
+    nrows = "(SELECT count(*) FROM orders_missing)"
+    for c, _ in _REC_COLS:  # R1
+        add("missing_data", c, "high", 0.9, "(n - k) / n", f"SELECT count(*) AS n, count({c}) AS k FROM orders_missing", "(n - k) / n > 0.1")
+    for c, t in _REC_COLS:  # R2
+        if t == "str":
+            continue
+        src = (f"SELECT k, s, (SELECT count(*) FROM orders_missing, (SELECT avg({c}) AS m2, stddev_pop({c}) AS s2 FROM orders_missing) "
+               f"WHERE s2 > 0 AND abs(({c} - m2) / s2) > 3) AS o FROM (SELECT count({c}) AS k, stddev_pop({c}) AS s FROM orders_missing)")
+        add("outliers", c, "medium", 0.7, "o", src, f"k >= 2 AND s > 0 AND o > {nrows} * 0.05")
+    for c, t in _REC_COLS:  # R3–R7
+        if t != "str":
+            continue
+        vc = f"SELECT CAST({c} AS VARCHAR) AS v, count(*) AS k FROM orders_missing WHERE {c} IS NOT NULL GROUP BY 1"
+        src = (f"SELECT sum(k) AS t, max(k) AS mx, min(k) AS mn, count(CASE WHEN k / (SELECT sum(k) FROM ({vc})) < 0.01 THEN 1 END) AS rare, "
+               f"(SELECT count(DISTINCT {c}) FROM orders_missing) AS u FROM ({vc})")
+        add("bias_risk", c, "medium", 0.8, "mx / t", src, "t IS NOT NULL AND mx / t > 0.8")
+        add("class_imbalance", c, "high", 0.8, "mn / t", src, "t IS NOT NULL AND mn / t < 0.05")
+        add("constant_category", c, "medium", 0.6, "mx / t", src, "t IS NOT NULL AND mx / t > 0.99")
+        add("rare_categories", c, "low", 0.5, "rare", src, "t IS NOT NULL AND rare > 0")
+        add("high_cardinality", c, "medium", 0.7, "u", src, f"t IS NOT NULL AND (u > {nrows} * 0.1 OR u > 50)")
+    add("duplicates", None, "medium", 0.6, "d", f"SELECT {nrows} - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_missing)) AS d", f"d > {nrows} * 0.01")
+    for c, t in _REC_COLS:  # R10
+        if t == "int":
+            add("numeric_to_categorical", c, "low", 0.5, "u", f"SELECT count(DISTINCT {c}) AS u FROM orders_missing", "u <= 20")
+    for c, t in _REC_COLS:  # R11
+        if t == "str":
+            continue
+        mom = (f"SELECT avg(power({c} - m, 2)) AS m2, avg(power({c} - m, 3)) AS m3 FROM orders_missing, "
+               f"(SELECT avg({c}) AS m FROM orders_missing) WHERE {c} IS NOT NULL")
+        add("high_skew", c, "medium", 0.7, "m3 / power(m2, 1.5)", mom, "m2 > 0 AND abs(m3 / power(m2, 1.5)) > 2")
+    for c, t in _REC_COLS:  # R12
+        if t == "str":
+            continue
+        add("boolean_disguised", c, "low", 0.5, "NULL", f"SELECT bool_and({c} IN (0, 1)) AS b, count({c}) AS k FROM orders_missing", "k > 0 AND b")
+    for c, t in _REC_COLS:  # R13
+        if t == "str":
+            continue
+        add("wide_numeric_range", c, "medium", 0.6, "r", f"SELECT max({c}) - min({c}) AS r FROM orders_missing", "r > 1e6")
+    body = " UNION ALL ".join(parts)
+    return with_views(
+        f""", f AS ({body})
+        SELECT (row_number() OVER (ORDER BY priority DESC, seq) - 1)::INTEGER AS rank, type, "column", severity, priority, round(value, 6) AS value FROM f""",
+        "orders_missing",
+    )
+
+
+@_query("recommendations", _recommend_sql())
 def q_recommendations(spark, sf):
     _prep(spark)
     from tamis.plans.recommend import analyze_dataset
