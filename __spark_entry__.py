@@ -1453,6 +1453,25 @@ def q_forest(spark, sf):
     return forest_importance(label_docs(spark, sf), "toxic", ["n_chars", "quality", "doc_id"], trees=20)
 
 
+@_query("feature_impact")
+def q_feature_impact(spark, sf):
+    _prep(spark)
+    from tamis.operators.importance import evaluate_features
+
+    d = label_docs(spark, sf).withColumn("len_x_quality", F.col("n_chars") * F.col("quality"))
+    r = evaluate_features(d, "toxic", ["n_chars"], ["quality", "len_x_quality"])
+    return spark.createDataFrame([(r["metric"], r["before"], r["after"], r["improvement"])], "metric string, before double, after double, improvement double")
+
+
+@_query("feature_preview")
+def q_feature_preview(spark, sf):
+    _prep(spark)
+    from tamis.operators.features import batch_feature_preview
+
+    d = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return batch_feature_preview(d)
+
+
 # ---- R recommendations ---------------------------------------------------------------------------------------
 
 

@@ -78,3 +78,28 @@ def test_query_surface(spark, sf):
         add_expression_column(o, "system(o_totalprice)", "x")
     z = add_expression_column(o, "o_totalprice / (o_custkey - o_custkey)", "z")
     assert z.where("z IS NOT NULL").count() == 0
+
+
+def test_preview_pipeline_and_rule_helpers(spark, sf):
+    from tamis.plans.pipeline import preview_pipeline
+    from tamis.plans.recommend import filter_priority, smart_feature_rules
+
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    res = preview_pipeline(o, [{"kind": "drop_missing", "params": {"axis": "columns", "columns": ["o_custkey"]}}], n=100, key_columns=["o_orderkey"])
+    assert res["sample"].count() == 100 and res["delta"]["removed_columns"] == ["o_custkey"]
+    recs = [{"priority": 0.9}, {"priority": 0.8}, {"priority": 0.6}, {"priority": 0.5}]
+    assert len(filter_priority(recs, "high")) == 2 and len(filter_priority(recs, "medium")) == 2 and len(filter_priority(recs, "low")) == 2
+    rules = smart_feature_rules(spark.read.parquet(f"{sf}/events.parquet"))
+    assert 0 < len(rules) <= 8
+
+
+def test_clean_text_lemmas_and_feature_preview(spark, sf):
+    from tamis.operators.features import batch_feature_preview
+    from tamis.plans.pipeline import make_step
+
+    df = spark.createDataFrame([("The Cats were running!",), (None,)], "t string")
+    out = make_step({"kind": "clean_text", "params": {"column": "t", "remove_stopwords": True, "lemmas": {"cats": "cat", "running": "run"}}}).fit_transform(df)
+    assert [r.t for r in out.collect()] == ["cat run", ""]
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
+    cols = batch_feature_preview(o).columns
+    assert "o_orderkey o_totalprice" in cols and "o_orderdate_year" in cols and "o_totalprice_binned" in cols
