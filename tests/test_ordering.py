@@ -86,3 +86,20 @@ def test_empty_and_single_row(spark):
     one = spark.createDataFrame([(1, None)], "t long, v double")
     assert ordered_scan(one, InterpolateKernel(["v"]), ["t"]).first()["v"] is None
     assert exact_quantiles(empty, "v", [0.5]) == [None]
+
+
+def test_bracketed_quantiles_large_path(spark, sf, monkeypatch):
+    """Force the histogram-bracketing path (used above SMALL_EXACT_ROWS) and compare."""
+    from tamis.functions import stats
+
+    monkeypatch.setattr(stats, "SMALL_EXACT_ROWS", 0)
+    monkeypatch.setattr(stats, "COLLECT_MAX", 500)
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cols = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"]
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = stats.bracketed_quantiles(li, cols, probs)
+    pdf = li.select(*cols).toPandas()
+    for c in cols:
+        assert np.allclose(got[c], pdf[c].quantile(probs).to_numpy()), c
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert stats.bracketed_quantiles(empty, ["x"], [0.5]) == {"x": [None]}
