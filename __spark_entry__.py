@@ -1383,6 +1383,22 @@ def q_highcorr(spark, sf):
     return h.select("feature1", "feature2", r6(F.col("correlation")).alias("correlation"))
 
 
+@_query(
+    "kendall_tau",
+    """WITH d AS (SELECT row_number() OVER () AS i, CAST(user_id AS DOUBLE) AS x, value AS y FROM events
+                 WHERE user_id IS NOT NULL AND value IS NOT NULL),
+       p AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS tx,
+                    sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS ty, count(*) AS n0 FROM d a JOIN d b ON a.i < b.i)
+       SELECT round(s / sqrt((n0 - tx) * (n0 - ty)), 6) AS tau, (SELECT count(*) FROM d) AS n FROM p""",
+)
+def q_kendall(spark, sf):
+    _prep(spark)
+    from tamis.operators.correlation import kendall_tau_b
+
+    tau, n, _ = kendall_tau_b(_t(spark, sf, "events"), "user_id", "value")
+    return spark.createDataFrame([(round(tau, 6), n)], "tau double, n long")
+
+
 @_query("significant_pairs")
 def q_significant(spark, sf):
     _prep(spark)

@@ -1,5 +1,5 @@
-"""Correlation profiles: A7 Pearson / Spearman matrices with p-values and significant
-pairs, A8 heatmap data, A11 high-correlation pairs.
+"""Correlation profiles: A7 Pearson / Spearman / Kendall matrices with p-values and
+significant pairs, A8 heatmap data, A11 high-correlation pairs.
 
 Pearson needs one aggregation for every pair (pairwise-complete rows). Spearman ranks
 each column with tie-averaged ranks computed by an ordered scan over counted distinct
@@ -107,3 +107,53 @@ def high_correlation_pairs(df: DataFrame, columns=None, threshold=0.7) -> DataFr
     pairs = pearson_pairs(df, cols)
     rows = [(a, b, abs(r)) for (a, b), (r, _) in pairs.items() if r is not None and abs(r) > threshold]
     return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, correlation double")
+
+
+def kendall_tau_b(df: DataFrame, a: str, b: str) -> tuple:
+    """Kendall tau-b of two columns over pairwise-complete rows, exactly, with its
+    two-sided p-value by the normal approximation (as for large samples).
+
+    tau_b = (n0 - n1 - n2 + n3 - 2 D) / sqrt((n0 - n1)(n0 - n2)), where n1, n2, n3 are the
+    x, y and joint tie pairs (grouped counts) and D the discordant pairs
+    (``functions.ordering.discordant_pairs``; no pairwise self-join, no sampling).
+    """
+    from tamis.functions.ordering import discordant_pairs
+    from tamis.functions.stats import normal_two_sided
+
+    x, y = col(a).cast("double"), col(b).cast("double")
+    d = df.select(x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    n = d.count()
+    if n < 2:
+        return None, n, 1.0
+
+    def tie_pairs(*keys):
+        v = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0]
+        return float(v or 0)
+
+    n0 = n * (n - 1) / 2
+    n1, n2, n3 = tie_pairs("x"), tie_pairs("y"), tie_pairs("x", "y")
+    disc = discordant_pairs(d, "x", "y", n)
+    denom = math.sqrt((n0 - n1) * (n0 - n2))
+    if denom == 0:
+        return None, n, 1.0
+    tau = (n0 - n1 - n2 + n3 - 2 * disc) / denom
+    z = 3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5))
+    return tau, n, normal_two_sided(z)
+
+
+def kendall_matrix(df: DataFrame, columns=None) -> DataFrame:
+    """A7c + A7d in the long matrix form."""
+    cols = _eligible(df, columns)
+    res = {}
+    for i, a in enumerate(cols):
+        for b in cols[i + 1 :]:
+            res[(a, b)] = res[(b, a)] = kendall_tau_b(df, a, b)
+    rows = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                rows.append((a, b, 1.0, None, 1.0))
+            else:
+                tau, n, pv = res[(a, b)]
+                rows.append((a, b, tau if tau is not None else 0.0, n, pv if n >= 3 else 1.0))
+    return df.sparkSession.createDataFrame(rows, SCHEMA)

@@ -103,3 +103,24 @@ def test_clean_text_lemmas_and_feature_preview(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
     cols = batch_feature_preview(o).columns
     assert "o_orderkey o_totalprice" in cols and "o_orderdate_year" in cols and "o_totalprice_binned" in cols
+
+
+def test_kendall_matches_brute_force(spark):
+    import numpy as np
+    import pandas as pd
+
+    import tamis.functions.ordering as o
+    from tamis.operators.correlation import kendall_tau_b
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, 600).astype(float)
+    y = np.where(rng.random(600) < 0.3, 5.0, rng.normal(size=600))  # a heavy tied value
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    dx = np.sign(x[:, None] - x[None, :])
+    dy = np.sign(y[:, None] - y[None, :])
+    iu = np.triu_indices(len(x), 1)
+    n0 = len(iu[0])
+    expect = (dx * dy)[iu].sum() / np.sqrt((n0 - (dx[iu] == 0).sum()) * (n0 - (dy[iu] == 0).sum()))
+    tau, n, p = kendall_tau_b(df, "x", "y")
+    assert abs(tau - expect) < 1e-12 and n == 600 and 0 <= p <= 1
+    assert o.count_inversions([3, 1, 2, 2, 0]) == 7
