@@ -27,12 +27,17 @@ def tfidf_tokens(x):
 
 
 def fit_vocabulary(df: DataFrame, column: str, max_features=100, min_df=2, max_df=0.95) -> tuple[DataFrame, int]:
-    """(term, idf, term_index) for the kept vocabulary, and the document count."""
+    """(term, idf, term_index) for the kept vocabulary, and the document count.
+
+    Total and document frequencies are two ``groupBy(term)`` counts with map-side
+    combine (over all tokens, and over each document's distinct tokens), joined on the
+    term: the shuffles carry one row per term and task, never (document, term) pairs.
+    """
     n_docs = df.count()
-    docs = df.select(F.monotonically_increasing_id().alias("__d"), tfidf_tokens(col(column)).alias("__toks"))
-    terms = docs.select("__d", F.explode("__toks").alias("term"))
-    per_doc = terms.groupBy("__d", "term").agg(F.count(F.lit(1)).alias("c"))
-    stats = per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
+    toks = tfidf_tokens(col(column))
+    tf = df.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    dfreq = df.select(F.explode(F.array_distinct(toks)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = tf.join(dfreq, "term")
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(max_features)).collect()
     if not top:
@@ -46,8 +51,11 @@ def fit_vocabulary(df: DataFrame, column: str, max_features=100, min_df=2, max_d
 
 
 def tfidf_long(df: DataFrame, id_col: str, column: str, vocab: DataFrame) -> DataFrame:
-    terms = df.select(col(id_col).alias(id_col), F.explode(tfidf_tokens(col(column))).alias("term"))
-    counted = terms.join(F.broadcast(vocab), "term").groupBy(id_col, "term", "idf", "term_index").agg(F.count(F.lit(1)).alias("tf"))
+    terms_list = [r["term"] for r in vocab.select("term").collect()]  # ≤ 1,000 terms
+    # keep only vocabulary tokens before exploding (InSet lookup), then count per document
+    kept = F.filter(tfidf_tokens(col(column)), lambda t: t.isin(*terms_list))
+    terms = df.select(col(id_col).alias(id_col), F.explode(kept).alias("term"))
+    counted = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(vocab), "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id_col)))
     return counted.select(id_col, "term", "term_index", (raw / norm).alias("tfidf"))
