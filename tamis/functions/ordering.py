@@ -76,10 +76,21 @@ def _sort_exprs(order_by, partition_by, descending=False):
     return exprs
 
 
+def total_order(df: DataFrame, order_by, partition_by=()) -> list[str]:
+    """``order_by`` extended with the remaining sortable columns as tie-breakers, so rows
+    with equal keys still have one reproducible order (pandas' row order has no Spark
+    counterpart)."""
+    from pyspark.sql.types import MapType
+
+    used = set(order_by) | set(partition_by)
+    extra = [f.name for f in df.schema.fields if f.name not in used and not isinstance(f.dataType, MapType)]
+    return list(order_by) + extra
+
+
 def ranged(df: DataFrame, order_by, partition_by=(), num_partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort ``df`` on its keys, then checkpoint it reliably."""
+    """Range-partition and sort ``df`` on its keys (made total), then checkpoint it."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    keys = _sort_exprs(order_by, partition_by)
+    keys = _sort_exprs(total_order(df, order_by, partition_by), partition_by)
     return reliable_checkpoint(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
 
 
