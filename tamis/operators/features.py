@@ -311,6 +311,9 @@ def numeric_family(df, profile: dict, budget: int, names: list) -> dict[str, Col
     return new
 
 
+CATEGORY_MAX = 1000
+
+
 def categorical_family(df, profile, budget, names) -> dict[str, Column]:
     """F6f: frequency, average rank of the frequency (1 = most frequent), top-3 indicators."""
     cats = [c for c in profile["categorical_cols"] if c not in profile["high_cardinality_cols"]][:5]
@@ -318,7 +321,9 @@ def categorical_family(df, profile, budget, names) -> dict[str, Column]:
     for c in cats:
         if count >= budget:
             break
-        vc = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v IS NOT NULL").collect()
+        vc = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v IS NOT NULL").limit(CATEGORY_MAX + 1).collect()
+        if len(vc) > CATEGORY_MAX:  # not low-cardinality after all: no per-value map
+            continue
         freq = {r["v"]: r["n"] for r in vc}
         counts = sorted(freq.values(), reverse=True)
         rank_of = {}

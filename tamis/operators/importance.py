@@ -13,6 +13,9 @@ from tamis.operators.base import col, one_row
 from tamis.operators.features import bin_code, quantile_edges
 
 
+CLASS_MAX = 10_000
+
+
 def is_classification(df: DataFrame, target: str) -> bool:
     if isinstance(df.schema[target].dataType, StringType):
         return True
@@ -69,7 +72,9 @@ def f_scores(df: DataFrame, target: str, features=None) -> DataFrame:
             *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(feats)],
             *[F.sum(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(feats)],
             *[F.sum(col(c).cast("double") * col(c).cast("double")).alias(f"q{i}") for i, c in enumerate(feats)],
-        ).collect()
+        ).limit(CLASS_MAX + 1).collect()
+        if len(g) > CLASS_MAX:
+            raise ValueError(f"f_scores: more than {CLASS_MAX} target classes")
         k = len(g)
         for i, c in enumerate(feats):
             n = sum(r[f"n{i}"] for r in g)
