@@ -202,24 +202,58 @@ def variances(df, cols):
 
 
 def pearson_pairs(df, cols) -> dict:
-    """Pairwise-complete Pearson r for every pair, in one aggregation."""
+    """Pairwise-complete Pearson r and n for every pair of ``cols``.
+
+    Two passes of plain sums: column means (and non-null counts), then sums of products
+    of values centred on those means — one buffer per sum, numerically stable, and few
+    enough aggregates to stay inside generated code. Without NULLs the pairs share the
+    column sums (d(d+1)/2 sums); with NULLs each pair sums over its complete rows.
+    """
+    cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     if not pairs:
         return {}
+    xs = {c: col(c).cast("double") for c in cols}
+    first = one_row(df, F.count(F.lit(1)).alias("__n"), *[F.count(xs[c]).alias(f"k{i}") for i, c in enumerate(cols)],
+                    *[F.avg(xs[c]).alias(f"m{i}") for i, c in enumerate(cols)])
+    n_all = first["__n"]
+    mean = {c: (first[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+    dev = {c: xs[c] - F.lit(mean[c]) for c in cols}
+    full = {c for i, c in enumerate(cols) if first[f"k{i}"] == n_all}
+    idx = {c: i for i, c in enumerate(cols)}
     aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = col(a).cast("double"), col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        aggs += [F.count(xs).alias(f"n{k}"), F.covar_samp(xs, ys).alias(f"c{k}"), F.var_samp(xs).alias(f"vx{k}"), F.var_samp(ys).alias(f"vy{k}")]
+    # columns without NULLs share sums of centred products
+    fl = [c for c in cols if c in full]
+    for i, a in enumerate(fl):
+        for b in fl[i:]:
+            aggs.append(F.sum(dev[a] * dev[b]).alias(f"s{idx[a]}_{idx[b]}"))
+    # a pair with a nullable column sums over its complete rows (NULL propagates)
+    part = [(k, pr) for k, pr in enumerate(pairs) if pr[0] not in full or pr[1] not in full]
+    for k, (a, b) in part:
+        da, db = dev[a], dev[b]
+        aggs += [
+            F.count(da * db).alias(f"n{k}"), F.sum(da + db * 0).alias(f"a{k}"), F.sum(db + da * 0).alias(f"b{k}"),
+            F.sum(da * da + db * 0).alias(f"aa{k}"), F.sum(db * db + da * 0).alias(f"bb{k}"), F.sum(da * db).alias(f"ab{k}"),
+        ]
     row = one_row(df, *aggs)
     out = {}
-    for k, pr in enumerate(pairs):
-        c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
+    partial = dict(part)
+    for k, (a, b) in enumerate(pairs):
         r = None
-        if c is not None and vx and vy and vx > 0 and vy > 0:
-            r = max(-1.0, min(1.0, c / math.sqrt(vx * vy)))
-        out[pr] = (r, row[f"n{k}"])
+        if k not in partial:
+            n = n_all
+            sab, saa, sbb = row[f"s{idx[a]}_{idx[b]}"], row[f"s{idx[a]}_{idx[a]}"], row[f"s{idx[b]}_{idx[b]}"]
+        else:
+            n = row[f"n{k}"]
+            sab = saa = sbb = None
+            if n and n > 1:
+                sa, sb = row[f"a{k}"], row[f"b{k}"]
+                saa = row[f"aa{k}"] - sa * sa / n
+                sbb = row[f"bb{k}"] - sb * sb / n
+                sab = row[f"ab{k}"] - sa * sb / n
+        if n and n > 1 and saa and sbb and saa > 0 and sbb > 0:
+            r = max(-1.0, min(1.0, sab / math.sqrt(saa * sbb)))
+        out[(a, b)] = (r, n)
     return out
 
 
@@ -441,18 +475,16 @@ def clustering_family(df, profile, budget, names, n_rows=None) -> dict[str, Colu
     model = KMeans(k=k, seed=42, featuresCol="__v", maxIter=50).fit(va.transform(z))
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     d2 = [sum((exprs[j] - F.lit(cen[j])) * (exprs[j] - F.lit(cen[j])) for j in range(len(cols))) for cen in centres]
-    best = F.least(*d2) if len(d2) > 1 else d2[0]
-    label = None
-    for i in reversed(range(len(d2))):
-        label = F.when(d2[i] == best, F.lit(i)) if label is None else F.when(d2[i] == best, F.lit(i)).otherwise(label)
+    # one distance array; label = position of its minimum (first on ties), distance = sqrt(min)
+    dists = F.array(*d2)
     new = {}
     n1 = unique_name(names, "cluster_kmeans")
     names.append(n1)
-    new[n1] = label
+    new[n1] = (F.array_position(dists, F.array_min(dists)) - 1).cast("int")
     if budget > 1:
         n2 = unique_name(names, "cluster_distance")
         names.append(n2)
-        new[n2] = F.sqrt(best)
+        new[n2] = F.sqrt(F.array_min(dists))
     return new
 
 
