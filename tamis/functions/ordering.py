@@ -76,21 +76,26 @@ def _sort_exprs(order_by, partition_by, descending=False):
     return exprs
 
 
-def total_order(df: DataFrame, order_by, partition_by=()) -> list[str]:
-    """``order_by`` extended with the remaining sortable columns as tie-breakers, so rows
-    with equal keys still have one reproducible order (pandas' row order has no Spark
-    counterpart)."""
+TIE = "__tie"
+
+
+def with_tie_breaker(df: DataFrame, order_by, partition_by=()) -> tuple[DataFrame, list[str]]:
+    """Make the order total: rows with equal keys are ordered by a 64-bit hash of their
+    remaining columns (pandas' row order has no Spark counterpart). One compact long keeps
+    the range partitioner's sampled keys small even for wide text rows."""
     from pyspark.sql.types import MapType
 
     used = set(order_by) | set(partition_by)
-    extra = [f.name for f in df.schema.fields if f.name not in used and not isinstance(f.dataType, MapType)]
-    return list(order_by) + extra
+    rest = [f.name for f in df.schema.fields if f.name not in used and not isinstance(f.dataType, MapType)]
+    if not rest:
+        return df, list(order_by)
+    return df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in rest])), list(order_by) + [TIE]
 
 
 def ranged(df: DataFrame, order_by, partition_by=(), num_partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort ``df`` on its keys (made total), then checkpoint it."""
+    """Range-partition and sort ``df`` on its keys, then checkpoint it reliably."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    keys = _sort_exprs(total_order(df, order_by, partition_by), partition_by)
+    keys = _sort_exprs(order_by, partition_by)
     return reliable_checkpoint(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
 
 
@@ -158,7 +163,8 @@ def ordered_scan(
     """Apply ``kernel`` to every group segment of ``df`` in (partition_by, order_by) order."""
     order_by, partition_by = list(order_by), list(partition_by)
     keys = partition_by
-    data = ranged(df, order_by, partition_by, num_partitions)
+    tied, order_by = with_tie_breaker(df, order_by, partition_by)
+    data = ranged(tied, order_by, partition_by, num_partitions)
     k_left, k_right = kernel.k_left, kernel.k_right
     ctx_cols = list(dict.fromkeys(kernel.context_cols))
     valid_cols = list(dict.fromkeys(kernel.valid_cols))
@@ -230,7 +236,8 @@ def ordered_scan(
         for b in pa.concat_tables(pieces).to_batches(max_chunksize=10_000):
             yield b
 
-    return data.mapInArrow(run, out_schema)
+    out = data.mapInArrow(run, out_schema)
+    return out.drop(TIE) if TIE in out.columns else out
 
 
 def _chain(infos: dict, k_left: int, k_right: int, valid_cols, sum_cols=()) -> dict:
