@@ -1,7 +1,7 @@
 """Validate, fit and run a JSON list of steps.
 
-Validation folds over the evolving schema (a step may use a column an earlier step
-made). Fitting folds ``fit``/``transform``: each fit runs its few bounded aggregations,
+Validation folds over the evolving schema where parameters determine it (a step may use
+a column an earlier step made); ``Pipeline.fit`` re-checks every step on its real input. Fitting folds ``fit``/``transform``: each fit runs its few bounded aggregations,
 each transform only extends the lazy plan, so the whole pipeline is one plan that runs
 at the sink.
 """
@@ -42,21 +42,50 @@ def make_step(spec: dict):
     return REGISTRY[kind](**params)
 
 
+def _columns_after(step, cols: list[str]) -> list[str]:
+    """Columns after ``step`` where they follow from its parameters alone (no job runs);
+    data-dependent additions (one-hot dummies, polynomial terms, TF-IDF columns) are
+    re-checked by ``Pipeline.fit`` against the schema each step actually receives."""
+    p, k = step.params, step.kind
+    out = list(cols)
+    if k == "drop_missing" and p.get("axis") == "columns" and p.get("columns"):
+        out = [c for c in out if c not in p["columns"]]
+    elif k == "scale" and p.get("keep_original"):
+        out += [f"{c}_scaled" for c in p.get("columns", []) if f"{c}_scaled" not in out]
+    elif k == "extract_datetime_features":
+        out += [f"{c}_{f}" for c in p.get("columns", []) for f in p.get("features", []) if f"{c}_{f}" not in out]
+    elif k == "bin_features":
+        out += [f"{c}_binned" for c in p.get("columns", []) if f"{c}_binned" not in out]
+    elif k == "encode" and p.get("method") == "hashing_encode":
+        n = max(1, min(50, int(p.get("n_components", 8))))
+        for c in p.get("columns", []):
+            out = [x for x in out if x != c] + [f"{c}_hash_{i}" for i in range(n)]
+    elif k == "encode" and p.get("method") == "onehot":
+        out = [x for x in out if x not in p.get("columns", [])]
+    elif k == "extract_tfidf" and p.get("form", "wide") == "wide":
+        out = [x for x in out if x != p.get("column")]
+    elif k == "resample_time_series":
+        out = out  # numeric columns and the time column remain
+    return out
+
+
 def validate_pipeline(df: DataFrame, steps: list[dict]) -> tuple[bool, list[str]]:
-    """Check kinds, parameters and columns; columns are checked against the schema each
-    step will actually see (schemas are derived lazily, no job runs)."""
+    """Check kinds, parameters and columns. Columns are checked against the schema each
+    step will see as far as it follows from earlier steps' parameters; no job runs."""
     errors = []
     if not isinstance(steps, list):
         return False, ["pipeline must be a list"]
+    cols = list(df.columns)
     for i, spec in enumerate(steps):
         try:
             step = make_step(spec)
         except StepError as e:
             errors.append(f"Step {i}: {e}")
             continue
-        absent = [c for c in step.input_columns() if c not in df.columns]
+        absent = [c for c in step.input_columns() if c not in cols]
         if absent:
             errors.append(f"Step {i} ({step.kind}): columns not in DataFrame: {', '.join(absent)}")
+        cols = _columns_after(step, cols)
     return not errors, errors
 
 

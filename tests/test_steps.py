@@ -149,3 +149,17 @@ def test_pipeline_json_and_validation(spark):
 
     ok, errs = validate_pipeline(df, [{"kind": "nope"}, {"kind": "scale", "params": {"columns": ["zz"], "method": "standard"}}])
     assert not ok and len(errs) == 2
+
+
+def test_validation_folds_over_new_columns(spark):
+    from tamis.plans.pipeline import validate_pipeline
+
+    df = spark.createDataFrame([(1, "2024-01-01", 2.0)], "k long, d string, x double")
+    steps = [
+        {"kind": "extract_datetime_features", "params": {"columns": ["d"], "features": ["year"]}},
+        {"kind": "scale", "params": {"columns": ["d_year"], "method": "minmax"}},
+        {"kind": "drop_missing", "params": {"axis": "columns", "columns": ["x"]}},
+        {"kind": "scale", "params": {"columns": ["x"], "method": "minmax"}},
+    ]
+    ok, errs = validate_pipeline(df, steps)
+    assert not ok and len(errs) == 1 and errs[0].startswith("Step 3")
