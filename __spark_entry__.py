@@ -948,9 +948,9 @@ def q_polynomial(spark, sf):
 
 @_query(
     "datetime_features",
-    """SELECT o_orderkey, year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month,
-       day(o_orderdate) AS o_orderdate_day, isodow(o_orderdate) - 1 AS o_orderdate_dayofweek, quarter(o_orderdate) AS o_orderdate_quarter
-       FROM orders""",
+    """SELECT o_orderkey, year(o_orderdate)::INTEGER AS o_orderdate_year, month(o_orderdate)::INTEGER AS o_orderdate_month,
+       day(o_orderdate)::INTEGER AS o_orderdate_day, (isodow(o_orderdate) - 1)::INTEGER AS o_orderdate_dayofweek,
+       quarter(o_orderdate)::INTEGER AS o_orderdate_quarter FROM orders""",
 )
 def q_datetime_features(spark, sf):
     _prep(spark)
@@ -964,7 +964,7 @@ def _bins_sql(b=10):
     return f"""WITH e AS (SELECT list_sort(list_distinct(quantile_cont(value, [{probs}]))) AS edges FROM events),
         x AS (SELECT event_id, value, edges FROM events, e)
         SELECT event_id, CASE WHEN value IS NOT NULL AND value >= edges[1] AND value <= edges[len(edges)]
-               THEN len(list_filter(edges[2:len(edges) - 1], lambda t: t < value)) END AS value_binned FROM x"""
+               THEN len(list_filter(edges[2:len(edges) - 1], lambda t: t < value))::INTEGER END AS value_binned FROM x"""
 
 
 @_query("bin_features", _bins_sql())
