@@ -37,11 +37,16 @@ def read_csv(
 ) -> DataFrame:
     if encoding.lower() not in CSV_ENCODINGS:
         raise StepError(f"encoding must be one of {CSV_ENCODINGS}")
+    # Spark's CSV reader takes canonical charset names; windows-1252 is only available
+    # with the legacy Java charset table.
+    charset = {"latin-1": "iso-8859-1", "cp1252": "windows-1252"}.get(encoding.lower(), encoding.lower())
+    if charset == "windows-1252":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if delimiter not in CSV_DELIMITERS:
         raise StepError(f"delimiter must be one of {CSV_DELIMITERS!r}")
     reader = (
         spark.read.option("header", True)
-        .option("encoding", encoding)
+        .option("encoding", charset)
         .option("sep", delimiter)
         .option("multiLine", multiline)
         .option("quote", '"')

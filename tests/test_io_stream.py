@@ -87,3 +87,30 @@ def test_stream_resample_and_dedupe(spark, sf):
     q2 = dd.writeStream.format("memory").queryName("tamis_dd").trigger(availableNow=True).start()
     q2.awaitTermination(120)
     assert 0 < spark.table("tamis_dd").count() <= ev.count()
+
+
+def test_read_csv_encoding_and_delimiter(spark):
+    import pytest
+
+    from tamis.operators.base import StepError
+    from tamis.sources.csv import read_csv
+
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "l1.csv")
+    with open(p, "wb") as f:
+        f.write("name;v\ncafé;1\nnull;2\n".encode("latin-1"))
+    df = read_csv(spark, p, encoding="latin-1", delimiter=";")
+    rows = sorted(df.collect(), key=lambda r: r.v)
+    assert rows[0].name == "café" and rows[1].name is None
+    with pytest.raises(StepError):
+        read_csv(spark, p, encoding="utf-16")
+
+
+def test_read_csv_cp1252(spark):
+    from tamis.sources.csv import read_csv
+
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "w.csv")
+    with open(p, "wb") as f:
+        f.write("name,v\n€5,1\n".encode("cp1252"))
+    assert read_csv(spark, p, encoding="cp1252").first().name == "€5"

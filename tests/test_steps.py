@@ -163,3 +163,17 @@ def test_validation_folds_over_new_columns(spark):
     ]
     ok, errs = validate_pipeline(df, steps)
     assert not ok and len(errs) == 1 and errs[0].startswith("Step 3")
+
+
+def test_resample_months_first_last_and_rare_group(spark):
+    import datetime as dt
+
+    rows = [(dt.datetime(2024, 1, 5), 1.0), (dt.datetime(2024, 1, 20), 3.0), (dt.datetime(2024, 3, 2), 5.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    m = step(df, "resample_time_series", time_column="ts", freq="MS", agg_func="sum").orderBy("ts").collect()
+    assert [(r.ts.month, r.v) for r in m] == [(1, 4.0), (2, 0.0), (3, 5.0)]
+    last = step(df, "resample_time_series", time_column="ts", freq="1D", agg_func="last").where("v IS NOT NULL").orderBy("ts").collect()
+    assert [r.v for r in last] == [1.0, 3.0, 5.0]
+    cats = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "c string")
+    out = step(cats, "encode", columns=["c"], method="onehot", max_categories=2, group_rare=True)
+    assert sorted(out.columns) == ["c_Rare", "c_a", "c_b"]
