@@ -177,3 +177,15 @@ def test_resample_months_first_last_and_rare_group(spark):
     cats = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "c string")
     out = step(cats, "encode", columns=["c"], method="onehot", max_categories=2, group_rare=True)
     assert sorted(out.columns) == ["c_Rare", "c_a", "c_b"]
+
+
+def test_column_names_with_spaces(spark):
+    df = spark.createDataFrame([(1, 2.0, "a b"), (2, None, "c"), (3, 4.0, None)], "`row id` long, `unit price` double, `the text` string")
+    out = run_pipeline(df, [
+        {"kind": "impute", "params": {"columns": ["unit price"], "strategy": "ffill", "order_by": ["row id"]}},
+        {"kind": "scale", "params": {"columns": ["unit price"], "method": "minmax"}},
+        {"kind": "normalize_text", "params": {"columns": ["the text"]}},
+        {"kind": "encode", "params": {"columns": ["the text"], "method": "frequency_encode"}},
+    ]).orderBy("row id").collect()
+    assert [r["unit price"] for r in out] == [0.0, 0.0, 1.0]
+    assert [r["the text"] for r in out] == [1, 1, None]
