@@ -20,13 +20,14 @@ from tamis.functions.ordering import exact_quantiles_multi
 DEFAULT_METHOD = "exact"
 
 
-def quantiles(df: DataFrame, cols, probs, method: str | None = None) -> dict:
+def quantiles(df: DataFrame, cols, probs, method: str | None = None, known: dict | None = None) -> dict:
+    """``known``: {column: (non-null count, min, max)} already computed by the caller."""
     method = method or DEFAULT_METHOD
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
     if method == "exact":
-        return bracketed_quantiles(df, cols, probs)
+        return bracketed_quantiles(df, cols, probs, known=known)
     if method == "scan":
         return exact_quantiles_multi(df, cols, probs)
     if method == "approx":
@@ -46,7 +47,7 @@ BINS = 1024
 SMALL_EXACT_ROWS = 2_000_000
 
 
-def bracketed_quantiles(df: DataFrame, cols, probs, max_rounds: int = 8) -> dict:
+def bracketed_quantiles(df: DataFrame, cols, probs, max_rounds: int = 8, known: dict | None = None) -> dict:
     """Exact linear-interpolated quantiles (pandas "linear") by histogram bracketing.
 
     For every wanted rank r (0-based among non-null values) we keep a value bracket
@@ -62,11 +63,16 @@ def bracketed_quantiles(df: DataFrame, cols, probs, max_rounds: int = 8) -> dict
     if not cols:
         return {}
     xs = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols}
-    first = df.agg(
-        *[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.min(xs[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(xs[c]).alias(f"hi{i}") for i, c in enumerate(cols)],
-    ).first()
+    if known and all(c in known for c in cols):
+        first = {}
+        for i, c in enumerate(cols):
+            first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"] = known[c]
+    else:
+        first = df.agg(
+            *[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+            *[F.min(xs[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
+            *[F.max(xs[c]).alias(f"hi{i}") for i, c in enumerate(cols)],
+        ).first()
     n = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     if max(n.values()) <= SMALL_EXACT_ROWS:
         # proven bound: Spark's exact percentile keeps at most this many values per group

@@ -50,9 +50,11 @@ def describe(df: DataFrame, method: str | None = None) -> DataFrame:
     aggs = []
     for i, c in enumerate(nums):
         x = col(c).cast("double")
+        x = F.when(~F.isnan(x), x)  # NaN counts as missing, as in pandas
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     row = one_row(df, *aggs)
-    qs = quantiles(df, nums, [0.25, 0.5, 0.75], method)
+    known = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(nums)}
+    qs = quantiles(df, nums, [0.25, 0.5, 0.75], method, known=known)
     rows = [
         (c, row[f"n{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"], qs[c][0], qs[c][1], qs[c][2], row[f"hi{i}"])
         for i, c in enumerate(nums)
