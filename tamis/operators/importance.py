@@ -88,10 +88,12 @@ def f_scores(df: DataFrame, target: str, features=None) -> DataFrame:
             ssw = sst - ssb
             rows.append((c, (ssb / (k - 1)) / (ssw / (n - k)) if ssw > 0 else None))
     else:
+        # one aggregation: r and n per feature over the rows where it is present
+        from tamis.operators.features import pearson_pairs
+
+        pr = pearson_pairs(data, [target] + feats)
         for c in feats:
-            both = data.where(col(c).isNotNull())
-            r = one_row(both, F.corr(col(c).cast("double"), col(target).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
-            rr, n = r["r"], r["n"]
+            rr, n = pr[(target, c)]
             rows.append((c, rr * rr / (1 - rr * rr) * (n - 2) if rr is not None and abs(rr) < 1 else None))
     return spark.createDataFrame(rows, "feature string, f_score double")
 

@@ -124,3 +124,18 @@ def test_kendall_matches_brute_force(spark):
     tau, n, p = kendall_tau_b(df, "x", "y")
     assert abs(tau - expect) < 1e-12 and n == 600 and 0 <= p <= 1
     assert o.count_inversions([3, 1, 2, 2, 0]) == 7
+
+
+def test_regression_f_scores_and_mi(spark, sf):
+    import numpy as np
+
+    from tamis.operators.importance import f_scores, mutual_information
+
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_extendedprice", "l_quantity", "l_discount")
+    f = {r.feature: r.f_score for r in f_scores(li, "l_extendedprice", ["l_quantity", "l_discount"]).collect()}
+    p = li.toPandas()
+    r = np.corrcoef(p.l_quantity, p.l_extendedprice)[0, 1]
+    assert abs(f["l_quantity"] - r * r / (1 - r * r) * (len(p) - 2)) < 1e-6 * max(1, f["l_quantity"])
+    dep = li.withColumn("l_double", F.col("l_extendedprice") * 2)  # fully dependent feature
+    mi = {r.feature: r.mutual_info for r in mutual_information(dep, "l_extendedprice", ["l_double", "l_discount"]).collect()}
+    assert mi["l_double"] > 1.0 > 0.05 > mi["l_discount"] >= 0
