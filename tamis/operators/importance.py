@@ -152,6 +152,11 @@ def evaluate_features(df: DataFrame, target: str, base_features, new_features, f
         cv = CrossValidator(estimator=MLPipeline(stages=stages + [est]), estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, numFolds=folds, seed=seed)
         return float(cv.fit(x).avgMetrics[0])
 
-    before = score(base_features)
-    after = score(list(base_features) + list(new_features))
+    # the two cross-validations are independent Spark jobs: submit them concurrently
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fb = pool.submit(score, base_features)
+        fa = pool.submit(score, list(base_features) + list(new_features))
+        before, after = fb.result(), fa.result()
     return {"metric": "accuracy" if cls else "r2", "before": before, "after": after, "improvement": after - before}
