@@ -451,7 +451,7 @@ def q_extract_domain(spark, sf):
         SELECT event_id, round(CASE WHEN value IS NULL THEN NULL ELSE least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) END, 6) AS value
         FROM events_outliers, q""",
         "events_outliers",
-    ).replace(") , q AS", "), q AS"),
+    ),
 )
 def q_outliers_iqr(spark, sf):
     _prep(spark)

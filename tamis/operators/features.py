@@ -14,7 +14,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from tamis.functions.fixed import DATETIME_PARTS
 from tamis.functions.stats import quantiles

@@ -3,8 +3,6 @@ A14 forest importance, A15 cross-validated impact of new features, A9 MI ranking
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType

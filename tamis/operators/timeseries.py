@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,11 +115,12 @@ def resample(df: DataFrame, time_column: str, freq: str, agg_func="mean", fill_e
     if bounds["lo"] is None:
         return spark.createDataFrame([], base.select(F.col("__t").alias(time_column), *[col(c) for c in values]).schema)
     origin = datetime(bounds["lo"].year, bounds["lo"].month, bounds["lo"].day)
+    origin_lit = F.lit(origin.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")  # no time-zone shift
     if kind == "months":
         months = (F.year("__t") - origin.year) * 12 + (F.month("__t") - origin.month)
         idx = F.floor(months / n).cast("long")
     else:
-        secs = F.unix_seconds(F.col("__t").cast("timestamp")) - int((origin - datetime(1970, 1, 1)).total_seconds())
+        secs = F.timestamp_diff("SECOND", origin_lit, F.col("__t"))
         idx = F.floor(secs / n).cast("long")
     keyed = base.withColumn("__b", idx)
     aggs = []
@@ -141,7 +142,7 @@ def resample(df: DataFrame, time_column: str, freq: str, agg_func="mean", fill_e
         start = F.make_timestamp_ntz(F.lit(origin.year), F.lit(origin.month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
         t_expr = F.add_months(start, (F.col("__b") * n).cast("int")).cast("timestamp_ntz")
     else:
-        t_expr = F.timestamp_add("SECOND", F.col("__b") * n, F.lit(origin).cast("timestamp_ntz"))
+        t_expr = F.timestamp_add("SECOND", F.col("__b") * n, origin_lit)
     return grouped.select(t_expr.alias(time_column), *[col(c) for c in values])
 
 

@@ -8,7 +8,6 @@ k, then one merge of k rows per task), never a full sort or a driver-side loop.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tamis.functions.exprs import stable_hash
 from tamis.operators.base import col
