@@ -114,3 +114,19 @@ def test_read_csv_cp1252(spark):
     with open(p, "wb") as f:
         f.write("name,v\n€5,1\n".encode("cp1252"))
     assert read_csv(spark, p, encoding="cp1252").first().name == "€5"
+
+
+def test_matrix_writer_and_sampled_bundle(spark, sf):
+    from tamis.operators.correlation import pearson_matrix
+    from tamis.sources.bundle import export_bundle, import_bundle
+    from tamis.sources.sinks import write_matrix
+
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    d = tempfile.mkdtemp()
+    m = pearson_matrix(li, ["l_quantity", "l_discount", "l_tax"])
+    write_matrix(m, f"{d}/m")
+    back = spark.read.option("header", True).csv(f"{d}/m")
+    assert back.count() == 9 and len([f for f in os.listdir(f"{d}/m") if f.endswith(".csv")]) == 1
+    export_bundle(li, [], f"{d}/b", sample_rows=500)
+    raw, steps, man = import_bundle(spark, f"{d}/b")
+    assert raw.count() == 500 and steps == [] and man["sample_rows"] == 500
