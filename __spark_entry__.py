@@ -1632,9 +1632,29 @@ def q_sample(spark, sf):
 # ---- contract ------------------------------------------------------------------------------------------------
 
 
+def _corpus_queries() -> tuple[dict, dict]:
+    """Queries and SQL of the corpus operators; empty where that subpackage is not installed."""
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sql: dict[str, str] = {}
+    try:
+        from tamis.llm import queries as llm
+
+        found |= llm.QUERIES
+        sql |= llm.ORACLE_SQL
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("tamis.llm", "tamis.llm.queries", "corpus_pipeline"):
+            raise
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return _Q | _corpus_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | _corpus_queries()[1]
