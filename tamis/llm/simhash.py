@@ -50,7 +50,7 @@ def fingerprint(words: list[bytes], shingle: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of each row as a long.
+    """(doc_id, h, fp): a hash of each row's text and its 64-bit fingerprint, as longs.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles count with
     their repeats. Null and empty texts have fingerprint zero.
@@ -59,13 +59,14 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = bytearray()
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 out += fingerprint((text.as_py() or b"").lower().split(), shingle)
             fps = np.frombuffer(bytes(out), ">u8").astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "h", "fp"])
 
-    slim = payload(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    slim = payload(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return slim.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def flip_table(reach: int) -> list[np.ndarray]:
@@ -191,22 +192,48 @@ def links(nodes: DataFrame, max_bits: int, cell_rows: int = 32_768) -> DataFrame
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
-
-    Fingerprints of at most ``max_bits`` (0 to 5) differing bits are linked; component_id is the smallest doc_id that can
-    be reached. Null or empty texts have fingerprint zero and are linked like any other. Rows
-    with a null doc_id take part; their id never is a component's unless the component has no
-    other. Repeated doc_ids give a row each. Other input columns are ignored.
-    """
+def grouped(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, and (fp, first): the first row (unnamed, doc_id, h) of each fingerprint's group."""
     if not 0 <= max_bits <= 5:
         raise ValueError("max_bits must be 0 to 5")
     prints = settle(fingerprints(docs, shingle))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
+    nodes = settle(prints.groupBy("fp").agg(F.min(place).alias("own")))
     roots = connected_components(links(nodes, max_bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    rooted = settle(rooted)
-    ids = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    labels = rooted.join(ids, "root").select("fp", "component_id")
-    out = prints.join(labels, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "own", F.coalesce("root", "fp").alias("root")))
+    firsts = rooted.groupBy("root").agg(F.min("own").alias("first"))
+    return prints, rooted.join(firsts, "root").select("fp", "first")
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+
+    Fingerprints of at most ``max_bits`` (0 to 5) differing bits are linked; component_id is
+    the smallest doc_id that can be reached. Null or empty texts have fingerprint zero and
+    are linked like any other. Rows with a null doc_id take part; a component of such rows alone
+    has a null id. Repeated doc_ids give a row each. Other input columns are ignored. An empty
+    table gives an empty result.
+    """
+    prints, groups = grouped(docs, shingle, max_bits)
+    out = prints.join(groups, "fp", "left")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The input rows, with all their columns, that come first in their group.
+
+    First is the smallest doc_id, null ids last, then the smallest hash of the text. Of rows
+    that agree in id and text one stays.
+    """
+    prints, groups = grouped(docs, shingle, max_bits)
+    first = groups.select("first").distinct().select("first.doc_id", "first.h")
+    same = prints["doc_id"].eqNullSafe(first["doc_id"]) & (prints["h"] == first["h"])
+    counted = prints.join(first, same, "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
+    kept = settle(counted.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").alias("__n")))
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__h"))
+    found = docs.join(kept, own)
+    rows = found.where("__n = 1").select(*(docs[c] for c in docs.columns))
+    if kept.where("__n > 1").isEmpty():
+        return rows
+    copies = found.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*(docs[c] for c in docs.columns))
+    return rows.unionAll(copies)
