@@ -34,6 +34,9 @@ def _query(name: str, sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    from tamis.session import workers_find_package
+
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

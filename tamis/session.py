@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,6 +55,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers that share the driver's file system import this package from where it is.
+
+    On a cluster the package is installed or shipped with ``--py-files``; a folder that a
+    worker doesn't have does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def reliable_checkpoint(df):
     """Materialise ``df`` into the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
