@@ -14,7 +14,6 @@ each is cut at powers of two, so no sequence holds padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from base64 import b64decode
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 from tamis.llm.common import payload, settle
 
 END_ID = 1
-KEPT = 300_000  # encoded words that a worker keeps
 AHEAD = 32  # windows of tokens that are waited for before packing
 JOINED = 64  # partitions whose rest is packed together
 QUEUES = 1_024  # sources with a queue of their own; smaller ones share the last
@@ -42,13 +40,7 @@ SPECIAL = {"<|endoftext|>": 50256}
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes.
-
-    A space before anything but white space begins a pre-token, and so does a lone newline
-    inside a word, so words are encoded one by one and kept; other texts are encoded whole.
-    """
-
-    RUN = re.compile(r" \s|\s\s")
+    """Token ids as little-endian 32-bit bytes."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -56,34 +48,10 @@ class Encoder:
         pairs = (line.split() for line in ranks.splitlines())
         mergeable = {b64decode(token): int(rank) for token, rank in pairs}
         self.model = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=mergeable, special_tokens=SPECIAL)
-        self.words: dict[str, bytes] = {}
-        self.newline = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.model.encode(text, allowed_special="all")).tobytes()
-
-    def word(self, key: str) -> bytes:
-        """``key``: a word after a space, or a newline and the word after it."""
-        found = self.words.get(key)
-        if found is None:
-            first, *more = key.split("\n")
-            if more and first:
-                return self.word(first) + b"".join(self.newline + self.word("\n" + w) for w in more)
-            if len(self.words) >= KEPT:
-                self.words.clear()
-            found = self.words[key] = self.whole(more[0] if more else " " + key)
-        return found
 
     def encode(self, text: str) -> bytes:
-        if self.RUN.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        known = self.words.get
-        found = [known(w) for w in rest]
-        if None in found:
-            word = self.word
-            found = [word(w) if b is None else b for w, b in zip(rest, found, strict=True)]
-        return self.whole(first) + b"".join(found)
+        """A special token's text inside is that token, as the vocabulary's own library has it."""
+        return array("I", self.model.encode(text, allowed_special="all")).tobytes()
 
 
 class Packer:

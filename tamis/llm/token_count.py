@@ -39,7 +39,8 @@ class Transducer:
 
     def __init__(self, rank: dict[str, int]):
         self.rank = rank
-        self.longest = max(map(len, rank), default=1)
+        # any order finds the one token that fits; the usual lengths first
+        self.sizes = [2, 3, 1, *range(4, max(map(len, rank), default=1) + 1)]
         self.newline_breaks = not any("\n" in p for p in rank)
         self.words: dict[str, int] = {}  # a space and the word
         self.bare: dict[str, int] = {}  # a word after a newline
@@ -69,15 +70,21 @@ class Transducer:
     def emitted(self, unit: str) -> int:
         """Tokens of a unit, read character by character; each prefix has one last token."""
         unit = unit.replace(" ", SPACE)
+        rank, known = self.rank, self.neighbours.get
         last, count = [""], [0]
         for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = unit[start:end]
-                if (token in self.rank or end - start == 1) and self.follows(last[start], token):
-                    last.append(token)
-                    # a character outside the vocabulary is emitted byte by byte
-                    count.append(count[start] + (1 if token in self.rank else len(token.encode("utf-8", "surrogatepass"))))
-                    break
+            for size in self.sizes:
+                if size > end:
+                    continue
+                token = unit[end - size : end]
+                if token in rank or size == 1:
+                    left = last[end - size]
+                    follows = known((left, token))
+                    if self.follows(left, token) if follows is None else follows:
+                        last.append(token)
+                        # a character outside the vocabulary is emitted byte by byte
+                        count.append(count[end - size] + (1 if token in rank else len(token.encode("utf-8", "surrogatepass"))))
+                        break
         return count[-1]
 
     def read(self, word: str) -> int:
@@ -140,7 +147,7 @@ class Transducer:
         """Tokens of a whole text; the vocabulary's normaliser puts a space before it."""
         if not text:
             return 0
-        text = " " + text
+        text = " " + text.replace(SPACE, " ")
         maps = [self.chunk_map(text[at : at + chunk]) for at in range(0, len(text), chunk)]
         while len(maps) > 1:
             pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
