@@ -41,9 +41,9 @@ class Transducer:
         self.rank = rank
         # any order finds the one token that fits; the usual lengths first
         self.sizes = [2, 3, 1, *range(4, max(map(len, rank), default=1) + 1)]
-        self.newline_breaks = not any("\n" in p for p in rank)
+        self.pairs = {p[i : i + 2] for p in rank for i in range(len(p) - 1)}
         self.words: dict[str, int] = {}  # a space and the word
-        self.bare: dict[str, int] = {}  # a word after a newline
+        self.parts: dict[str, int] = {}  # between resets
         self.neighbours: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -69,7 +69,6 @@ class Transducer:
 
     def emitted(self, unit: str) -> int:
         """Tokens of a unit, read character by character; each prefix has one last token."""
-        unit = unit.replace(" ", SPACE)
         rank, known = self.rank, self.neighbours.get
         last, count = [""], [0]
         for end in range(1, len(unit) + 1):
@@ -91,26 +90,30 @@ class Transducer:
         """The transition over a space and a word without spaces."""
         found = self.words.get(word)
         if found is None:
-            first, *more = word.split("\n") if self.newline_breaks else [word]
             if len(self.words) >= KEPT:
                 self.words.clear()
-            if more:
-                found = self.read(first) + sum(1 + self.read_bare(w) for w in more)
-            else:
-                found = self.words[word] = self.emitted(" " + word)
+            found = self.words[word] = self.read_unit(SPACE + word)
         return found
 
-    def read_bare(self, word: str) -> int:
-        found = self.bare.get(word)
-        if found is None:
-            if len(self.bare) >= KEPT:
-                self.bare.clear()
-            found = self.bare[word] = self.emitted(word)
-        return found
+    def read_unit(self, unit: str) -> int:
+        """Between two characters that no piece has side by side the machine is at its start again."""
+        pairs, parts, known = self.pairs, self.parts, self.parts.get
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+        total = 0
+        for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True):
+            part = unit[a:b]
+            found = known(part)
+            if found is None:
+                if len(parts) >= KEPT:
+                    parts.clear()
+                found = parts[part] = self.emitted(part)
+            total += found
+        return total
 
     def settled(self, text: str) -> int:
         """Tokens of text that ends where a unit ends."""
-        return sum(self.read(u[1:]) if u[0] == " " and " " not in u[1:] else self.emitted(u) for u in UNITS.findall(text))
+        units = UNITS.findall(text)
+        return sum(self.read(u[1:]) if u[0] == " " and " " not in u[1:] else self.read_unit(u.replace(" ", SPACE)) for u in units)
 
     def chunk_map(self, chunk: str) -> StateMap:
         """(head, tokens, tail): up to the first unit that begins inside, the whole units after it, the unfinished unit."""
