@@ -23,7 +23,8 @@ from tamis.llm.common import payload
 from tamis.llm.labelled import MAX_ROWS, fold, training_sample
 
 BUCKETS, TERMS, FACTORS = 1 << 22, 2_048, 8
-EPOCHS, BATCH, RATE, RIDGE = 40, 256, 0.03, 1e-4
+TELLING = 20.0  # chi-square that a term needs; chance gives it to one in some 100,000
+EPOCHS, BATCH, RATE, RIDGE = 60, 256, 0.1, 1e-4
 BEGINNINGS = (4, 5, 6, 7)
 KEPT = 300_000  # words whose terms a worker keeps
 WORD = re.compile(r"\w+")
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     seen = sample.select("text", "y").mapInArrow(count, "b int, y int").groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     expected = F.col("n") * (p / n)
     telling = F.pow(F.col("p") - expected, 2) / (expected * (1 - p / n) * (1 - F.col("n") / n + 1 / n) + 1.0)
-    chosen = seen.where(F.col("n") >= 5).orderBy(telling.desc(), "b").limit(TERMS).collect() if 0 < p < n else []
+    chosen = seen.where(F.col("n") >= 5).where(telling >= TELLING).orderBy(telling.desc(), "b").limit(TERMS).collect() if 0 < p < n else []
     blank = Machine(np.array([r["b"] for r in chosen], np.int64), 0.0, np.zeros(len(chosen)), np.zeros((len(chosen), FACTORS)))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
