@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tamis.llm.common import payload, settle
 
 END_ID = 1
-AHEAD = 32  # windows of tokens that are waited for before packing
+AHEAD = 8  # windows of tokens that are waited for before packing
+HELD = 4_000_000  # tokens that a task holds at most while a source that is due has too few
 JOINED = 64  # partitions whose rest is packed together
 QUEUES = 1_024  # sources with a queue of their own; smaller ones share the last
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -94,7 +95,8 @@ class Packer:
         length = length or self.length
         many = len(self.shares)
         for q, share in enumerate(self.shares):
-            self.deficit[q] += share * length
+            # a source that had nothing to give catches up at twice its share at most
+            self.deficit[q] = min(self.deficit[q] + share * length, 2 * share * length + self.quantum)
         at = 0
         for step in range(many):
             q = (self.turn + step) % many
@@ -107,13 +109,20 @@ class Packer:
         self.turn = (self.turn + 1) % many
         self.sequence += 1
 
-    def fill(self, leave: int) -> None:
-        while self.total >= self.length + leave:
+    def ready(self) -> bool:
+        """Whether the next window can be filled as the mixture asks, or no more can be held."""
+        if self.total < AHEAD * self.length:
+            return False
+        earned = (min(d + s * self.length, self.length) for d, s in zip(self.deficit, self.shares, strict=True))
+        return self.total >= HELD or all(e < self.quantum or w >= e for e, w in zip(earned, self.waiting, strict=True))
+
+    def fill(self) -> None:
+        while self.total >= self.length:
             self.window()
 
     def finish(self) -> None:
         """Pack the rest into sequences of powers of two."""
-        self.fill(0)
+        self.fill()
         while self.total:
             self.window(1 << (self.total.bit_length() - 1))
 
@@ -180,10 +189,11 @@ def pack(docs: DataFrame, ranks_path: str, length: int = 2048, quantum: int = 25
             end = END_ID.to_bytes(4, "little")
             for doc_id, source, text in zip(*(batch.column(c) for c in range(3)), strict=True):
                 packer.add(number.get(source.as_py(), len(sources)), doc_id.as_py(), encoder.encode(text.as_py()) + end)
-                packer.fill(AHEAD * length)
+                while packer.ready():
+                    packer.window()
             yield rows(packer.taken(), [])
         if ids_of is not None:
-            packer.fill(0)
+            packer.fill()
             rest = [
                 (doc_id, start, len(ids) // 4, None, doc_tokens, None, None, q, packer.deficit[q], part, ids)
                 for q, line in enumerate(packer.queues)

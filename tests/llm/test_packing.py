@@ -77,7 +77,7 @@ def test_deficits_carry_over():
     packer = packing.Packer([0.9, 0.1], 100, 50, 0)
     packer.add(0, "x", bytes(4 * 2000))
     packer.add(1, "y", bytes(4 * 200))
-    packer.fill(0)
+    packer.fill()
     by_window = defaultdict(int)
     for doc_id, _, n, _, _, sequence, _ in packer.taken():
         by_window[sequence] += n if doc_id == "y" else 0

@@ -33,13 +33,10 @@ def test_many_shards_and_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(topk, "SHARD_ROWS", 64)
     monkeypatch.setattr(topk, "QUERY_ROWS", 16)
-    rows = vectors(500, 20, 9, 8) + [(40, vectors(1, 20, 10, 8)[0][1])] * 1
+    rows = vectors(500, 20, 9, 8)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(df, every=5, k=7).collect())
-    want = brute([r for r in rows if r[0] != 40], 5, 7)
-    assert [g for g in got if 40 not in (g[0], g[2])] == [w for w in want if w[0] in {g[0] for g in got} and (w[0], w[1], w[2], w[3]) in set(got)]
-    queries = {q for q, *_ in got}
-    assert len(queries) == 100 and all(sum(g[0] == q for g in got) == 7 for q in queries)
+    assert got == brute(rows, 5, 7)
 
 
 def test_empty(spark):
