@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
 
 def c_(name: str) -> Column:
@@ -23,6 +23,8 @@ def is_missing(df: DataFrame, name: str) -> Column:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in floating columns (Spark keeps them apart, pandas does not)."""
+    if not any(isinstance(f.dataType, (DoubleType, FloatType)) for f in df.schema.fields):
+        return df
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
@@ -32,15 +34,31 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def nan_as_null(fn):
+    """For functions of a table: NaN counts as missing, as everywhere in this package."""
+
+    @functools.wraps(fn)
+    def wrapped(df, *args, **kwargs):
+        return fn(nan_to_null(df), *args, **kwargs)
+
+    return wrapped
+
+
+BROADCAST_BYTES = 32_000_000
+
+
+def bounded_broadcast(table: DataFrame) -> DataFrame:
+    """Broadcast a lookup table if its measured bytes allow it; otherwise it is joined by a shuffle."""
+    sizes = [F.coalesce(F.length(c_(f.name)), F.lit(0)) if isinstance(f.dataType, StringType) else F.lit(0) for f in table.schema.fields]
+    size = table.agg(F.sum(sum(sizes, F.lit(16 * len(sizes))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def clip(x: Column, lo, hi) -> Column:
     """Clip that keeps NULL as NULL (``greatest``/``least`` would skip the NULL)."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def stable_hash(cols: list[Column], seed: int = 42) -> Column:
     """A 60-bit non-negative hash of the values, reproducible in any SQL engine with md5.
 
@@ -84,11 +102,3 @@ def strftime_to_java(fmt: str) -> str:
     if literal:
         out.append("'" + "".join(literal).replace("'", "''") + "'")
     return "".join(out)
-
-
-def population_skew_kurt(x: Column):
-    """Spark's ``skewness``/``kurtosis`` are the population (SciPy default) forms."""
-    return F.skewness(x), F.kurtosis(x)
-
-
-TWO_PI = 2 * math.pi

@@ -7,6 +7,7 @@ unbounded lookup maps, and ``transform`` is a single projection of column expres
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from tamis.functions.exprs import nan_to_null
+
 REGISTRY: dict[str, type["Step"]] = {}
 
 
@@ -39,6 +42,7 @@ class FittedStep:
     lineage: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        df = nan_to_null(df)  # missing is NULL in every step
         return self.fn(df) if self.fn else df
 
 
@@ -48,6 +52,12 @@ class Step:
     # Whether a fitted step is a row-wise projection (valid on a streaming DataFrame).
     rowwise = True
 
+    def __init_subclass__(cls, **kwargs):
+        super().__init_subclass__(**kwargs)
+        if "fit" in cls.__dict__:
+            fit = cls.fit
+            cls.fit = functools.wraps(fit)(lambda self, df: fit(self, nan_to_null(df)))
+
     def __init__(self, **params: Any):
         missing = [p for p in self.required if p not in params]
         if missing:

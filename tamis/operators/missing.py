@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DecimalType, IntegralType
 
+from tamis.functions.exprs import is_missing
 from tamis.functions.ordering import FillKernel, ordered_scan
 from tamis.operators.base import (
     FittedStep,
@@ -20,13 +22,10 @@ from tamis.operators.base import (
     register_step,
     replace_columns,
 )
+from tamis.session import reliable_checkpoint
 
 STRATEGIES = ("mean", "median", "mode", "constant", "ffill", "bfill", "knn", "random_forest")
 
-# Largest donor table that KNN imputation broadcasts (rows). Beyond it the step refuses
-# instead of sampling donors, so results are always exact.
-KNN_MAX_DONORS = 200_000
-
 
 def parse_constant(v):
     """The UI rule: "3" is an int, "3.5" a float, anything else stays text."""
@@ -44,10 +43,10 @@ def parse_constant(v):
 @register_step("impute")
 class Impute(Step):
     required = ("columns", "strategy")
-    rowwise = True
 
     def check_params(self):
         s = self.params["strategy"]
+        self.rowwise = s not in ("ffill", "bfill", "knn")
         if s not in STRATEGIES:
             raise StepError(f"impute: invalid strategy {s!r}")
         if s in ("ffill", "bfill") and not self.params.get("order_by"):
@@ -62,10 +61,7 @@ class Impute(Step):
         cols, s = list(p["columns"]), p["strategy"]
         if s in ("mean", "median", "mode", "constant"):
             fills = self._fill_values(df, cols, s)
-            exprs = {
-                c: F.coalesce(col(c), F.lit(v).try_cast(df.schema[c].dataType) if v is not None else F.lit(None))
-                for c, v in fills.items()
-            }
+            exprs = {c: filled(df, c, v, s) for c, v in fills.items()}
             return FittedStep(self.kind, p, {"fill": fills}, lambda d: replace_columns(d, exprs))
         if s in ("ffill", "bfill"):
             order_by = _as_list(p["order_by"])
@@ -87,26 +83,34 @@ class Impute(Step):
 
             q = quantiles(df, cols, [0.5], self.params.get("quantile_method"))
             return {c: q[c][0] for c in cols}
-        aggs = []
-        for i, c in enumerate(cols):
-            if s == "mean":
-                aggs.append(F.avg(col(c)).alias(f"v{i}"))
-            elif s == "median":
-                aggs.append(F.percentile(col(c), 0.5).alias(f"v{i}"))
-            else:  # mode: smallest on ties; all-missing falls back to the mean
-                aggs.append(F.mode(col(c), deterministic=True).alias(f"v{i}"))
-                if is_numeric(df, c):
-                    aggs.append(F.avg(col(c)).alias(f"m{i}"))
-        if not aggs:
-            return {}
-        row = one_row(df, *aggs).asDict()
-        out = {}
-        for i, c in enumerate(cols):
-            v = row[f"v{i}"]
-            if v is None and s == "mode":
-                v = row.get(f"m{i}")
-            out[c] = v
-        return out
+        means = [c for c in cols if s == "mean" or is_numeric(df, c)]
+        row = one_row(df, *[F.avg(col(c)).alias(f"v{i}") for i, c in enumerate(means)]) if means else []
+        mean = dict(zip(means, row, strict=True))
+        if s == "mean":
+            return mean
+        return {c: most_frequent(df, c, mean.get(c)) for c in cols}
+
+
+def most_frequent(df, c, otherwise):
+    """The mode, the smallest on ties; counted by value, so no task holds a whole column's values."""
+    counts = df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).count()
+    top = counts.orderBy(F.desc("count"), "v").limit(1).collect()
+    return top[0]["v"] if top else otherwise
+
+
+def filled(df, c, value, strategy):
+    """The column with its gaps filled. Whole-number columns become double where the value isn't whole by nature."""
+    kind = df.schema[c].dataType
+    if value is None:
+        return col(c)
+    if not is_numeric(df, c):
+        return F.coalesce(col(c), F.lit(value).try_cast(kind))
+    if isinstance(value, str):
+        raise StepError(f"impute: {value!r} doesn't fit the numeric column {c!r}")
+    whole = not isinstance(value, float) or value.is_integer()
+    if strategy in ("mean", "median") or not whole and isinstance(kind, (IntegralType, DecimalType)):
+        return F.coalesce(col(c).cast("double"), F.lit(float(value)))
+    return F.coalesce(col(c), F.lit(value).try_cast(kind))
 
 
 def _as_list(v):
@@ -115,64 +119,79 @@ def _as_list(v):
     return [v] if isinstance(v, str) else list(v)
 
 
+KNN_BLOCK = 8_192  # rows to fill, and donors, that are compared in one task at a time
+KNN_AT_ONCE = 128
+
+
 def _fit_knn(df: DataFrame, cols, k, p) -> FittedStep:
-    """Mean of the k nearest donors by NaN-aware Euclidean distance over numeric columns.
+    """Mean of the k nearest donors by NaN-aware Euclidean distance over all numeric columns.
 
-    Donors (rows with the column present) are broadcast once their count is checked
-    against ``KNN_MAX_DONORS``; the rows to fill stay partitioned and are scored in Arrow
-    batches. Only the requested columns are filled.
+    Donors are the fitted rows with the column present, at any number. Rows to fill and
+    donors are cut into blocks; each pair of blocks is compared in one task, which gives the k
+    nearest of its donors for each row, and these are merged by distance, then donor number.
+    Only the requested columns are filled. Integer columns become double.
     """
-    feats = [c for c in numeric_columns(df)][:20]
+    feats = numeric_columns(df)
     targets = [c for c in cols if c in feats]
     if not targets or len(feats) < 2:
         return FittedStep("impute", p, {"skipped": True}, None)
-    donor_sets = {}
-    for t in targets:
-        donors = df.where(col(t).isNotNull()).select(*[col(c) for c in feats])
-        n = donors.count()
-        if n > p.get("max_donors", KNN_MAX_DONORS):
-            raise StepError(f"impute knn: {n} donors exceed the broadcast bound; use median or random_forest")
-        pdf = donors.toPandas().astype(float)
-        donor_sets[t] = pdf.to_numpy()
-    sc = df.sparkSession.sparkContext
-    blob = sc.broadcast(donor_sets)
-    feat_idx = {c: i for i, c in enumerate(feats)}
-
-    def fill(iterator):
-        for pdf in iterator:
-            X = pdf[feats].astype(float).to_numpy()
-            for t, D in blob.value.items():
-                ti = feat_idx[t]
-                need = np.flatnonzero(np.isnan(X[:, ti]))
-                if need.size == 0 or D.shape[0] == 0:
-                    continue
-                out = np.full(need.size, np.nan)
-                for start in range(0, need.size, 256):
-                    rows = X[need[start : start + 256]]
-                    diff = rows[:, None, :] - D[None, :, :]
-                    present = ~np.isnan(diff)
-                    sq = np.where(present, diff, 0.0) ** 2
-                    cnt = present.sum(axis=2)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        dist = np.sqrt(sq.sum(axis=2) * (len(feats) / cnt))
-                    dist[cnt == 0] = np.inf
-                    kk = min(k, D.shape[0])
-                    nn = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
-                    ok = np.take_along_axis(dist, nn, axis=1) < np.inf
-                    vals = D[nn, ti]
-                    with np.errstate(invalid="ignore"):
-                        out[start : start + 256] = np.where(ok.any(axis=1), np.nansum(np.where(ok, vals, 0), axis=1) / ok.sum(axis=1), np.nan)
-                pdf.loc[pdf.index[need], t] = out
-            yield pdf
+    point = F.array(*[col(c).cast("double") for c in feats])
+    donors = reliable_checkpoint(df.select(F.monotonically_increasing_id().alias("donor"), point.alias("x")))
 
     def transform(d: DataFrame) -> DataFrame:
-        schema = StructType(
-            [StructField(f.name, DoubleType(), True) if f.name in targets else f for f in d.schema.fields]
-        )
-        casted = d.select(*[col(c).cast("double").alias(c) if c in targets else col(c) for c in d.columns])
-        return casted.mapInPandas(fill, schema)
-
-    return FittedStep("impute", p, {"features": feats, "donors": {t: len(v) for t, v in donor_sets.items()}}, transform)
+        held = reliable_checkpoint(d.withColumn("__row", F.monotonically_increasing_id()))
+        out = held
+        for n, t in enumerate(targets):
+            values = knn_values(held.where(col(t).isNull()).select("__row", point.alias("x")), donors, feats.index(t), k)
+            out = out.join(values.withColumnsRenamed({"__row": f"__r{n}", "value": f"__v{n}"}), F.col("__row") == F.col(f"__r{n}"), "left")
+        new = {t: F.coalesce(col(t).cast("double"), F.col(f"__v{n}")).alias(t) for n, t in enumerate(targets)}
+        return out.select(*[new.get(c, col(c)) for c in d.columns])
+
+    return FittedStep("impute", p, {"features": feats}, transform)
+
+
+def knn_values(needy: DataFrame, donors: DataFrame, at: int, k: int) -> DataFrame:
+    """(__row, value): the mean of feature ``at`` over each row's k nearest donors."""
+    donors = donors.where(F.col("x")[at].isNotNull())
+    rows, many = needy.count(), donors.count()
+    across, down = max(1, -(-rows // KNN_BLOCK)), max(1, -(-many // KNN_BLOCK))
+
+    def blocks(key: str, own: str, n: int, other: str, m: int):
+        return [F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)]
+
+    left = needy.select("__row", "x", *blocks("__row", "a", across, "b", down))
+    right = donors.select("donor", "x", *blocks("donor", "b", down, "a", across))
+
+    def nearest(ask: pd.DataFrame, give: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or give.empty:
+            return pd.DataFrame({"__row": [], "donor": [], "d": [], "v": []}).astype({"__row": "int64", "donor": "int64"})
+        give = give.sort_values("donor")
+        ids, points = give["donor"].to_numpy(), np.array(give["x"].tolist(), float)
+        known = ~np.isnan(points)
+        filled, out = np.where(known, points, 0.0), []
+        for start in range(0, len(ask), KNN_AT_ONCE):
+            part = ask.iloc[start : start + KNN_AT_ONCE]
+            x = np.array(part["x"].tolist(), float)
+            own = ~np.isnan(x)
+            x = np.where(own, x, 0.0)
+            square, common = np.zeros((len(part), len(ids))), np.zeros((len(part), len(ids)))
+            for c in range(points.shape[1]):
+                both = own[:, c, None] & known[None, :, c]
+                square += np.where(both, (x[:, c, None] - filled[None, :, c]) ** 2, 0.0)
+                common += both
+            with np.errstate(divide="ignore", invalid="ignore"):
+                distance = np.where(common > 0, square * (points.shape[1] / common), np.inf)
+            best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+            d = np.take_along_axis(distance, best, 1)
+            frame = {"__row": np.repeat(part["__row"].to_numpy(), best.shape[1]), "donor": ids[best].ravel(), "d": d.ravel(), "v": points[best, at].ravel()}
+            out.append(pd.DataFrame(frame))
+        found = pd.concat(out)
+        return found[np.isfinite(found["d"])]
+
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "__row long, donor long, d double, v double")
+    order = Window.partitionBy("__row").orderBy("d", "donor")
+    best = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return best.groupBy("__row").agg(F.avg("v").alias("value"))
 
 
 def _fit_random_forest(df: DataFrame, cols, trees, p) -> FittedStep:
@@ -180,28 +199,26 @@ def _fit_random_forest(df: DataFrame, cols, trees, p) -> FittedStep:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    from tamis.functions.stats import quantiles
+
     nums = numeric_columns(df)
+    targets = [t for t in cols if t in nums and len(nums) > 1]
+    medians = {c: q[0] or 0.0 for c, q in quantiles(df, nums, [0.5]).items()} if targets else {}
     models = {}
-    for t in [c for c in cols if c in nums]:
+    for t in targets:
         others = [c for c in nums if c != t]
-        if not others:
-            continue
-        med = one_row(df, *[F.percentile(col(c), 0.5).alias(c) for c in others]).asDict()
-        filled = [F.coalesce(col(c).cast("double"), F.lit(med[c] if med[c] is not None else 0.0)).alias(f"__f_{c}") for c in others]
-        train = df.where(col(t).isNotNull()).select(col(t).cast("double").alias("__label"), *filled)
+        inputs = [F.coalesce(col(c).cast("double"), F.lit(medians[c])).alias(f"__f_{c}") for c in others]
+        train = df.where(col(t).isNotNull()).select(col(t).cast("double").alias("__label"), *inputs)
         va = VectorAssembler(inputCols=[f"__f_{c}" for c in others], outputCol="__x")
         rf = RandomForestRegressor(featuresCol="__x", labelCol="__label", numTrees=trees, seed=42)
-        models[t] = (others, med, va, rf.fit(va.transform(train)))
+        models[t] = (inputs, va, rf.fit(va.transform(train)))
 
     def transform(d: DataFrame) -> DataFrame:
         out = d
-        for t, (others, med, va, model) in models.items():
-            need = out.where(col(t).isNull())
-            keep = out.where(col(t).isNotNull())
-            feats = [F.coalesce(col(c).cast("double"), F.lit(med[c] if med[c] is not None else 0.0)).alias(f"__f_{c}") for c in others]
-            scored = model.transform(va.transform(need.select("*", *feats)))
-            scored = scored.withColumn(t, F.col("prediction").cast(d.schema[t].dataType)).select(*d.columns)
-            out = keep.unionByName(scored)
+        for t, (inputs, va, model) in models.items():
+            scored = model.transform(va.transform(out.select("*", *inputs)))
+            value = F.coalesce(col(t).cast("double"), F.col("prediction")).alias(t)
+            out = scored.select(*[value if c == t else col(c) for c in d.columns])
         return out
 
     return FittedStep("impute", p, {"models": list(models)}, transform)
@@ -228,7 +245,7 @@ class DropMissing(Step):
             if p.get("by_ratio"):
                 # drop rows whose share of missing cells exceeds the threshold
                 def by_ratio(d):
-                    flags = [col(c).isNull().cast("int") for c in d.columns]
+                    flags = [is_missing(d, c).cast("int") for c in d.columns]
                     share = sum(flags[1:], flags[0]) / F.lit(len(flags))
                     return d.where(share <= thr)
 
@@ -243,8 +260,6 @@ class DropMissing(Step):
 
 def missing_ratios(df: DataFrame) -> dict[str, float]:
     """Share of NULL (and NaN, for floating columns) per column, in one aggregation."""
-    from tamis.functions.exprs import is_missing
-
     if not df.columns:
         return {}
     row = one_row(df, F.count(F.lit(1)).alias("__n"), *[F.sum(is_missing(df, c).cast("long")).alias(f"c{i}") for i, c in enumerate(df.columns)])
