@@ -1,9 +1,8 @@
 """T9 ``encode``: one-hot, label, ordinal, target, frequency and hashing encoders.
 
-Value maps with a bounded size (≤ ``LITERAL_MAP_MAX`` entries, checked by a count) become a
-literal ``CASE``/map expression inside the projection. Larger maps stay DataFrames and
-are joined, broadcast when their row count is under ``BROADCAST_MAX_ROWS`` and by a
-shuffle join (with AQE skew splitting) beyond it.
+Value maps stay DataFrames and are joined, broadcast when their measured bytes allow it and
+by a shuffle join (with AQE skew splitting) beyond that; so the result has one type at
+every size. Only maps that the caller writes down (ordinal) are literals.
 """
 
 from __future__ import annotations
@@ -11,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.exprs import stable_hash
+from tamis.functions.exprs import bounded_broadcast, stable_hash
 from tamis.functions.ordering import PositionKernel, ordered_scan
 from tamis.operators.base import FittedStep, Step, StepError, clamp, col, register_step, replace_columns
+from tamis.session import reliable_checkpoint
 
 METHODS = ("onehot", "label", "ordinal", "target_encode", "frequency_encode", "hashing_encode")
-LITERAL_MAP_MAX = 10_000
-BROADCAST_MAX_ROWS = 2_000_000
-ONEHOT_MAX_COLUMNS = 100
+ONEHOT_COLUMNS = 100
 
 
 def literal_lookup(x: Column, mapping: dict) -> Column:
@@ -28,58 +26,39 @@ def literal_lookup(x: Column, mapping: dict) -> Column:
     return F.element_at(m, x)
 
 
-def join_lookup(df: DataFrame, c: str, table: DataFrame, value_col: str, out: str, as_string=False) -> DataFrame:
+def join_lookup(df: DataFrame, c: str, table: DataFrame, value_col: str, as_string=False) -> DataFrame:
     """Replace column ``c`` by ``table[value_col]`` matched on the key ``__k``."""
-    n = table.count()
-    t = table.withColumnRenamed(value_col, "__v")
-    t = F.broadcast(t) if n <= BROADCAST_MAX_ROWS else t
+    t = bounded_broadcast(table.withColumnRenamed(value_col, "__v"))
     key = col(c).cast("string") if as_string else col(c)
     joined = df.join(t, key == F.col("__k"), "left")
-    cols = [F.col("__v").alias(out) if x == c else col(x) for x in df.columns]
-    return joined.select(*cols)
+    return joined.select(*[F.col("__v").alias(c) if x == c else col(x) for x in df.columns])
 
 
-class _MapEncoder:
-    """A key -> value map, as a literal when small, else as a joined table."""
-
-    def __init__(self, c: str, table: DataFrame, value_col: str, as_string: bool = False):
-        self.c, self.value_col, self.as_string = c, value_col, as_string
-        n = table.count()
-        if n <= LITERAL_MAP_MAX:
-            rows = table.collect()
-            self.mapping = {r["__k"]: r[value_col] for r in rows if r["__k"] is not None}
-            self.table = None
-        else:
-            self.mapping, self.table = None, table
-
-    def expr(self):
-        key = col(self.c).cast("string") if self.as_string else col(self.c)
-        return None if self.mapping is None else literal_lookup(key, self.mapping)
-
-    def apply(self, d: DataFrame) -> DataFrame:
-        if self.mapping is not None:
-            return replace_columns(d, {self.c: self.expr()})
-        return join_lookup(d, self.c, self.table, self.value_col, self.c, self.as_string)
-
-
-def onehot_values(df: DataFrame, c: str, max_categories=None, rare_label="OTHER"):
+def onehot_values(df: DataFrame, c: str, max_categories=None, rare_label="OTHER", max_columns=ONEHOT_COLUMNS):
+    """The values with a column of their own, and those kept when the rest is grouped (else None)."""
     s = col(c).cast("string")
+    counts = df.where(s.isNotNull()).groupBy(s.alias("v")).count()
     if max_categories:
-        top = (
-            df.where(s.isNotNull())
-            .groupBy(s.alias("v"))
-            .count()
-            .orderBy(F.desc("count"), F.asc("v"))
-            .limit(int(max_categories))
-            .collect()
-        )
-        keep = [r["v"] for r in top]
-        has_rest = df.where(s.isNotNull() & ~s.isin(keep)).limit(1).count() > 0
-        values = sorted(keep + ([rare_label] if has_rest else []))
-    else:
-        values = [r["v"] for r in df.select(s.alias("v")).where("v IS NOT NULL").distinct().orderBy("v").limit(ONEHOT_MAX_COLUMNS + 1).collect()]
-        keep = None
-    return values[:ONEHOT_MAX_COLUMNS], keep
+        top = counts.orderBy(F.desc("count"), F.asc("v")).limit(int(max_categories) + 1).collect()
+        keep = [r["v"] for r in top[: int(max_categories)]]
+        return sorted(keep + ([rare_label] if len(top) > len(keep) else [])), keep
+    values = [r["v"] for r in counts.orderBy("v").limit(max_columns + 1).collect()]
+    if len(values) > max_columns:
+        raise StepError(f"encode: column {c!r} has more than {max_columns} values; set max_categories or max_columns")
+    return values, None
+
+
+def ordinal_value(df: DataFrame, c: str, mapping: dict, unmapped: str) -> Column:
+    """Mapped values; numbers where every value is mapped or the unmapped become NULL, else text."""
+    looked = literal_lookup(col(c).cast("string"), {str(k): v for k, v in mapping.items()})
+    numeric = all(isinstance(v, (int, float)) for v in mapping.values())
+    kind = "bigint" if all(isinstance(v, int) for v in mapping.values()) else "double"
+    if unmapped == "null":
+        return looked.cast("double") if numeric else looked
+    left = df.where(col(c).isNotNull() & ~col(c).cast("string").isin([str(k) for k in mapping])).limit(1).count()
+    if numeric and not left:
+        return looked.cast(kind)
+    return F.coalesce(looked.cast("string"), col(c).cast("string"))
 
 
 @register_step("encode")
@@ -102,39 +81,25 @@ class Encode(Step):
             return self._hashing(cols)
         if m == "ordinal":
             maps = p.get("ordinal_mappings") or {}
-            exprs = {}
-            for c in cols:
-                if c in maps:
-                    mp = {str(k): v for k, v in maps[c].items()}
-                    looked = literal_lookup(col(c).cast("string"), mp)
-                    if p.get("unmapped", "keep") == "null":
-                        exprs[c] = looked.cast("double")
-                    else:
-                        exprs[c] = F.coalesce(looked.cast("string"), col(c).cast("string"))
+            exprs = {c: ordinal_value(df, c, maps[c], p.get("unmapped", "keep")) for c in cols if c in maps}
             return FittedStep(self.kind, p, {"mappings": maps}, lambda d: replace_columns(d, exprs))
         encoders = []
         for c in cols:
-            k = col(c)
+            known = df.where(col(c).isNotNull()).groupBy(col(c).alias("__k"))
             if m == "label":
-                table = label_codes(df, c)
-                encoders.append(_MapEncoder(c, table, "code", as_string=True))
+                encoders.append((c, label_codes(df, c), "code", True))
             elif m == "target_encode":
-                t = p["target_column"]
-                table = df.groupBy(k.alias("__k")).agg(F.avg(col(t).cast("double")).alias("mean")).where("__k IS NOT NULL")
-                encoders.append(_MapEncoder(c, table, "mean"))
+                encoders.append((c, known.agg(F.avg(col(p["target_column"]).cast("double")).alias("mean")), "mean", False))
             else:
-                table = df.groupBy(k.alias("__k")).agg(F.count(F.lit(1)).alias("count")).where("__k IS NOT NULL")
-                encoders.append(_MapEncoder(c, table, "count"))
+                encoders.append((c, known.agg(F.count(F.lit(1)).alias("count")), "count", False))
+        encoders = [(c, reliable_checkpoint(table), value, text) for c, table, value, text in encoders]
 
         def transform(d: DataFrame) -> DataFrame:
-            exprs = {e.c: e.expr() for e in encoders if e.mapping is not None}
-            out = replace_columns(d, exprs)
-            for e in encoders:
-                if e.mapping is None:
-                    out = e.apply(out)
-            return out
+            for c, table, value, as_string in encoders:
+                d = join_lookup(d, c, table, value, as_string)
+            return d
 
-        return FittedStep(self.kind, p, {"sizes": {e.c: len(e.mapping) if e.mapping is not None else None for e in encoders}}, transform)
+        return FittedStep(self.kind, p, {"sizes": {c: table.count() for c, table, _, _ in encoders}}, transform)
 
     def _onehot(self, df, cols):
         p = self.params
@@ -143,7 +108,7 @@ class Encode(Step):
         rare = "Rare" if p.get("group_rare") else "OTHER"
         plan = {}
         for c in cols:
-            values, keep = onehot_values(df, c, maxc, rare)
+            values, keep = onehot_values(df, c, maxc, rare, int(p.get("max_columns", ONEHOT_COLUMNS)))
             plan[c] = (values, keep)
 
         def transform(d: DataFrame) -> DataFrame:
@@ -185,14 +150,7 @@ class Encode(Step):
 def label_codes(df: DataFrame, c: str) -> DataFrame:
     """(``__k``, ``code``): codes from 0 in sorted order of the text value.
 
-    Small value sets are numbered on the driver; large ones by an ordered scan over the
-    distinct values, so no single task sorts them all.
+    An ordered scan over the distinct values numbers them, so no single task sorts them all.
     """
     distinct = df.select(col(c).cast("string").alias("__k")).where("__k IS NOT NULL").distinct()
-    n = distinct.count()
-    spark = df.sparkSession
-    if n <= LITERAL_MAP_MAX:
-        values = sorted(r["__k"] for r in distinct.collect())
-        return spark.createDataFrame([(v, i) for i, v in enumerate(values)], "__k string, code long")
-    scanned = ordered_scan(distinct, PositionKernel("code"), ["__k"])
-    return scanned.select("__k", "code")
+    return ordered_scan(distinct, PositionKernel("code"), ["__k"]).select("__k", "code")
