@@ -3,7 +3,7 @@ significant pairs, A8 heatmap data, A11 high-correlation pairs.
 
 Pearson needs one aggregation for every pair (pairwise-complete rows). Spearman ranks
 each column with tie-averaged ranks computed by an ordered scan over counted distinct
-values, then reuses the Pearson aggregation. Results are bounded (≤ 20 columns).
+values, then reuses the Pearson aggregation. All named (else all numeric) columns take part.
 """
 
 from __future__ import annotations
@@ -14,18 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tamis.functions.exprs import nan_as_null
 from tamis.functions.ordering import average_rank
 from tamis.functions.stats import student_t_sf
 from tamis.operators.base import col, one_row
 from tamis.operators.features import pearson_pairs
 
-MAX_COLUMNS = 20
 SCHEMA = "Variable1 string, Variable2 string, correlation double, n long, p_value double"
 
 
 def _eligible(df, columns):
-    cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    cols = list(cols)[:MAX_COLUMNS]
+    """The named, else all numeric columns, with three values at least."""
+    cols = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])
     row = one_row(df, *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     return [c for i, c in enumerate(cols) if row[f"n{i}"] >= 3]
 
@@ -51,12 +51,14 @@ def _long(df, cols, pairs):
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
+@nan_as_null
 def pearson_matrix(df: DataFrame, columns=None) -> DataFrame:
     """A7a + A7d: long-form Pearson matrix with two-sided p-values (NaN shown as 0)."""
     cols = _eligible(df, columns)
     return _long(df, cols, pearson_pairs(df, cols))
 
 
+@nan_as_null
 def spearman_pairs(df: DataFrame, cols) -> dict:
     """Spearman rho per pair = Pearson r of average ranks over pairwise-complete rows."""
     complete = one_row(df, F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
@@ -77,6 +79,7 @@ def spearman_pairs(df: DataFrame, cols) -> dict:
     return out
 
 
+@nan_as_null
 def spearman_matrix(df: DataFrame, columns=None) -> DataFrame:
     """A7b + A7d."""
     cols = _eligible(df, columns)
@@ -101,9 +104,10 @@ def heatmap_top_pairs(matrix: DataFrame, threshold=0.0, top=10) -> DataFrame:
     return m.orderBy(F.desc(F.abs("correlation")), "Variable1", "Variable2").limit(top).select("Variable1", "Variable2", "correlation")
 
 
+@nan_as_null
 def high_correlation_pairs(df: DataFrame, columns=None, threshold=0.7) -> DataFrame:
     """Pairs (i < j in column order) with |r| > threshold."""
-    cols = [c for c in (columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])][:50]
+    cols = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])
     pairs = pearson_pairs(df, cols)
     rows = [(a, b, abs(r)) for (a, b), (r, _) in pairs.items() if r is not None and abs(r) > threshold]
     return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, correlation double")
@@ -141,6 +145,7 @@ def kendall_tau_b(df: DataFrame, a: str, b: str) -> tuple:
     return tau, n, normal_two_sided(z)
 
 
+@nan_as_null
 def kendall_matrix(df: DataFrame, columns=None) -> DataFrame:
     """A7c + A7d in the long matrix form."""
     cols = _eligible(df, columns)

@@ -9,14 +9,17 @@ one projection (no ``withColumn`` loops).
 from __future__ import annotations
 
 import math
-from itertools import combinations_with_replacement
+from dataclasses import dataclass
+from itertools import combinations, combinations_with_replacement, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
+from tamis.functions.exprs import bounded_broadcast
 from tamis.functions.fixed import DATETIME_PARTS
+from tamis.functions.ordering import average_rank
 from tamis.functions.stats import quantiles
 from tamis.operators.base import (
     FittedStep,
@@ -280,7 +283,7 @@ class SelectFeaturesCorrelation(Step):
     def fit(self, df):
         p = self.params
         thr = clamp(float(p["threshold"]), 0.1, 0.99)
-        nums = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)][:50]
+        nums = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
         var = variances(df, nums)
         valid = [c for c in nums if var[c] is not None and not math.isnan(var[c]) and var[c] > 1e-10]
         if len(valid) < 2:
@@ -292,157 +295,152 @@ class SelectFeaturesCorrelation(Step):
 
 
 # ---- F6 families -----------------------------------------------------------------------------
-
-
-def safe_denominator(x: Column) -> Column:
-    """|x| ≤ 1e-6 lifted to ±1e-6 (0 stays 0, as sign(0) = 0)."""
-    return F.when(F.abs(x) > 1e-6, x).otherwise(F.lit(1e-6) * F.signum(x))
-
-
-def numeric_family(df, profile: dict, budget: int, names: list) -> dict[str, Column]:
-    """F6a–e: log / sqrt by skew, reciprocal, z-scores, products and ratios."""
-    stats = profile["stats"]
-    hv = [c for c in profile["numeric_cols"] if stats[c].get("variance") is not None and stats[c]["variance"] > 1e-6]
-    new, count = {}, 0
-
-    def add(base, e):
-        nonlocal count
-        n = unique_name(names, base)
-        names.append(n)
-        new[n] = e
-        count += 1
-
-    for c in hv[:5]:
-        if count >= budget:
+#
+# A family is a generator of offers: tuples of features that are only added together, in
+# order of preference. ``choose`` takes the offers that fit into a family's budget. How many
+# columns a family looks at are parameters; their defaults are fixed values.
+
+FAMILY_COLUMNS = {"numeric": 5, "zscore": 3, "categorical": 5, "datetime": 3, "text": 2}
+MAX_INTERACTIONS = 20
+TOP_VALUES = 3
+INTERACTION_RANGE = (0.3, 0.8)
+MIN_VARIANCE = 1e-6
+
+
+@dataclass(frozen=True)
+class Feature:
+    """A column to add. ``value`` maps the frame that holds the lookups' columns to an expression."""
+
+    name: str
+    value: Column
+    lookup: Lookup | None = None
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """Values by key of one column, joined to the rows: ``table`` has __k and the prefixed value columns."""
+
+    column: str
+    table: DataFrame
+    prefix: str
+
+
+def choose(offers, budget: int, taken) -> list[Feature]:
+    """The offers that fit into the budget, in order, under names that aren't taken."""
+    out: list[Feature] = []
+    used = list(taken)
+    for offer in offers:
+        if len(out) + len(offer) <= budget:
+            for f in offer:
+                name = unique_name(used, f.name)
+                used.append(name)
+                out.append(Feature(name, f.value, f.lookup))
+        if len(out) == budget:
             break
-        x = col(c).cast("double")
-        sk = stats[c].get("skewness") or 0
-        if sk > 1:
-            add(f"log_{c}", F.log1p(F.greatest(x, F.lit(0.0))))
-        if 0.5 < sk <= 1 and count < budget:
-            add(f"sqrt_{c}", F.sqrt(F.greatest(x, F.lit(0.0))))
-        if count < budget:
-            add(f"reciprocal_{c}", F.try_divide(F.lit(1.0), safe_denominator(x)))
-    if len(hv) >= 2:
-        for c in hv[:3]:
-            if count >= budget:
-                break
-            m, s = stats[c]["mean"], math.sqrt(stats[c]["variance"])
-            add(f"zscore_{c}", (col(c).cast("double") - F.lit(m)) / F.lit(s + 1e-8))
-    corr = profile.get("correlations", {})
-    inter = 0
-    for i, a in enumerate(hv):
-        for b in hv[i + 1 :]:
-            if count >= budget or inter >= 20:
-                break
-            r = corr.get((a, b), (None, 0))[0]
-            if r is not None and 0.3 <= abs(r) <= 0.8:
-                add(f"{a}_x_{b}", col(a).cast("double") * col(b).cast("double"))
-                inter += 1
-                if count < budget:
-                    add(f"{a}_div_{b}", F.try_divide(col(a).cast("double"), safe_denominator(col(b).cast("double"))))
-                    inter += 1
-    return new
+    return out
 
 
-CATEGORY_MAX = 1000
+def add_features(df: DataFrame, features: list[Feature]) -> DataFrame:
+    """One projection over the rows joined with the features' lookups (broadcast if their size allows it)."""
+    joined = df
+    for look in {f.lookup.prefix: f.lookup for f in features if f.lookup}.values():
+        key = f"{look.prefix}k"
+        joined = joined.join(bounded_broadcast(look.table.withColumnRenamed("__k", key)), col(look.column) == col(key), "left")
+    return joined.select(*[col(c) for c in df.columns], *[f.value.alias(f.name) for f in features])
 
 
-def categorical_family(df, profile, budget, names) -> dict[str, Column]:
-    """F6f: frequency, average rank of the frequency (1 = most frequent), top-3 indicators."""
-    cats = [c for c in profile["categorical_cols"] if c not in profile["high_cardinality_cols"]][:5]
-    new, count = {}, 0
-    for c in cats:
-        if count >= budget:
-            break
-        vc = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v IS NOT NULL").limit(CATEGORY_MAX + 1).collect()
-        if len(vc) > CATEGORY_MAX:  # not low-cardinality after all: no per-value map
-            continue
-        freq = {r["v"]: r["n"] for r in vc}
-        counts = sorted(freq.values(), reverse=True)
-        rank_of = {}
-        for n in set(counts):
-            first = counts.index(n) + 1
-            ties = counts.count(n)
-            rank_of[n] = first + (ties - 1) / 2.0
-        n1 = unique_name(names, f"freq_{c}")
-        names.append(n1)
-        m = F.create_map(*[F.lit(x) for kv in freq.items() for x in kv]) if freq else None
-        new[n1] = F.element_at(m, col(c)) if m is not None else F.lit(None)
-        count += 1
-        if count < budget and freq:
-            n2 = unique_name(names, f"rank_{c}")
-            names.append(n2)
-            rm = F.create_map(*[F.lit(x) for k, v in freq.items() for x in (k, rank_of[v])])
-            new[n2] = F.element_at(rm, col(c))
-            count += 1
-        if 3 <= profile["stats"][c]["unique_count"] <= 10:
-            top = sorted(freq.items(), key=lambda kv: (-kv[1], str(kv[0])))[:3]
-            for v, _ in top:
-                if count >= budget:
-                    break
-                n3 = unique_name(names, f"is_{c}_{str(v)[:10]}")
-                names.append(n3)
-                new[n3] = F.coalesce((col(c) == F.lit(v)).cast("int"), F.lit(0))
-                count += 1
-    return new
+def safe_denominator(x: Column) -> Column:
+    """|x| ≤ 1e-6 lifted to ±1e-6 (0 stays 0, as sign(0) = 0)."""
+    return F.when(F.abs(x) > 1e-6, x).otherwise(F.lit(1e-6) * F.signum(x))
 
 
-def datetime_family(df, profile, budget, names) -> dict[str, Column]:
-    """F6g: parts, weekend and month-end flags, cyclic month, epoch seconds."""
-    new, count = {}, 0
-    for c in profile["datetime_cols"][:3]:
+def spread_columns(profile: dict) -> list[str]:
+    """Numeric columns that vary."""
+    return [c for c in profile["numeric_cols"] if (profile["stats"][c].get("variance") or 0) > MIN_VARIANCE]
+
+
+def shape_offers(column: str, skewness: float):
+    """F6a–c: a transform against right skew, then the reciprocal."""
+    x = col(column).cast("double")
+    floor = F.greatest(x, F.lit(0.0))
+    if skewness > 1:
+        yield (Feature(f"log_{column}", F.log1p(floor)),)
+    elif skewness > 0.5:
+        yield (Feature(f"sqrt_{column}", F.sqrt(floor)),)
+    yield (Feature(f"reciprocal_{column}", F.try_divide(F.lit(1.0), safe_denominator(x))),)
+
+
+def interaction_offers(columns: list[str], correlations: dict):
+    """F6e: product and ratio of moderately correlated pairs."""
+    low, high = INTERACTION_RANGE
+    for a, b in combinations(columns, 2):
+        r = correlations.get((a, b), (None, 0))[0]
+        if r is not None and low <= abs(r) <= high:
+            x, y = col(a).cast("double"), col(b).cast("double")
+            yield (Feature(f"{a}_x_{b}", x * y),)
+            yield (Feature(f"{a}_div_{b}", F.try_divide(x, safe_denominator(y))),)
+
+
+def numeric_offers(df: DataFrame, profile: dict):
+    """F6a–e: shape, z-scores, products and ratios of columns that vary."""
+    varied, stats = spread_columns(profile), profile["stats"]
+    for c in varied[: FAMILY_COLUMNS["numeric"]]:
+        yield from shape_offers(c, stats[c].get("skewness") or 0)
+    if len(varied) > 1:
+        for c in varied[: FAMILY_COLUMNS["zscore"]]:
+            spread = math.sqrt(stats[c]["variance"]) + 1e-8
+            yield (Feature(f"zscore_{c}", (col(c).cast("double") - F.lit(stats[c]["mean"])) / F.lit(spread)),)
+    yield from islice(interaction_offers(varied, profile.get("correlations", {})), MAX_INTERACTIONS)
+
+
+def value_frequencies(df: DataFrame, column: str, prefix: str) -> Lookup:
+    """Count and average rank of the count (1 = most frequent) of each value, at any number of values."""
+    counts = df.groupBy(col(column).alias("__k")).agg(F.count(F.lit(1)).alias("n")).where("__k IS NOT NULL")
+    values = counts.count()
+    ranked = average_rank(counts, "n", "up").select("__k", col("n").alias(f"{prefix}n"), (F.lit(values + 1.0) - F.col("up")).alias(f"{prefix}r"))
+    return Lookup(column, ranked, prefix)
+
+
+def categorical_offers(df: DataFrame, profile: dict):
+    """F6f: frequency, rank of the frequency, indicators of the most frequent of a few values."""
+    usable = (c for c in profile["categorical_cols"] if c not in profile["high_cardinality_cols"])
+    for n, c in enumerate(islice(usable, FAMILY_COLUMNS["categorical"])):
+        look = value_frequencies(df, c, f"__f{n}_")
+        yield (Feature(f"freq_{c}", col(f"__f{n}_n"), look),)
+        yield (Feature(f"rank_{c}", col(f"__f{n}_r"), look),)
+        if TOP_VALUES <= profile["stats"][c]["unique_count"] <= 10:
+            top = look.table.orderBy(F.desc(f"__f{n}_n"), F.col("__k").cast("string")).limit(TOP_VALUES).collect()
+            for v in (r["__k"] for r in top):
+                yield (Feature(f"is_{c}_{str(v)[:10]}", F.coalesce((col(c) == F.lit(v)).cast("int"), F.lit(0))),)
+
+
+def datetime_offers(df: DataFrame, profile: dict):
+    """F6g: parts, weekend and month-end flags, the month on a circle (both or none), epoch seconds."""
+    for c in profile["datetime_cols"][: FAMILY_COLUMNS["datetime"]]:
         ts = parse_timestamp(df, c)
-        items = [(f"{c}_{f}", datetime_part(ts, f)) for f in ("year", "month", "day", "dayofweek", "hour", "quarter")]
-        items += [
-            (f"{c}_is_weekend", (F.weekday(ts) >= 5).cast("int")),
-            (f"{c}_is_month_end", (F.to_date(ts) == F.last_day(ts)).cast("int")),
-        ]
-        for base, e in items:
-            if count >= budget:
-                break
-            n = unique_name(names, base)
-            names.append(n)
-            new[n] = e
-            count += 1
-        if count < budget - 1:
-            for base, fn in ((f"{c}_month_sin", F.sin), (f"{c}_month_cos", F.cos)):
-                n = unique_name(names, base)
-                names.append(n)
-                new[n] = fn(F.lit(2 * math.pi) * F.month(ts) / 12)
-            count += 2
-        if count < budget:
-            n = unique_name(names, f"{c}_timestamp")
-            names.append(n)
-            new[n] = F.unix_seconds(ts.cast("timestamp"))
-            count += 1
-    return new
+        angle = F.lit(2 * math.pi) * F.month(ts) / 12
+        values = {f: datetime_part(ts, f) for f in ("year", "month", "day", "dayofweek", "hour", "quarter")}
+        values["is_weekend"] = (F.weekday(ts) >= 5).cast("int")
+        values["is_month_end"] = (F.to_date(ts) == F.last_day(ts)).cast("int")
+        yield from ((Feature(f"{c}_{part}", value),) for part, value in values.items())
+        yield Feature(f"{c}_month_sin", F.sin(angle)), Feature(f"{c}_month_cos", F.cos(angle))
+        yield (Feature(f"{c}_timestamp", F.unix_seconds(ts.cast("timestamp"))),)
 
 
-def text_family(df, profile, budget, names) -> dict[str, Column]:
+def text_offers(df: DataFrame, profile: dict):
     """F6h: length, word count, digit count, special count, mean word length."""
-    new, count = {}, 0
-    for c in profile["text_cols"][:2]:
+    for c in profile["text_cols"][: FAMILY_COLUMNS["text"]]:
         s = F.coalesce(col(c).cast("string"), F.lit(""))
         words = F.filter(F.split(F.trim(s), r"\s+"), lambda w: F.char_length(w) > 0)
-        items = [
-            (f"len_{c}", F.char_length(s)),
-            (f"word_count_{c}", F.size(words)),
-            (f"digit_count_{c}", F.regexp_count(s, F.lit(r"\d"))),
-            (f"special_char_count_{c}", F.regexp_count(s, F.lit(r"[^a-zA-Z0-9\s]"))),
-            (
-                f"avg_word_length_{c}",
-                F.when(F.size(words) > 0, F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)) / F.size(words)).otherwise(F.lit(0.0)),
-            ),
-        ]
-        for base, e in items:
-            if count >= budget:
-                break
-            n = unique_name(names, base)
-            names.append(n)
-            new[n] = e
-            count += 1
-    return new
+        letters = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w))
+        values = {
+            "len": F.char_length(s),
+            "word_count": F.size(words),
+            "digit_count": F.regexp_count(s, F.lit(r"\d")),
+            "special_char_count": F.regexp_count(s, F.lit(r"[^a-zA-Z0-9\s]")),
+            "avg_word_length": F.when(F.size(words) > 0, letters / F.size(words)).otherwise(F.lit(0.0)),
+        }
+        yield from ((Feature(f"{what}_{c}", value),) for what, value in values.items())
 
 
 def standardized_inputs(df, cols, method=None):
@@ -464,7 +462,7 @@ def clustering_family(df, profile, budget, names, n_rows=None) -> dict[str, Colu
     from pyspark.ml.feature import VectorAssembler
 
     stats = profile["stats"]
-    cols = [c for c in profile["numeric_cols"] if stats[c].get("variance") is not None and stats[c]["variance"] > 1e-6]
+    cols = spread_columns(profile)
     if len(cols) < 2 or budget < 1:
         return {}
     n_rows = n_rows or profile["rows"]
@@ -491,12 +489,12 @@ def clustering_family(df, profile, budget, names, n_rows=None) -> dict[str, Colu
 def pca_family(df, profile, budget, names) -> dict[str, Column]:
     """F6j: up to 5 principal components of the standardised numeric columns.
 
-    The covariance matrix is one aggregation (d ≤ 50 columns, so d² sums); the
+    The covariance matrix is one aggregation (d² sums for d columns); the
     eigen-decomposition of that d×d matrix runs on the driver. Signs follow the rule
     "largest loading positive".
     """
     stats = profile["stats"]
-    cols = [c for c in profile["numeric_cols"] if stats[c].get("variance") is not None and stats[c]["variance"] > 1e-6][:50]
+    cols = spread_columns(profile)
     if len(cols) < 3:
         return {}
     k = min(budget, len(cols), 5)
@@ -529,45 +527,69 @@ def pca_family(df, profile, budget, names) -> dict[str, Column]:
 # ---- F5 automated --------------------------------------------------------------------------
 
 
+# The share of the budget that each family may use.
+FAMILY_SHARES = {numeric_offers: 0.4, categorical_offers: 0.25, datetime_offers: 0.2, text_offers: 0.1}
+
+
 @register_step("automated_feature_engineering")
 class AutomatedFeatures(Step):
     """Plan feature families from one profile, add them in one projection, then prune
-    near-constant and highly correlated new features (F6k, F6l)."""
+    near-constant and highly correlated new features (F6k, F6l) and, with ``target_col``, keep the
+    best half of the budget by mutual information and forest importance (F6m)."""
 
     required = ("max_features",)
+    rowwise = False
+
+    def check_columns(self, df):
+        super().check_columns(df)
+        target = self.params.get("target_col")
+        if target is not None and target not in df.columns:
+            raise StepError(f"automated_feature_engineering: target column {target!r} not in DataFrame")
 
     def fit(self, df):
         from tamis.operators.profile import analyze_dataset_advanced
 
         p = self.params
         budget = clamp(int(p["max_features"]), 5, 500)
-        prof = analyze_dataset_advanced(df, as_dict=True)
+        target = p.get("target_col")
+        inputs = df.drop(target) if target is not None else df
+        prof = analyze_dataset_advanced(inputs, as_dict=True)
         names = list(df.columns)
-        new = {}
-        plan = [
-            (numeric_family, int(budget * 0.4)),
-            (categorical_family, int(budget * 0.25)),
-            (datetime_family, int(budget * 0.2)),
-            (text_family, int(budget * 0.1)),
-        ]
-        for fn, b in plan:
-            if b > 0:
-                new.update(fn(df, prof, b, names))
-        rest = budget - len(new)
-        if rest > 0 and p.get("clustering", True):
-            new.update(clustering_family(df, prof, min(rest, 2), names))
-        rest = budget - len(new)
-        if rest > 0 and p.get("pca", True):
-            new.update(pca_family(df, prof, min(rest, 5), names))
+        new: list[Feature] = []
+
+        def extend(found):
+            new.extend(found)
+            names.extend(f.name for f in found)
+
+        for offers, share in FAMILY_SHARES.items():
+            extend(choose(offers(inputs, prof), int(budget * share), names))
+        for family, wanted, most in ((clustering_family, "clustering", 2), (pca_family, "pca", 5)):
+            room = min(budget - len(new), most)
+            if room > 0 and p.get(wanted, True):
+                extend([Feature(n, e) for n, e in family(inputs, prof, room, list(names)).items()])
         if not new:
             return FittedStep(self.kind, p, {"features": []})
-        wide = _select_with(df, new)
-        var = variances(wide, list(new))
-        keep = [c for c in new if var[c] is not None and not math.isnan(var[c]) and var[c] >= 1e-6]
-        drop = correlated_to_drop(keep, pearson_pairs(wide, keep), 0.95) if len(keep) > 1 else []
-        keep = [c for c in keep if c not in drop]
-        final = {c: new[c] for c in keep}
-        return FittedStep(self.kind, p, {"features": keep}, lambda d: _select_with(d, final))
+        wide = add_features(df, new)
+        var = variances(wide, [f.name for f in new])
+        keep = [f for f in new if var[f.name] is not None and not math.isnan(var[f.name]) and var[f.name] >= MIN_VARIANCE]
+        order = [f.name for f in keep]
+        drop = correlated_to_drop(order, pearson_pairs(wide, order), 0.95) if len(order) > 1 else []
+        keep = [f for f in keep if f.name not in drop]
+        if target is not None and len(keep) > budget // 2:
+            best = top_by_importance(wide, target, [f.name for f in keep], budget // 2)
+            keep = [f for f in keep if f.name in best]
+        return FittedStep(self.kind, p, {"features": [f.name for f in keep]}, lambda d: add_features(d, keep))
+
+
+def top_by_importance(df: DataFrame, target: str, features: list[str], most: int) -> list[str]:
+    """F6m: the features with the largest sum of mutual information and forest importance."""
+    from tamis.operators.importance import forest_importance, mutual_information
+
+    score = {c: 0.0 for c in features}
+    for table, value in ((mutual_information(df, target, features), "mutual_info"), (forest_importance(df, target, features), "importance")):
+        for r in table.collect():
+            score[r["feature"]] += r[value] or 0.0
+    return sorted(features, key=lambda c: -score[c])[:most]
 
 
 def skew_candidates(df, cols) -> list:

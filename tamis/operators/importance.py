@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tamis.functions.exprs import nan_as_null
 from tamis.operators.base import col, one_row
 from tamis.operators.features import bin_code, quantile_edges
-
-
-CLASS_MAX = 10_000
+from tamis.session import reliable_checkpoint as settled
 
 
 def is_classification(df: DataFrame, target: str) -> bool:
@@ -24,6 +23,7 @@ def _features(df, target, features):
     return [c for c in (features or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]) if c != target]
 
 
+@nan_as_null
 def mutual_information(df: DataFrame, target: str, features=None, bins: int = 10) -> DataFrame:
     """MI between each quantile-binned feature and the target (binned too for regression).
 
@@ -42,48 +42,53 @@ def mutual_information(df: DataFrame, target: str, features=None, bins: int = 10
         te = quantile_edges(data, [target], bins)[target]
         y = bin_code(col(target).cast("double"), te).cast("string")
     feats = [c for c in feats if c in edges]
-    med = {c: None for c in feats}
     cells = data.select(
         y.alias("__y"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(bin_code(col(c).cast("double"), edges[c]), F.lit(-1)).alias("bx")) for c in feats])).alias("r"),
     )
-    counts = cells.groupBy("r.feature", "r.bx", "__y").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
+    counts = settled(cells.groupBy("r.feature", "r.bx", "__y").agg(F.count(F.lit(1)).alias("n")))
+    # I(X;Y) = sum n ln n - sum nx ln nx - sum ny ln ny + N ln N, over N: plain grouped sums, so
+    # a target of many classes is never gathered by feature
+    def entropy(table, name):
+        return table.groupBy("feature").agg(F.sum(F.col("n") * F.ln("n")).alias(name))
 
-    w_f = Window.partitionBy("feature")
-    tot = F.sum("n").over(w_f)
-    px = F.sum("n").over(Window.partitionBy("feature", "bx")) / tot
-    py = F.sum("n").over(Window.partitionBy("feature", "__y")) / tot
-    pxy = F.col("n") / tot
-    mi = counts.select("feature", (pxy * F.ln(pxy / (px * py))).alias("t")).groupBy("feature").agg(F.sum("t").alias("mutual_info"))
-    return mi
+    by_x = counts.groupBy("feature", "bx").agg(F.sum("n").alias("n"))
+    by_y = counts.groupBy("feature", "__y").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("feature").agg(F.sum("n").alias("n"))
+    parts = entropy(counts, "hxy").join(entropy(by_x, "hx"), "feature").join(entropy(by_y, "hy"), "feature").join(total, "feature")
+    return parts.select("feature", ((F.col("hxy") - F.col("hx") - F.col("hy") + F.col("n") * F.ln("n")) / F.col("n")).alias("mutual_info"))
 
 
+@nan_as_null
 def f_scores(df: DataFrame, target: str, features=None) -> DataFrame:
     """ANOVA F (classification) or the regression F = r²/(1−r²)·(n−2), one aggregation."""
     feats = _features(df, target, features)
     spark = df.sparkSession
     data = df.where(col(target).isNotNull())
     rows = []
+    if not feats:
+        return spark.createDataFrame([], "feature string, f_score double")
     if is_classification(data, target):
-        g = data.groupBy(col(target).alias("__y")).agg(
-            *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(feats)],
-            *[F.sum(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(feats)],
-            *[F.sum(col(c).cast("double") * col(c).cast("double")).alias(f"q{i}") for i, c in enumerate(feats)],
-        ).limit(CLASS_MAX + 1).collect()
-        if len(g) > CLASS_MAX:
-            raise ValueError(f"f_scores: more than {CLASS_MAX} target classes")
-        k = len(g)
+        # sums of values less their mean: nothing cancels where values are far from zero
+        mean = one_row(data, *[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(feats)])
+        x = {i: col(c).cast("double") - F.lit(mean[f"m{i}"] or 0.0) for i, c in enumerate(feats)}
+        per_class = data.groupBy(col(target).alias("__y")).agg(
+            *[F.count(x[i]).alias(f"n{i}") for i in x], *[F.sum(x[i]).alias(f"s{i}") for i in x], *[F.sum(x[i] * x[i]).alias(f"q{i}") for i in x]
+        )
+        sums = [F.count(F.lit(1)).alias("k")]
+        for i in x:
+            between = F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") * F.col(f"s{i}") / F.col(f"n{i}"))
+            sums += [F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"q{i}").alias(f"q{i}"), F.sum(between).alias(f"b{i}")]
+        row = one_row(per_class, *sums)
+        k = row["k"]
         for i, c in enumerate(feats):
-            n = sum(r[f"n{i}"] for r in g)
+            n = row[f"n{i}"] or 0
             if n <= k or k < 2:
                 rows.append((c, None))
                 continue
-            total = sum(r[f"s{i}"] or 0 for r in g)
-            grand = total / n
-            ssb = sum((r[f"s{i}"] or 0) ** 2 / r[f"n{i}"] for r in g if r[f"n{i}"]) - n * grand * grand
-            sst = sum(r[f"q{i}"] or 0 for r in g) - n * grand * grand
-            ssw = sst - ssb
+            centre = row[f"s{i}"] ** 2 / n
+            ssb = row[f"b{i}"] - centre
+            ssw = row[f"q{i}"] - centre - ssb
             rows.append((c, (ssb / (k - 1)) / (ssw / (n - k)) if ssw > 0 else None))
     else:
         # one aggregation: r and n per feature over the rows where it is present
@@ -96,6 +101,7 @@ def f_scores(df: DataFrame, target: str, features=None) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, f_score double")
 
 
+@nan_as_null
 def forest_importance(df: DataFrame, target: str, features=None, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -124,6 +130,7 @@ def feature_importance(df: DataFrame, target: str, features=None) -> DataFrame:
     return mi.join(fs, "feature", "full").orderBy(F.desc_nulls_last("mutual_info"), "feature")
 
 
+@nan_as_null
 def evaluate_features(df: DataFrame, target: str, base_features, new_features, folds: int = 3, seed: int = 42) -> dict:
     """K-fold CV score (accuracy or R²) without and with the new features."""
     from pyspark.ml import Pipeline as MLPipeline

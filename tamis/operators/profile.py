@@ -19,7 +19,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from tamis.functions.exprs import is_missing
+from tamis.functions.exprs import is_missing, nan_as_null
 from tamis.functions.stats import quantiles
 from tamis.operators.base import col, one_row
 from tamis.operators.duplicates import duplicate_count
@@ -119,6 +119,7 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "rows long, missing long, duplicate_rows long, completeness double, uniqueness double")
 
 
+@nan_as_null
 def analyze_dataset_advanced(df: DataFrame, exact_distinct: bool = True, as_dict: bool = False, with_correlations: bool = True):
     """A10: per-column type group and statistics over all rows (two aggregations)."""
     fields = df.schema.fields
@@ -176,7 +177,7 @@ def analyze_dataset_advanced(df: DataFrame, exact_distinct: bool = True, as_dict
     if with_correlations and len(prof["numeric_cols"]) > 1:
         from tamis.operators.features import pearson_pairs
 
-        corr = pearson_pairs(df, prof["numeric_cols"][:50])
+        corr = pearson_pairs(df, prof["numeric_cols"])
         prof["correlations"] = corr
         prof["high_correlations"] = [
             {"feature1": a, "feature2": b, "correlation": abs(r)} for (a, b), (r, _) in corr.items() if r is not None and abs(r) > 0.7
@@ -189,6 +190,7 @@ def analyze_dataset_advanced(df: DataFrame, exact_distinct: bool = True, as_dict
     )
 
 
+@nan_as_null
 def histogram(df: DataFrame, column: str, bins: int = 50, method: str | None = None) -> DataFrame:
     """Counts over equal-width bins between the 1st and 99th percentiles."""
     x = col(column).cast("double")
@@ -209,6 +211,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50, method: str | None = N
     return counted.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"), (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "count")
 
 
+@nan_as_null
 def line_series(df: DataFrame, time_col: str, value_col: str, max_points: int = 1000) -> DataFrame:
     """(time, value) reduced to at most ``max_points`` time buckets by mean."""
     from tamis.operators.dates import parse_timestamp
@@ -223,6 +226,7 @@ def line_series(df: DataFrame, time_col: str, value_col: str, max_points: int =
     return g.select(F.timestamp_micros("__t").cast("timestamp_ntz").alias(time_col), value_col)
 
 
+@nan_as_null
 def box_summary(df: DataFrame, column: str, method: str | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and outlier count."""
     x = col(column).cast("double")
@@ -245,13 +249,13 @@ def box_summary(df: DataFrame, column: str, method: str | None = None) -> DataFr
 def missing_matrix(df: DataFrame, order_by, bucket_rows: int = 1) -> DataFrame:
     """Long form (row bucket, column, missing count) of the NULL pattern."""
     key = F.floor(col(order_by) / F.lit(bucket_rows)).cast("long") if bucket_rows > 1 else col(order_by)
-    stacked = df.select(
-        key.alias("row"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), is_missing(df, c).cast("int").alias("missing")) for c in df.columns])).alias("r"),
-    )
-    return stacked.groupBy("row", "r.column").agg(F.sum("r.missing").alias("missing"))
+    # one sum per column first: the unpivot sees buckets, not rows
+    counts = df.groupBy(key.alias("row")).agg(*[F.sum(is_missing(df, c).cast("int")).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(df.columns)]
+    return counts.select("row", F.inline(F.array(*cells)))
 
 
+@nan_as_null
 def rolling_mean_full(df: DataFrame, value_col: str, order_by, window: int, partition_by=(), output="rolling_mean") -> DataFrame:
     """Trailing mean that needs a full window of non-missing values."""
     from tamis.functions.ordering import RollingMeanKernel, ordered_scan
@@ -261,11 +265,13 @@ def rolling_mean_full(df: DataFrame, value_col: str, order_by, window: int, part
     return ordered_scan(df, RollingMeanKernel(value_col, w, w, output), order_by, list(partition_by))
 
 
+@nan_as_null
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Count per class, missing included."""
     return df.groupBy(col(target).alias(target)).agg(F.count(F.lit(1)).alias("count"))
 
 
+@nan_as_null
 def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     """Complete (x, y) rows."""
     return df.select(col(x), col(y)).dropna()
