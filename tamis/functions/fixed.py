@@ -57,7 +57,27 @@ DATETIME_PARTS = ["year", "month", "day", "hour", "minute", "second", "dayofweek
 
 # Functions allowed in expression columns and row filters.
 EXPRESSION_FUNCTIONS = ["log", "log10", "log1p", "exp", "sin", "cos", "tan", "sqrt", "abs", "round", "floor", "ceil"]
-FILTER_FUNCTIONS = ["isin", "isna", "notna", "contains", "startswith", "endswith"]
+
+# Further functions allowed in SQL over the table and in row filters, and the
+# words of SQL that may stand before a parenthesis.
+SQL_FUNCTIONS = [
+    "abs", "add_months", "any_value", "approx_count_distinct", "avg", "bool_and", "bool_or", "cast", "ceiling", "char_length",
+    "coalesce", "concat", "concat_ws", "contains", "corr", "count", "count_if", "covar_pop", "covar_samp", "cume_dist", "date",
+    "date_add", "date_diff", "date_format", "date_sub", "date_trunc", "datediff", "day", "dayofweek", "dayofyear", "dense_rank",
+    "endswith", "first", "first_value", "greatest", "grouping", "hour", "if", "ifnull", "initcap", "instr", "isnan", "isnotnull",
+    "isnull", "kurtosis", "lag", "last", "last_value", "lead", "least", "left", "length", "ln", "lower", "lpad", "ltrim", "max",
+    "max_by", "mean", "median", "min", "min_by", "minute", "mod", "mode", "month", "months_between", "ntile", "nullif", "nvl",
+    "percent_rank", "percentile", "percentile_approx", "pow", "power", "quarter", "rank", "regexp_extract", "regexp_like",
+    "regexp_replace", "replace", "right", "rlike", "row_number", "rpad", "rtrim", "second", "sign", "skewness", "split",
+    "startswith", "std", "stddev", "stddev_pop", "stddev_samp", "substr", "substring", "sum", "timestamp", "to_date",
+    "to_timestamp", "trim", "trunc", "try_cast", "try_divide", "try_sum", "upper", "var_pop", "var_samp", "variance",
+    "weekofyear", "year",
+]
+SQL_WORDS = [
+    "all", "and", "any", "as", "between", "by", "case", "decimal", "distinct", "else", "end", "except", "exists", "filter", "from",
+    "group", "having", "in", "intersect", "interval", "into", "join", "like", "not", "on", "or", "order", "over", "partition",
+    "rollup", "cube", "sets", "select", "some", "then", "union", "using", "values", "varchar", "char", "when", "where", "with",
+]
 
 # Resample aggregation functions.
 RESAMPLE_FUNCS = ["mean", "sum", "min", "max", "count", "std"]

@@ -104,6 +104,11 @@ class Pipeline:
         return json.dumps(self.specs)
 
     def fit(self, df: DataFrame) -> "Pipeline":
+        self._fold(df)
+        return self
+
+    def _fold(self, df: DataFrame) -> DataFrame:
+        """Fit each step on what the step before made of ``df``; returns what the last one made."""
         self.fitted, self.timings = [], []
         cur = df
         for step in self.steps:
@@ -113,7 +118,7 @@ class Pipeline:
             self.fitted.append(f)
             cur = f.transform(cur)
             self.timings.append((step.kind, time.time() - t0))
-        return self
+        return cur
 
     def transform(self, df: DataFrame) -> DataFrame:
         cur = df
@@ -122,7 +127,7 @@ class Pipeline:
         return cur
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        return self.fit(df).transform(df)
+        return self._fold(df)
 
     @property
     def streaming_safe(self) -> bool:
