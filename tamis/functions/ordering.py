@@ -92,9 +92,20 @@ def with_tie_breaker(df: DataFrame, order_by, partition_by=()) -> tuple[DataFram
     return df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in rest])), list(order_by) + [TIE]
 
 
+PARTITION_BYTES = 128_000_000  # a scan holds one partition in memory
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Enough partitions for the optimizer's estimate of the input, and the session's number at least."""
+    least = shuffle_partitions(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # plans over checkpoints have no estimate
+    return max(least, -(-size // PARTITION_BYTES)) if known else max(least, df.rdd.getNumPartitions())
+
+
 def ranged(df: DataFrame, order_by, partition_by=(), num_partitions: int | None = None) -> DataFrame:
     """Range-partition and sort ``df`` on its keys, then checkpoint it reliably."""
-    n = num_partitions or shuffle_partitions(df.sparkSession)
+    n = num_partitions or partitions_for(df)
     keys = _sort_exprs(order_by, partition_by)
     return reliable_checkpoint(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
 
@@ -456,29 +467,30 @@ class SavgolKernel(Kernel):
 
     def apply(self, seg, ctx):
         w, half, n = self.window, self.window // 2, seg.num_rows
-        parts, skip = [], 0
-        if ctx.left is not None and ctx.left.num_rows:
-            parts.append(_float(ctx.left.column(self.column)))
-            skip = ctx.left.num_rows
-        parts.append(_float(seg.column(self.column)))
-        if ctx.right is not None and ctx.right.num_rows:
+        sides = [t for t in (ctx.left, ctx.right) if t is not None and t.num_rows]
+        skip = ctx.left.num_rows if ctx.left is not None else 0
+        parts = [_float(seg.column(self.column))]
+        if ctx.left in sides:
+            parts.insert(0, _float(ctx.left.column(self.column)))
+        if ctx.right in sides:
             parts.append(_float(ctx.right.column(self.column)))
         x = np.concatenate(parts)
+        if ctx.glen <= w:  # too short a group for the window: its trailing mean
+            return {self.output: _from_float(rolling_mean(x[: skip + n], w, 1)[skip:])}
         x = np.where(np.isnan(x), self.fill, x)
-        start = ctx.pos0 - skip  # group position of x[0]
-        gpos = ctx.pos0 + np.arange(n)
+        first = ctx.pos0 - skip  # group position of x[0]
+        at = np.arange(n) + skip
+        place = at + first
         y = np.empty(n)
-        interior = savgol_coeffs(w, self.order)
-        for i in range(n):
-            g, j = gpos[i], skip + i
-            if g < half:  # fit to the group's first window
-                lo = -start
-                y[i] = savgol_coeffs(w, self.order, g) @ x[lo : lo + w]
-            elif g >= ctx.glen - half:  # fit to the group's last window
-                lo = (ctx.glen - w) - start
-                y[i] = savgol_coeffs(w, self.order, g - (ctx.glen - w)) @ x[lo : lo + w]
-            else:
-                y[i] = interior @ x[j - half : j + half + 1]
+        inside = (place >= half) & (place < ctx.glen - half)
+        if inside.any():
+            smooth = np.convolve(x, savgol_coeffs(w, self.order)[::-1], "valid")
+            y[inside] = smooth[at[inside] - half]
+        # the polynomials through the group's first and last window, at their outer half
+        for edge, start in ((place < half, 0), (place >= ctx.glen - half, ctx.glen - w)):
+            if edge.any():
+                window = x[start - first : start - first + w]
+                y[edge] = [savgol_coeffs(w, self.order, g - start) @ window for g in place[edge]]
         return {self.output: _from_float(y)}
 
 

@@ -11,15 +11,16 @@ from tamis.operators.base import FittedStep, Step, col, register_step, replace_c
 
 # Text date layouts tried in order when parsing (month before day, as pandas).
 PARSE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX][X]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX][X]",
     "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "MM-dd-yyyy",
-    "dd.MM.yyyy",
+    "yyyy/MM/dd[ HH:mm[:ss]]",
+    "MM/dd/yyyy[ HH:mm[:ss]]",
+    "dd/MM/yyyy[ HH:mm[:ss]]",
+    "MM-dd-yyyy[ HH:mm[:ss]]",
+    "dd.MM.yyyy[ HH:mm[:ss]]",
 ]
 
 

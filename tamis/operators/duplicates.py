@@ -1,13 +1,14 @@
 """T8 ``duplicates``.
 
-All forms are aggregations (hash aggregate with map-side combine), never a window over
-the duplicate group, so a group of copies holding a third of the table is collapsed
-before the shuffle instead of landing in one task.
+First and last copies come from ``row_number() = 1`` by subset, which Spark prunes to one row
+per group and task before the shuffle (WindowGroupLimit), so a group of copies holding a
+third of the table never lands in one task. Groups without copies come from a count by subset
+that is joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.operators.base import FittedStep, Step, col, register_step
@@ -18,17 +19,16 @@ def remove_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) -
     subset = list(subset) if subset else list(cols)
     order_by = [order_by] if isinstance(order_by, str) else list(order_by or [])
     if keep is False or keep == "none":
-        agg = df.groupBy(*[col(c) for c in subset]).agg(
-            F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*[col(c) for c in cols])).alias("__row")
-        )
-        return agg.where(F.col("__n") == 1).select("__row.*")
+        once = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(subset)]).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1")
+        same = [col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(subset)]
+        return df.join(once, same, "left_semi")
     if set(subset) == set(cols):
         return df.dropDuplicates()
     # The order decides which copy survives; without one the smallest row does.
-    key = F.struct(*[col(c) for c in (order_by or cols)])
-    row = F.struct(*[col(c) for c in cols])
-    pick = F.min_by(row, key) if keep == "first" else F.max_by(row, key)
-    return df.groupBy(*[col(c) for c in subset]).agg(pick.alias("__row")).select("__row.*")
+    keys = [col(c) for c in dict.fromkeys([*order_by, *cols])]
+    order = [k.asc_nulls_first() if keep == "first" else k.desc_nulls_last() for k in keys]
+    place = F.row_number().over(Window.partitionBy(*[col(c) for c in subset]).orderBy(*order))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
 def duplicate_count(df: DataFrame, subset=None) -> int:

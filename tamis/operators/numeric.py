@@ -72,33 +72,41 @@ class Scale(Step):
         return FittedStep(self.kind, p, {"center_scale": params}, lambda d: replace_columns(d, exprs))
 
 
-def boxcox_lambda(df: DataFrame, c: str, shift: float) -> float:
-    """Maximum-likelihood Box-Cox lambda by a grid over [-2, 2], refined twice.
+BOXCOX_LIMIT = 64.0
+BOXCOX_STEPS = 20
 
-    Every grid level is one aggregation computing, per candidate lambda, the population
+
+def boxcox_lambda(df: DataFrame, c: str, shift: float) -> float | None:
+    """Maximum-likelihood Box-Cox lambda, to some 1e-9; None where the likelihood has no maximum.
+
+    Each level is one aggregation that gives, for every lambda of a grid, the population
     variance of the transformed values; the log-likelihood is
-    (lambda - 1) * sum(ln x) - n / 2 * ln(var).
+    (lambda - 1) * sum(ln x) - n / 2 * ln(var). The bracket [-2, 2] grows until the best lambda
+    is inside, then shrinks around it.
     """
     x = col(c).cast("double") + F.lit(shift)
     lx = F.ln(x)
-
-    def best(grid):
-        aggs = [F.count(x).alias("n"), F.sum(lx).alias("sl")]
-        for j, lam in enumerate(grid):
-            y = lx if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
-            aggs.append(F.var_pop(y).alias(f"v{j}"))
-        row = one_row(df.where(col(c).isNotNull()), *aggs).asDict()
-        n, sl = row["n"], row["sl"]
-        scores = []
-        for j, lam in enumerate(grid):
-            v = row[f"v{j}"]
-            scores.append(-np.inf if not v or v <= 0 or math.isinf(v) else (lam - 1) * sl - n / 2 * math.log(v))
-        return grid[int(np.argmax(scores))]
-
-    lam = best([round(v, 6) for v in np.arange(-2.0, 2.0001, 0.1)])
-    lam = best([round(lam + d, 6) for d in np.arange(-0.1, 0.1001, 0.01)])
-    lam = best([round(lam + d, 6) for d in np.arange(-0.01, 0.01001, 0.001)])
-    return float(lam)
+    rows = df.where(col(c).isNotNull())
+    scale = one_row(rows, F.avg(lx)).asDict().popitem()[1] or 0.0
+
+    def best(lo, hi):
+        grid = np.linspace(lo, hi, BOXCOX_STEPS + 1)
+        # x / geometric mean keeps the powers in range; the maximum stays where it is
+        z = lx - F.lit(scale)
+        powers = [z if abs(lam) < 1e-12 else (F.exp(F.lit(float(lam)) * z) - 1) / F.lit(float(lam)) for lam in grid]
+        row = one_row(rows, F.count(x).alias("n"), *[F.var_pop(y).alias(f"v{j}") for j, y in enumerate(powers)])
+        scores = [-np.inf if not (v := row[f"v{j}"]) or not math.isfinite(v) else -math.log(v) for j in range(len(grid))]
+        return None if max(scores) == -np.inf else grid[int(np.argmax(scores))]
+
+    lo, hi = -2.0, 2.0
+    while (lam := best(lo, hi)) is not None and (lam in (lo, hi)) and hi < BOXCOX_LIMIT:
+        lo, hi = 2 * lo, 2 * hi
+    width = hi - lo
+    while lam is not None and width > 1e-8:
+        width *= 2 / BOXCOX_STEPS
+        lam = best(lam - width / 2 * 1.5, lam + width / 2 * 1.5)
+        width *= 1.5
+    return None if lam is None else float(lam)
 
 
 @register_step("skewness_transform")
@@ -122,6 +130,10 @@ class SkewnessTransform(Step):
                     continue
                 shift = abs(float(mn)) + 1 if mn <= 0 else 0.0
                 lam = boxcox_lambda(df, c, shift)
+                if lam is None:  # constant columns have no lambda
+                    exprs[c] = F.log1p(F.greatest(x, F.lit(0.0)))
+                    state[c] = {"fallback": "log"}
+                    continue
                 xs = x + F.lit(shift)
                 exprs[c] = F.ln(xs) if abs(lam) < 1e-12 else (F.pow(xs, F.lit(lam)) - 1) / F.lit(lam)
                 state[c] = {"lambda": lam, "shift": shift}

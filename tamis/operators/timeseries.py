@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tamis.functions.exprs import bounded_broadcast
 from tamis.functions.ordering import (
     FillKernel,
     InterpolateKernel,
@@ -38,13 +39,16 @@ def smooth(df: DataFrame, column, order_by, partition_by=(), method="moving_aver
     elif interpolate == "linear":
         out = ordered_scan(out, InterpolateKernel([column]), order_by, partition_by, num_partitions).select(*cols)
     if method == "savitzky_golay":
-        stats = one_row(out, F.count(col(column)).alias("n"), F.avg(col(column).cast("double")).alias("m"))
-        n = stats["n"]
-        if n > window:
-            w = window if window % 2 else window - 1
-            kernel = SavgolKernel(column, w, min(3, w - 1), stats["m"])
+        w = window if window % 2 else window - 1
+        if partition_by:  # gaps take the group's mean
+            means = out.groupBy(*[col(c).alias(f"__g{i}") for i, c in enumerate(partition_by)]).agg(F.avg(col(column).cast("double")).alias("__mean"))
+            same = [col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(partition_by)]
+            joined = out.join(bounded_broadcast(means), same, "left")
+            out = joined.select(*[F.coalesce(col(c).cast("double"), F.col("__mean")).alias(c) if c == column else col(c) for c in cols])
+            kernel = SavgolKernel(column, w, min(3, w - 1), None)
         else:
-            kernel = RollingMeanKernel(column, max(1, min(window, n)), 1)
+            mean = one_row(out, F.avg(col(column).cast("double")).alias("m"))["m"]
+            kernel = SavgolKernel(column, w, min(3, w - 1), mean)
     else:
         kernel = RollingMeanKernel(column, window, 1)
     return ordered_scan(out, kernel, order_by, partition_by, num_partitions).select(*cols)

@@ -15,12 +15,7 @@ from tamis.operators.base import col
 PREVIEW_ROWS = 1000
 
 
-def sample_for_preview(df: DataFrame, n: int = PREVIEW_ROWS, seed: int = 42, key_columns=None, exact: bool = True) -> DataFrame:
-    if not exact:
-        total = df.count()
-        if total <= n:
-            return df
-        return df.sample(False, min(1.0, 1.5 * n / total), seed).limit(n)
+def sample_for_preview(df: DataFrame, n: int = PREVIEW_ROWS, seed: int = 42, key_columns=None) -> DataFrame:
     keys = [col(c) for c in (key_columns or df.columns)]
     h = stable_hash(keys, seed)
     return df.withColumn("__h", h).orderBy("__h", *keys).limit(n).drop("__h")
