@@ -77,6 +77,16 @@ def events_gaps(spark, sf):
     return e.where(~F.hour("ts").isin(3, 4)).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
 
 
+def events_nulls(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+
+
+def events_nan(spark, sf):
+    e, k = _t(spark, sf, "events"), F.col("event_id")
+    return e.withColumn("value", F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 7 != 0, F.col("value").cast("double")))
+
+
 def events_outliers(spark, sf):
     e = _t(spark, sf, "events")
     return e.withColumn("value", F.when(F.col("event_id") % 97 == 0, F.col("value") * 50).otherwise(F.col("value")))
@@ -126,6 +136,10 @@ VIEWS = {
     "events_gaps": """SELECT event_id, ts, user_id, event_type,
         CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, props
         FROM events WHERE hour(ts) NOT IN (3, 4)""",
+    "events_nulls": """SELECT event_id, ts, user_id, event_type,
+        CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, props FROM events""",
+    "events_nan": """SELECT event_id, ts, user_id, event_type,
+        CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS value, props FROM events""",
     "events_outliers": """SELECT event_id, ts, user_id, event_type,
         CASE WHEN event_id % 97 = 0 THEN value * 50 ELSE value END AS value, props FROM events""",
     "part_messy": """SELECT p_partkey,
@@ -252,13 +266,13 @@ def q_impute_constant(spark, sf):
     "impute_ffill",
     with_views(
         """SELECT event_id, round(last_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value
-           FROM events_gaps""",
-        "events_gaps",
+           FROM events_nulls""",
+        "events_nulls",
     ),
 )
 def q_impute_ffill(spark, sf):
     _prep(spark)
-    d = _step(events_gaps(spark, sf), "impute", columns=["value"], strategy="ffill", order_by=["ts"])
+    d = _step(events_nulls(spark, sf), "impute", columns=["value"], strategy="ffill", order_by=["ts"])
     return d.select("event_id", r6(F.col("value")).alias("value"))
 
 
@@ -266,13 +280,13 @@ def q_impute_ffill(spark, sf):
     "impute_bfill",
     with_views(
         """SELECT event_id, round(first_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS value
-           FROM events_gaps""",
-        "events_gaps",
+           FROM events_nulls""",
+        "events_nulls",
     ),
 )
 def q_impute_bfill(spark, sf):
     _prep(spark)
-    d = _step(events_gaps(spark, sf), "impute", columns=["value"], strategy="bfill", order_by=["ts"])
+    d = _step(events_nulls(spark, sf), "impute", columns=["value"], strategy="bfill", order_by=["ts"])
     return d.select("event_id", r6(F.col("value")).alias("value"))
 
 
@@ -280,20 +294,30 @@ def q_impute_bfill(spark, sf):
     "impute_ffill_by_user",
     with_views(
         """SELECT event_id, round(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM events_gaps""",
-        "events_gaps",
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM events_nulls""",
+        "events_nulls",
     ),
 )
 def q_impute_ffill_by_user(spark, sf):
     _prep(spark)
-    d = _step(events_gaps(spark, sf), "impute", columns=["value"], strategy="ffill", order_by=["ts"], partition_by=["user_id"])
+    d = _step(events_nulls(spark, sf), "impute", columns=["value"], strategy="ffill", order_by=["ts"], partition_by=["user_id"])
     return d.select("event_id", r6(F.col("value")).alias("value"))
 
 
-@_query("impute_knn")
+@_query(
+    "impute_knn",
+    with_views(
+        """, near AS (SELECT n.event_id, d.value, row_number() OVER (PARTITION BY n.event_id
+               ORDER BY power(n.event_id - d.event_id, 2) + power(n.user_id - d.user_id, 2), d.event_id) AS k
+           FROM events_nulls n JOIN events_nulls d ON n.value IS NULL AND d.value IS NOT NULL)
+           SELECT event_id, round(value, 6) AS value FROM events_nulls WHERE value IS NOT NULL
+           UNION ALL SELECT event_id, round(avg(value), 6) FROM near WHERE k <= 5 GROUP BY event_id""",
+        "events_nulls",
+    ),
+)
 def q_impute_knn(spark, sf):
     _prep(spark)
-    d = events_gaps(spark, sf).select("event_id", "user_id", "value")
+    d = events_nulls(spark, sf).select("event_id", "user_id", "value")
     out = _step(d, "impute", columns=["value"], strategy="knn", n_neighbors=5)
     return out.select("event_id", r6(F.col("value")).alias("value"))
 
@@ -581,7 +605,7 @@ def q_encode_onehot_top(spark, sf):
 def q_encode_label(spark, sf):
     _prep(spark)
     d = _t(spark, sf, "part").select("p_partkey", "p_brand")
-    return _step(d, "encode", columns=["p_brand"], method="label").select("p_partkey", F.col("p_brand").cast("long").alias("p_brand"))
+    return _step(d, "encode", columns=["p_brand"], method="label")
 
 
 _ORDINAL = {"1-URGENT": 5, "2-HIGH": 4, "3-MEDIUM": 3, "4-NOT SPECIFIED": 2, "5-LOW": 1}
@@ -618,7 +642,7 @@ def q_encode_target(spark, sf):
 def q_encode_frequency(spark, sf):
     _prep(spark)
     d = _t(spark, sf, "part").select("p_partkey", "p_type")
-    return _step(d, "encode", columns=["p_type"], method="frequency_encode").select("p_partkey", F.col("p_type").cast("long").alias("p_type"))
+    return _step(d, "encode", columns=["p_type"], method="frequency_encode")
 
 
 def _hash_sql(expr, seed):
@@ -860,7 +884,7 @@ def q_smooth_savgol(spark, sf):
 @_query(
     "interpolate_linear",
     with_views(
-        """, b AS (SELECT event_id, ts, value, row_number() OVER (ORDER BY ts) AS rn FROM events_gaps),
+        """, b AS (SELECT event_id, ts, value, row_number() OVER (ORDER BY ts) AS rn FROM events_nulls),
         c AS (SELECT event_id, value, rn,
              last_value(value IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
              last_value(CASE WHEN value IS NOT NULL THEN rn END IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pp,
@@ -869,7 +893,7 @@ def q_smooth_savgol(spark, sf):
              FROM b)
         SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
                                     ELSE pv + (nv - pv) * (rn - pp) / (np - pp) END, 6) AS value FROM c""",
-        "events_gaps",
+        "events_nulls",
     ),
 )
 def q_interpolate(spark, sf):
@@ -877,7 +901,7 @@ def q_interpolate(spark, sf):
     # the interpolation stage of smooth_time_series on its own
     from tamis.functions.ordering import InterpolateKernel, ordered_scan
 
-    e = events_gaps(spark, sf)
+    e = events_nulls(spark, sf)
     out = ordered_scan(e, InterpolateKernel(["value"]), ["ts"])
     return out.select("event_id", r6(F.col("value")).alias("value"))
 
@@ -1011,12 +1035,10 @@ def q_select_corr(spark, sf):
 )
 def q_text_features(spark, sf):
     _prep(spark)
-    from tamis.operators.features import text_family
+    from tamis.operators.features import choose, text_offers
 
     d = _t(spark, sf, "documents").select("doc_id", "text")
-    prof = {"text_cols": ["text"]}
-    new = text_family(d, prof, 10, list(d.columns))
-    out = d.select("doc_id", *[e.alias(n) for n, e in new.items()])
+    out = d.select("doc_id", *[f.value.alias(f.name) for f in choose(text_offers(d, {"text_cols": ["text"]}), 10, d.columns)])
     return out.select(
         "doc_id",
         F.col("len_text").cast("long").alias("len_text"),
@@ -1035,10 +1057,10 @@ def q_text_features(spark, sf):
 )
 def q_datetime_family(spark, sf):
     _prep(spark)
-    from tamis.operators.features import datetime_family
+    from tamis.operators.features import choose, datetime_offers
 
     d = _t(spark, sf, "events").select("event_id", "ts")
-    new = datetime_family(d, {"datetime_cols": ["ts"]}, 20, list(d.columns))
+    new = {f.name: f.value for f in choose(datetime_offers(d, {"datetime_cols": ["ts"]}), 20, d.columns)}
     return d.select(
         "event_id",
         new["ts_is_weekend"].alias("ts_is_weekend"),
@@ -1057,12 +1079,11 @@ def q_datetime_family(spark, sf):
 )
 def q_categorical_family(spark, sf):
     _prep(spark)
-    from tamis.operators.features import categorical_family
+    from tamis.operators.features import add_features, categorical_offers, choose
 
     d = _t(spark, sf, "part").select("p_partkey", "p_type")
     prof = {"categorical_cols": ["p_type"], "high_cardinality_cols": [], "stats": {"p_type": {"unique_count": 6}}}
-    new = categorical_family(d, prof, 2, list(d.columns))
-    return d.select("p_partkey", new["freq_p_type"].cast("long").alias("freq_p_type"), new["rank_p_type"].cast("double").alias("rank_p_type"))
+    return add_features(d, choose(categorical_offers(d, prof), 2, d.columns)).select("p_partkey", "freq_p_type", "rank_p_type")
 
 
 @_query("automated_features")
@@ -1635,6 +1656,118 @@ def q_sample(spark, sf):
 # ---- contract ------------------------------------------------------------------------------------------------
 
 
+# ---- missing as NaN, integer columns, many columns and values ---------------------------------
+
+
+@_query("impute_mean_integer", """SELECT p_partkey, round(coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_size END,
+    (SELECT avg(p_size) FROM part WHERE p_partkey % 5 <> 0)), 6) AS p_size FROM part""")
+def q_impute_mean_integer(spark, sf):
+    d = _t(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("p_size"))
+    return _step(d, "impute", columns=["p_size"], strategy="mean").select("p_partkey", r6(F.col("p_size")).alias("p_size"))
+
+
+@_query("impute_mean_nan", with_views("SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM events_nan)), 6) AS value FROM events_nan", "events_nan"))
+def q_impute_mean_nan(spark, sf):
+    out = _step(events_nan(spark, sf), "impute", columns=["value"], strategy="mean")
+    return out.select("event_id", r6(F.col("value")).alias("value"))
+
+
+@_query("scale_nan", with_views(
+    "SELECT event_id, round((value - (SELECT avg(value) FROM events_nan)) / (SELECT stddev_pop(value) FROM events_nan), 6) AS value FROM events_nan", "events_nan"
+))
+def q_scale_nan(spark, sf):
+    out = _step(events_nan(spark, sf), "scale", columns=["value"], method="standard")
+    return out.select("event_id", r6(F.col("value")).alias("value"))
+
+
+@_query("f_scores_shifted", _fscore_sql().replace("'n_chars' AS feature", "'far' AS feature"))
+def q_f_scores_shifted(spark, sf):
+    from tamis.operators.importance import f_scores
+
+    d = label_docs(spark, sf).withColumn("far", F.col("n_chars") + F.lit(1e9))
+    return f_scores(d, "toxic", ["doc_id", "far", "quality"]).select("feature", F.round("f_score", 4).alias("f_score"))
+
+
+@_query("expression_modulo", """SELECT o_orderkey, round((o_custkey % 7) / 2.0 - o_totalprice / (o_custkey + (o_orderkey)) / -3.0, 6) AS v,
+    round(ln(abs(o_totalprice)) / nullif(o_custkey % 3, 0), 6) AS w FROM orders""")
+def q_expression_modulo(spark, sf):
+    from tamis.plans.query import add_expression_column
+
+    d = _t(spark, sf, "orders")
+    d = add_expression_column(d, "o_custkey % 7 / 2 - o_totalprice / (o_custkey + (o_orderkey)) / -3", "v")
+    d = add_expression_column(d, "log(abs(o_totalprice)) / (o_custkey % 3)", "w", check=False)
+    return d.select("o_orderkey", r6(F.col("v")).alias("v"), r6(F.col("w")).alias("w"))
+
+
+@_query("smooth_savgol_short_group", """SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+    ROWS BETWEEN 50 PRECEDING AND CURRENT ROW), 4) AS o_totalprice FROM orders""")
+def q_savgol_short(spark, sf):
+    _prep(spark)
+    d = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    out = _step(d, "smooth_time_series", column="o_totalprice", method="savitzky_golay", window=51, order_by=["o_orderdate", "o_orderkey"], partition_by=["o_custkey"])
+    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@_query("encode_ordinal_default", "SELECT o_orderkey, CAST(CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ORDINAL.items()) + " END AS BIGINT) AS o_orderpriority FROM orders")
+def q_ordinal_default(spark, sf):
+    d = _t(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return _step(d, "encode", columns=["o_orderpriority"], method="ordinal", ordinal_mappings={"o_orderpriority": _ORDINAL})
+
+
+@_query("encode_label_many_values", "SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS code FROM orders")
+def q_label_many(spark, sf):
+    _prep(spark)
+    d = _t(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("code"))
+    return _step(d, "encode", columns=["code"], method="label")
+
+
+_MANY = 120
+
+
+@_query("encode_onehot_many_values", "SELECT p_partkey, " + ", ".join(f"CAST(p_partkey % {_MANY} = {i} AS INTEGER) AS v_{i}" for i in range(_MANY)) + " FROM part")
+def q_onehot_many(spark, sf):
+    d = _t(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % _MANY).cast("string").alias("v"))
+    out = _step(d, "encode", columns=["v"], method="onehot", max_columns=_MANY)
+    return out.select("p_partkey", *[F.col(c) if c in out.columns else F.lit(0).alias(c) for c in (f"v_{i}" for i in range(_MANY))])
+
+
+def _many_columns(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    return li.select(*[(F.col("l_extendedprice") + i * i * F.col("l_quantity")).alias(f"c{i:02d}") for i in range(24)])
+
+
+_MANY_SQL = "WITH m AS (SELECT " + ", ".join(f"l_extendedprice + {i * i} * l_quantity AS c{i:02d}" for i in range(24)) + " FROM lineitem), r AS (SELECT " + ", ".join(
+    f"corr(c{i:02d}, c{j:02d}) AS r{i}_{j}" for i in range(24) for j in range(i + 1, 24)
+) + " FROM m) "
+
+
+@_query("pearson_many_columns", _MANY_SQL + " UNION ALL ".join(
+    f"SELECT 'c{i:02d}' AS a, 'c{j:02d}' AS b, round(r{min(i, j)}_{max(i, j)}, 6) AS r FROM r" for i in range(24) for j in range(24) if i != j
+))
+def q_pearson_many(spark, sf):
+    from tamis.operators.correlation import pearson_matrix
+
+    m = pearson_matrix(_many_columns(spark, sf)).where("Variable1 <> Variable2")
+    return m.select(F.col("Variable1").alias("a"), F.col("Variable2").alias("b"), r6(F.col("correlation")).alias("r"))
+
+
+def _knn_many_columns(d):
+    return d.select("c_custkey", *[((F.col("c_custkey") * (i + 3)) % (17 + i)).cast("double").alias(f"x{i}") for i in range(23)],
+                    F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")).alias("y"))
+
+
+@_query("impute_knn_many_columns", "WITH m AS (SELECT c_custkey, " + ", ".join(f"CAST((c_custkey * {i + 3}) % {17 + i} AS DOUBLE) AS x{i}" for i in range(23)) + """,
+    CASE WHEN c_custkey % 6 <> 0 THEN c_acctbal END AS y FROM customer),
+    near AS (SELECT n.c_custkey, d.y, row_number() OVER (PARTITION BY n.c_custkey ORDER BY power(n.c_custkey - d.c_custkey, 2) + """ + " + ".join(
+    f"power(n.x{i} - d.x{i}, 2)" for i in range(23)
+) + """, d.c_custkey) AS k FROM m n JOIN m d ON n.y IS NULL AND d.y IS NOT NULL)
+    SELECT c_custkey, round(y, 6) AS y FROM m WHERE y IS NOT NULL UNION ALL SELECT c_custkey, round(avg(y), 6) FROM near WHERE k <= 5 GROUP BY c_custkey""")
+def q_knn_many(spark, sf):
+    _prep(spark)
+    out = _step(_knn_many_columns(_t(spark, sf, "customer")), "impute", columns=["y"], strategy="knn", n_neighbors=5)
+    return out.select("c_custkey", r6(F.col("y")).alias("y"))
+
+
 def _corpus_queries() -> tuple[dict, dict]:
     """Queries and SQL of the corpus operators; empty where that subpackage is not installed."""
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
