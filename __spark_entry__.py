@@ -8,6 +8,7 @@ the same column names; doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -1773,8 +1774,7 @@ def _corpus_queries() -> tuple[dict, dict]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     sql: dict[str, str] = {}
     try:
-        from tamis.llm import queries as llm
-
+        llm = importlib.import_module("tamis.llm.queries")
         found |= llm.QUERIES
         sql |= llm.ORACLE_SQL
         import corpus_pipeline

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tamis.operators.base import FittedStep, Step, col, register_step
 
@@ -25,7 +26,8 @@ def remove_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) -
     if set(subset) == set(cols):
         return df.dropDuplicates()
     # The order decides which copy survives; without one the smallest row does.
-    keys = [col(c) for c in dict.fromkeys([*order_by, *cols])]
+    sortable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    keys = [col(c) for c in dict.fromkeys([*order_by, *sortable])]
     order = [k.asc_nulls_first() if keep == "first" else k.desc_nulls_last() for k in keys]
     place = F.row_number().over(Window.partitionBy(*[col(c) for c in subset]).orderBy(*order))
     return df.withColumn("__place", place).where("__place = 1").drop("__place")
