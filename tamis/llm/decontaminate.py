@@ -22,7 +22,7 @@ from tamis.llm.common import payload, settle
 WINDOW = 10
 BROADCAST_BYTES = 16_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def pieces(text: Column) -> Column:
@@ -30,7 +30,21 @@ def pieces(text: Column) -> Column:
 
     The first and the last piece may be empty; no other is.
     """
-    return F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), BREAKS)
+    return F.split(F.translate(text, UPPER, LOWER), BREAKS)
+
+
+def folded(text: Column) -> Column:
+    """All letters lower-cased, the final sigma as any other: a faster and coarser form for the index."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
+def index_pieces(text: Column) -> Column:
+    """As many pieces, folded: the index may find more places than there are phrases, never fewer."""
+    return F.split(folded(text), BREAKS)
+
+
+def whole(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
 def small(df: DataFrame, size: int) -> DataFrame:
@@ -40,7 +54,8 @@ def small(df: DataFrame, size: int) -> DataFrame:
 
 def benchmark_words(benchmark: DataFrame, window: int) -> DataFrame:
     """(item, item_ids, words, span): one row per distinct word sequence; span is the length of its windows."""
-    named = F.filter(pieces(F.col("text")), lambda w: w != "").alias("words")
+    text = whole(F.col("text"))
+    named = F.filter(pieces(text), lambda w: w != "").alias("words")
     slim = payload(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), named)
     held = slim.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
     return held.select(F.sha2(F.array_join("words", " "), 256).alias("item"), "item_ids", "words", F.least(F.size("words"), F.lit(window)).alias("span"))
@@ -48,7 +63,7 @@ def benchmark_words(benchmark: DataFrame, window: int) -> DataFrame:
 
 def term_frequencies(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """(word, df): how often each benchmark word occurs in the whole corpus."""
-    vocabulary = items.select(F.explode("words").alias("word")).distinct()
+    vocabulary = items.select(F.explode("terms").alias("word")).distinct()
     seen = docs.select(F.explode("words").alias("word"))
     counted = seen.join(small(vocabulary, size), "word", "left_semi").groupBy("word").count()
     return vocabulary.join(counted, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("df"))
@@ -56,7 +71,7 @@ def term_frequencies(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 def rarest_terms(items: DataFrame, frequencies: DataFrame) -> DataFrame:
     """(item, at, first, second): for each window its start and the item positions of its two rarest terms."""
-    placed = items.select("item", "span", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+    placed = items.select("item", "span", F.size("words").alias("n"), F.posexplode("terms").alias("p", "word"))
     ranked = placed.join(frequencies, "word").groupBy("item", "span", "n").agg(
         F.array_sort(F.collect_list(F.struct("p", "df"))).alias("terms")
     )
@@ -82,15 +97,16 @@ class PhraseIndex:
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW):
         self.rows = docs
-        self.docs = payload(docs, "doc_id", "text").select("doc_id", pieces(F.col("text")).alias("words"))
+        self.docs = payload(docs, "doc_id", "text").select("doc_id", index_pieces(whole(F.col("text"))).alias("words"))
         items = settle(benchmark_words(benchmark, window))
         self.size = 200 * (items.agg(F.sum(F.size("words"))).first()[0] or 0)  # with hash, places and windows
+        items = items.withColumn("terms", F.transform("words", folded))
         frequencies = term_frequencies(self.docs, items, self.size)
         windows = rarest_terms(items, frequencies).groupBy("item").agg(F.collect_list(F.struct("at", "first", "second")).alias("windows"))
         self.items = settle(items.join(windows, "item"))
         ends = F.flatten(F.transform("windows", lambda w: F.array(w["first"], w["second"])))
-        places = self.items.select("item", F.explode(F.array_distinct(ends)).alias("p"), "words")
-        self.terms = places.select("item", "p", F.get("words", F.col("p")).alias("word"))
+        places = self.items.select("item", F.explode(F.array_distinct(ends)).alias("p"), "terms")
+        self.terms = places.select("item", "p", F.get("terms", F.col("p")).alias("word"))
 
     def candidates(self) -> DataFrame:
         """(doc_id, ask): item places in a document where some window has its two rarest terms."""
@@ -109,9 +125,12 @@ class PhraseIndex:
         asked = by_doc.select(F.explode("__asks").alias("ask")).agg(F.sum(F.size("ask.words") + F.size("ask.starts") + 8)).first()[0] or 0
         asks = small(by_doc, 24 * asked)
         docs = self.rows
-        # a column of its own, so that a text is split once
-        rows = docs.join(asks, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumn("__words", pieces(docs["text"]))
-        words = F.col("__words")
+        text = whole(docs["text"])
+        # columns of their own, so that a text is split once; its exact words only where they are asked for
+        rows = docs.join(asks, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumns(
+            {"__pieces": F.split(text, BREAKS), "__words": F.when(F.col("__asks").isNotNull(), pieces(text))}
+        )
+        words, every = F.col("__words"), F.col("__pieces")
 
         def there(ask: Column) -> Column:
             def same(at: Column) -> Column:
@@ -124,9 +143,9 @@ class PhraseIndex:
             )
 
         none = F.expr("cast(array() as array<struct<start:int,span:int,item_ids:array<string>>>)")
-        blank = (words[0] == "").cast("long") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("long")
+        blank = (every[0] == "").cast("long") + ((F.size(every) > 1) & (F.element_at(every, -1) == "")).cast("long")
         matches = F.when(F.col("__asks").isNull(), none).otherwise(F.flatten(F.transform("__asks", there)))
-        return rows, F.size(words) - blank, matches
+        return rows, F.size(every) - blank, matches
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
