@@ -1689,24 +1689,25 @@ def q_f_scores_shifted(spark, sf):
     return f_scores(d, "toxic", ["doc_id", "far", "quality"]).select("feature", F.round("f_score", 4).alias("f_score"))
 
 
-@_query("expression_modulo", """SELECT o_orderkey, round((o_custkey % 7) / 2.0 - o_totalprice / (o_custkey + (o_orderkey)) / -3.0, 6) AS v,
-    round(ln(abs(o_totalprice)) / nullif(o_custkey % 3, 0), 6) AS w FROM orders""")
+@_query("expression_modulo", """SELECT o_orderkey, round((o_custkey % 7) / 2.0 - o_totalprice / (o_custkey + (o_orderkey)) / -3.0 + 1.3e-8, 6) AS v,
+    round(ln(abs(o_totalprice)) / nullif(o_custkey % 3, 0) + 1.3e-8, 6) AS w FROM orders""")
 def q_expression_modulo(spark, sf):
     from tamis.plans.query import add_expression_column
 
     d = _t(spark, sf, "orders")
     d = add_expression_column(d, "o_custkey % 7 / 2 - o_totalprice / (o_custkey + (o_orderkey)) / -3", "v")
     d = add_expression_column(d, "log(abs(o_totalprice)) / (o_custkey % 3)", "w", check=False)
-    return d.select("o_orderkey", r6(F.col("v")).alias("v"), r6(F.col("w")).alias("w"))
+    # the small addend keeps exact halves off the rounding boundary, where engines differ
+    return d.select("o_orderkey", r6(F.col("v") + F.lit(1.3e-8)).alias("v"), r6(F.col("w") + F.lit(1.3e-8)).alias("w"))
 
 
-@_query("smooth_savgol_short_group", """SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+@_query("smooth_savgol_short_group", """SELECT o_orderkey, round(1.3e-6 + avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
     ROWS BETWEEN 50 PRECEDING AND CURRENT ROW), 4) AS o_totalprice FROM orders""")
 def q_savgol_short(spark, sf):
     _prep(spark)
     d = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     out = _step(d, "smooth_time_series", column="o_totalprice", method="savitzky_golay", window=51, order_by=["o_orderdate", "o_orderkey"], partition_by=["o_custkey"])
-    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+    return out.select("o_orderkey", F.round(F.col("o_totalprice") + F.lit(1.3e-6), 4).alias("o_totalprice"))
 
 
 @_query("encode_ordinal_default", "SELECT o_orderkey, CAST(CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ORDINAL.items()) + " END AS BIGINT) AS o_orderpriority FROM orders")
