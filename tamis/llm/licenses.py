@@ -1,7 +1,8 @@
 """License scan by sentence rules.
 
-A text's lines and sentences are normalised and looked up among known licence sentences.
-The recognised identifiers, in order, are matched against rules, each an ordered sequence
+A known licence sentence is recognised where it begins a line or a sentence of the text, by all
+its words, on one line or wrapped over several lines of a paragraph; the sentence may go on after
+it. The recognised identifiers, in order, are matched against rules, each an ordered sequence
 of identifiers with at most ``GAP`` other recognised sentences between two of them; a
 rule that needs more sentences goes first where rules begin at one place.
 """
@@ -59,19 +60,63 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order: lines, cut after . ! ? ; : where white space follows; letters, digits and single spaces."""
-    cut = F.split(text, r"\n|(?<=[.!?;:])[ \t]+")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+# Further official wordings of these sentences.
+WORDINGS = [
+    ("N", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("c", "this work is licensed under cc by nc 4 0"),
+    ("c", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("c", "this work is licensed under the creative commons attribution noncommercial 4 0 international license"),
+    ("d", "this work is licensed under cc by 4 0"),
+    ("d", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("d", "this work is licensed under the creative commons attribution 4 0 international license"),
+    ("e", "this work is licensed under cc by sa 4 0"),
+    ("e", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("e", "this work is licensed under the creative commons attribution sharealike 4 0 international license"),
+]
+HOLDER = "the copyright holder"  # in E, where texts may name the holder
+SOFT, HARD = "\n", "\x02"  # marks of a line's or sentence's end, and of a paragraph's
+
+
+def marked(text: Column) -> Column:
+    """Words of letters and digits, split by one space, or by SOFT where a line ends or white space follows . ! ? ; : or by HARD at blank lines."""
+    t = F.translate(F.lower(text), "\x01\x02", "  ")
+    # every pattern begins at one character or at a run's begin, so long runs cost one pass
+    for pattern, mark in (
+        (r"\r\n?", "\n"),
+        (r"[.!?;:][ \t]", "\x01"),
+        (r"[^a-z0-9\n\x01]+", " "),
+        (r"(?<![ \n\x01])[ \x01]*+\n[ \x01]*+\n[ \n\x01]*+", HARD),
+        (r"(?<![ \n\x01]) ?[\n\x01][ \n\x01]*+", SOFT),
+    ):
+        t = F.regexp_replace(t, pattern, mark)
+    return F.trim(t)
+
+
+def known_pattern() -> str:
+    """The known sentences at a line's or sentence's begin, the longest first."""
+    gap = f"[ {SOFT}]"
+
+    def one(letter: str, s: str) -> str:
+        wide = s.replace(" ", gap)
+        if letter == "E":
+            wide = wide.replace(HOLDER.replace(" ", gap), f"[a-z0-9]+(?:{gap}[a-z0-9]+){{0,15}}?")
+        if letter == "g":  # "or later" is another licence
+            wide += f"(?!{gap}or{gap}(?:at{gap}your{gap}option{gap})?(?:any{gap})?later)"
+        return wide
+
+    every = sorted([*SENTENCES.items(), *WORDINGS], key=lambda x: -len(x[1]))
+    return f"(?:^|(?<=[{SOFT}{HARD}]))(?:{'|'.join(one(*x) for x in every)})(?![a-z0-9])"
 
 
 def identifiers(text: Column) -> Column:
     """The letters of the recognised sentences, in order."""
-    known = F.create_map(*(F.lit(x) for letter, s in SENTENCES.items() for x in (s, letter)))
+    known = F.create_map(*(F.lit(x) for letter, s in [*SENTENCES.items(), *WORDINGS] for x in (s, letter)))
     # a text without any of these words holds no known sentence
     gate = text.rlike("(?i)licensed|license|redistribut|permission|copyright|warranty|free software")
-    letters = F.transform(sentences(text), lambda s: F.coalesce(F.element_at(known, s), F.lit("")))
+    found = F.regexp_extract_all(marked(text), F.lit(known_pattern()), 0)
+    holder = SENTENCES["E"].split(HOLDER)[0]
+    plain = F.transform(found, lambda s: F.translate(s, SOFT, " "))
+    letters = F.transform(plain, lambda s: F.when(s.startswith(holder), F.lit("E")).otherwise(F.element_at(known, s)))
     return F.when(gate, F.array_join(letters, "")).otherwise("")
 
 
