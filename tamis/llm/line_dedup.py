@@ -99,6 +99,23 @@ def shortest_runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.nda
     return tuple(np.unique(both, axis=1))
 
 
+def longest_run(lines: DataFrame, min_words: int) -> int:
+    """Lines of the longest of the shortest runs; lines without words (of tabs, say) make it longer than ``min_words``."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]).alias("words")
+    parts = lines.groupBy("doc_id", "h", "part").agg(F.min("words").alias("least"), words).where("least = 0").select("words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            words, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            longest = [shortest_runs(words[a:b], min_words)[1].max(initial=0) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(longest, pa.int64())], ["m"])
+
+    # a run of min_words words has at most as many lines with words
+    return max(min_words, parts.mapInArrow(run, "m long").agg(F.max("m")).first()[0] or 0)
+
+
 def run_intervals(lines: DataFrame, levels: int, min_words: int) -> DataFrame:
     """(doc_id, h, start, lines, m, x, y): the shortest runs of each stretch and the interval (m, x, y) of each."""
     ranks = [f"r{k}" for k in range(levels)]
@@ -129,8 +146,8 @@ def run_intervals(lines: DataFrame, levels: int, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, h, i): lines, by their place in the text, that lie in a repeated run with an earlier copy."""
     lines = settle(stretches(docs, min_words))
-    # a run of min_words words has at most as many lines that aren't blank
-    ranks = doubled(lines, min_words)
+    wordless = lines.where("words = 0").limit(1).count()
+    ranks = doubled(lines, longest_run(lines, min_words) if wordless else min_words)
     levels = sum(c[0] == "r" and c[1:].isdigit() for c in ranks.columns)
     runs = settle(run_intervals(ranks, levels, min_words))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "start")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tamis.llm import line_dedup as ld
 
@@ -85,6 +86,18 @@ def test_empty_table_and_columns(spark, docs_of):
     assert out.columns == [*docs_of([]).columns, "n_lines", "removed"]
 
 
+@pytest.mark.parametrize("blank", ["\t", "\r", "\x0c", " \t "])
+def test_lines_without_words_inside_a_run(spark, docs_of, blank):
+    word = lambda n: " ".join(f"w{x}" for x in range(n))
+    run = "\n".join([word(25), *[blank] * 100, word(24) + " end"])
+    short = "\n".join([word(20), *[blank] * 70, word(20)])
+    docs = [(1, "first\n" + run), (2, run + "\nlast"), (3, short), (4, short), (5, "x y\n" * 30), (6, (blank + "\n") * 300), (7, run + "\n" + run)]
+    want = brute([(d, t.replace(blank, "\t")) for d, t in docs], 50)
+    got = {r.doc_id: set(r.removed) for r in ld.without_repeated_lines(docs_of(docs), 50).collect()}
+    assert got == want
+    assert len(want[2]) == 102 and len(want[7]) == 204 and not want[1] | want[4] | want[6]
+
+
 def test_shortest_runs():
     s, m = ld.shortest_runs(np.array([5, 60, 3, 3]), 50)
     assert list(zip(s.tolist(), m.tolist(), strict=True)) == [(0, 2), (1, 1), (1, 2), (1, 3)]
