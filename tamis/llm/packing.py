@@ -14,11 +14,13 @@ each is cut at powers of two, so no sequence holds padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from base64 import b64decode
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -38,21 +40,43 @@ FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 # The pre-tokeniser's expression and the special token of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = {"<|endoftext|>": 50256}
+SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"  # the expression's \\s
+RUN = 500_000  # white-space characters in a row from which the slower library encodes; tiktoken fails at about twice as many
+LONG = re.compile(f"(?<!{SPACE}){SPACE}{{{RUN},}}")
+NEXT = re.compile(SPACE)
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes."""
+    """Token ids as little-endian 32-bit bytes; ``full`` gives the vocabulary as ``tokenizers`` reads it, when it is needed."""
 
-    def __init__(self, ranks: bytes):
+    def __init__(self, ranks: bytes, full: Callable[[], bytes]):
         import tiktoken
 
+        self.full, self.slow = full, None
         pairs = (line.split() for line in ranks.splitlines())
         mergeable = {b64decode(token): int(rank) for token, rank in pairs}
         self.model = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=mergeable, special_tokens=SPECIAL)
 
     def encode(self, text: str) -> bytes:
         """A special token's text inside is that token, as the vocabulary's own library has it."""
-        return array("I", self.model.encode(text, allowed_special="all")).tobytes()
+        try:
+            return array("I", self.model.encode(text, allowed_special="all")).tobytes()
+        except ValueError:  # its expression's stack is full
+            runs = [m.span() for m in LONG.finditer(text)]
+            if not runs:
+                raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_buffer(self.full())
+        out, at = [], 0
+        # no piece reaches over the begin of white space, so texts may be cut there
+        for begin, end in runs:
+            out.append(self.encode(text[at:begin]))
+            following = NEXT.search(text, end)
+            at = following.start() if following else len(text)
+            out.append(array("I", self.slow.encode(text[begin:at], add_special_tokens=False).ids).tobytes())
+        return b"".join([*out, self.encode(text[at:])])
 
 
 class Packer:
@@ -159,7 +183,7 @@ def pack(docs: DataFrame, ranks_path: str, length: int = 2048, quantum: int = 25
     sequence is filled from offset 0 without gaps to ``length``, or to a power of two for the
     rest. Null and empty texts are the end id alone. A null source is a source of its own.
     ``mixture`` gives target shares by source (others share what it leaves); a source that
-    runs out leaves its part to the others. Rows that share a doc_id are packed as separate
+    runs out leaves its part to the others. The vocabulary's ``.json`` form lies beside the ranks. Rows that share a doc_id are packed as separate
     documents. An empty table gives no piece. Other input columns are ignored.
     """
     spark = docs.sparkSession
@@ -167,6 +191,7 @@ def pack(docs: DataFrame, ranks_path: str, length: int = 2048, quantum: int = 25
     sources, shares = queue_shares(slim, mixture)
     with open(ranks_path, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
+    full = spark.sparkContext.broadcast(Path(ranks_path).with_suffix(".json").read_bytes())
     key = zlib.crc32(shared.value)
     id_type = dict(slim.dtypes)["doc_id"]
     number = {s: n for n, s in enumerate(sources)}
@@ -174,7 +199,7 @@ def pack(docs: DataFrame, ranks_path: str, length: int = 2048, quantum: int = 25
     schema = f"doc_id {id_type}, {FIELDS}, queue int, deficit double, part int, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ENCODERS.get(key) or ENCODERS.setdefault(key, Encoder(shared.value))
+        encoder = ENCODERS.get(key) or ENCODERS.setdefault(key, Encoder(shared.value, lambda: full.value))
         part = TaskContext.get().partitionId()
         packer = Packer(shares, length, quantum, part << 32)
         ids_of = None

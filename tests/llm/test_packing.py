@@ -57,6 +57,15 @@ def test_round_trip(spark, docs_of, tokenizer):
     check_pieces(pieces, rows, tokenizer, 256)
 
 
+def test_long_white_space(spark, docs_of, tokenizer):
+    rng = random.Random(9)
+    mixed = "".join(rng.choice(" \n\t\u00a0") for _ in range(1_200_000))
+    long = [" " * 2_000_000, "\n" * 2_000_000, "it's,\x1c" + " " * 1_100_000 + "word 12 end", mixed + "<|endoftext|> x" + " " * 1_300_000 + "\x1f,\u3000é\n"]
+    rows = [(d, t, "big") for d, t in enumerate([*long, "plain text"])]
+    pieces = packing.pack(docs_of(rows), RANKS).collect()
+    check_pieces(pieces, rows, tokenizer, 2048)
+
+
 def test_windows_hold_the_mixture(spark, docs_of, tokenizer):
     rng = random.Random(4)
     rows = [(d, "token " * rng.randrange(50, 200), rng.choice(["a", "a", "a", "b"])) for d in range(1200)]
