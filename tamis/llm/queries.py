@@ -194,3 +194,24 @@ def op5_license_scan(spark, sf_dir):
     from tamis.llm.licenses import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS run
+        FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+    again AS (SELECT run FROM s GROUP BY run HAVING count(*) > 1),
+    gone AS (SELECT r, list(DISTINCT n) AS ns
+        FROM (SELECT r, unnest(generate_series(i, i + 34)) AS n FROM s JOIN again USING (run)) GROUP BY r),
+    k AS (SELECT doc_id, w, coalesce(ns, []) AS ns FROM d LEFT JOIN gone USING (r)),
+    l AS (SELECT doc_id, w, ns, list_sort(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(ns, i))) AS stay FROM k)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ns) AS BIGINT) AS n_removed,
+        sha256(array_to_string(list_transform(stay, lambda i: w[i]), ' ')) AS kept_sha256 FROM l"""
+
+
+@query("op13_substring_dedup", OP13_SQL)
+def op13_substring_dedup(spark, sf_dir):
+    from tamis.llm.substring_dedup import digest, without_repeated_substrings
+
+    return digest(without_repeated_substrings(table(spark, sf_dir, "documents"), window=35))
