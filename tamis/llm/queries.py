@@ -215,3 +215,26 @@ def op13_substring_dedup(spark, sf_dir):
     from tamis.llm.substring_dedup import digest, without_repeated_substrings
 
     return digest(without_repeated_substrings(table(spark, sf_dir, "documents"), window=35))
+
+
+OP12_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+    q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+    t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+    total AS (SELECT count(*) AS rows, coalesce(sum(len(w)), 0)::BIGINT AS words FROM d WHERE len(w) > 0),
+    f AS (SELECT term, floor(1000 * ln((2 * rows + 2) / (2 * df + 1)))::BIGINT AS weight
+        FROM (SELECT term, count(*) AS df FROM t GROUP BY term), total),
+    i AS (SELECT r, doc_id, len(w) AS n, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(w) * rows) // words))) AS part
+        FROM t JOIN d USING (r) JOIN f USING (term), total),
+    s AS (SELECT item_id, r, doc_id, n, sum(part)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, r, doc_id, n HAVING sum(part) > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, n) AS rank FROM s) WHERE rank <= 50"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12_ranked_search(spark, sf_dir):
+    from tamis.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
