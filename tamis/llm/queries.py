@@ -238,3 +238,10 @@ def op12_ranked_search(spark, sf_dir):
     from tamis.llm.ranked_search import ranked_search
 
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    from tamis.llm.periodic_runs import digest, periodic_runs, with_planted_runs
+
+    return digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), min_words=6))
