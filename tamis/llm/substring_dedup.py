@@ -11,8 +11,9 @@ and the windows whose hash is found more than once are the repeated ones. Window
 matched anchor are never hashed to the network.
 
 Documents lie in chunks of bounded size, in the checkpoint folder. A chunk sends each hash
-once, with its count, and gets back those found anywhere else; so a passage that a third of
-all documents share is one row a chunk, and no task collects its copies.
+once, with its first place there and whether it is there again, and gets back the places of
+those found anywhere else; so a passage that a third of all documents share is one row a
+chunk, and no task collects its copies.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sealed() -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as writer:
             writer.write_table(table)
         return pa.RecordBatch.from_pydict({"blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
@@ -110,10 +111,10 @@ class Chunk:
         return at, self.rolled(0, length)[at].view(np.int64)
 
     def extended(self, window: int, matched: np.ndarray) -> np.ndarray:
-        """Places of the windows that hold a matched anchor."""
+        """Places of the windows that hold a matched anchor; ``matched`` has one place of each matched hash."""
         period, _ = difference_cover(window)
         at, hashes = self.anchors(window)
-        at = at[np.isin(hashes, matched)]
+        at = at[np.isin(hashes, hashes[np.searchsorted(at, matched)])]
         n = len(self.words)
         begins = np.maximum(at - period + 1, at - self.place[at])
         edge = np.bincount(begins, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
@@ -122,11 +123,13 @@ class Chunk:
     def windows(self, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(self.rolled(half, window)[at].view(np.int64) for half in (0, 1))
 
-    def covered(self, window: int, repeated: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Which words lie in a window whose hash is among ``repeated``."""
+    def covered(self, window: int, repeated: np.ndarray) -> np.ndarray:
+        """Which words lie in a repeated window; ``repeated`` has one place of each repeated hash."""
         n = len(self.words)
         at = np.flatnonzero(self.left >= window)
-        at = at[among(self.windows(window, at), repeated)]
+        every = self.windows(window, at)
+        known = np.searchsorted(at, repeated)
+        at = at[among(every, tuple(half[known] for half in every))]
         edge = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
         return np.cumsum(edge)[:n] > 0
 
@@ -147,21 +150,24 @@ def among(pairs: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndar
     return found
 
 
-def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of the columns, and how often each is there."""
-    order = np.lexsort(columns[::-1])
-    held = [c[order] for c in columns]
+def spots(places: np.ndarray, *hashes: np.ndarray) -> list[np.ndarray]:
+    """One spot for each distinct hash, in order of place: twice its first place, plus one if it is there again; then the hashes."""
+    order = np.lexsort(hashes[::-1]) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+    held = [h[order] for h in hashes]
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.any([c[1:] != c[:-1] for c in held], axis=0)
+        new[1:] = np.any([h[1:] != h[:-1] for h in held], axis=0)
     first = np.flatnonzero(new)
-    return [c[first] for c in held], np.diff(np.append(first, len(order)))
+    again = np.diff(np.append(first, len(order))) > 1
+    by_place = np.argsort(order[first], kind="stable")
+    first, again = first[by_place], again[by_place]
+    return [places[order[first]] * 2 + again, *(h[first] for h in held)]
 
 
 def found_again(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, chunk) of the hashes found more than once, in one chunk or in several; rows are one a hash and chunk."""
-    everywhere = F.sum("n").over(Window.partitionBy(*keys))
-    return rows.withColumn("everywhere", everywhere).where("everywhere > 1").select(*keys, "chunk")
+    """(chunk, spot) of the hashes found more than once, in one chunk or in several; rows are one a hash and chunk."""
+    everywhere = F.sum(F.col("spot") % 2 + 1).over(Window.partitionBy(*keys))
+    return rows.withColumn("everywhere", everywhere).where("everywhere > 1").select("chunk", "spot")
 
 
 def without_repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -182,23 +188,24 @@ def without_repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFr
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, chunk in zip(batch.column("blob"), batch.column("chunk").to_pylist(), strict=True):
-                (hashes,), n = counted(Chunk(blob.as_py()).anchors(window)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(n), chunk)), pa.array(n)], ["hash", "chunk", "n"])
+                spot, hashes = spots(*Chunk(blob.as_py()).anchors(window))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(spot), chunk)), pa.array(spot)], ["hash", "chunk", "spot"])
 
     def candidates(chunk: pa.Table, matched: pa.Table) -> pa.Table:
         if not chunk.num_rows or not matched.num_rows:
             return empty
         (number,) = chunk.column("chunk").to_pylist()
         words = Chunk(chunk.column("blob")[0].as_py())
-        halves, n = counted(*words.windows(window, words.extended(window, matched.column("hash").to_numpy())))
-        return pa.table([*map(pa.array, halves), pa.array(np.full(len(n), number)), pa.array(n)], names=["a", "b", "chunk", "n"])
+        at = words.extended(window, matched.column("spot").to_numpy() // 2)
+        spot, a, b = spots(at, *words.windows(window, at))
+        return pa.table([pa.array(a), pa.array(b), pa.array(np.full(len(spot), number)), pa.array(spot)], names=["a", "b", "chunk", "spot"])
 
-    empty = pa.table([pa.array([], pa.int64())] * 4, names=["a", "b", "chunk", "n"])
+    empty = pa.table([pa.array([], pa.int64())] * 4, names=["a", "b", "chunk", "spot"])
     id_type = dict(slim.dtypes)["doc_id"]
 
     def remove(chunk: pa.Table, repeated: pa.Table) -> pa.Table:
         words = Chunk(chunk.column("blob")[0].as_py())
-        gone = words.covered(window, tuple(repeated.column(c).to_numpy() for c in "ab"))
+        gone = words.covered(window, repeated.column("spot").to_numpy() // 2)
         before = np.concatenate(([False], gone[:-1])) & (words.place > 0)
         after = np.concatenate((gone[1:], [False])) & (words.left > 1)
         first, last = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
@@ -213,8 +220,8 @@ def without_repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFr
     def by_chunk(rows: DataFrame, fn, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(fn, schema)
 
-    matched = found_again(chunks.mapInArrow(anchors, "hash long, chunk long, n long"), "hash")
-    hashed = by_chunk(matched, candidates, "a long, b long, chunk long, n long")
+    matched = found_again(chunks.mapInArrow(anchors, "hash long, chunk long, spot long"), "hash")
+    hashed = by_chunk(matched, candidates, "a long, b long, chunk long, spot long")
     return by_chunk(found_again(hashed, "a", "b"), remove, f"doc_id {id_type}, n_words long, removed array<struct<start:long,length:long>>, kept string")
 
 
