@@ -13,7 +13,8 @@ matched anchor are never hashed to the network.
 Documents lie in chunks of bounded size, in the checkpoint folder. A chunk sends each hash
 once, with its first place there and whether it is there again, and gets back the places of
 those found anywhere else; so a passage that a third of all documents share is one row a
-chunk, and no task collects its copies.
+chunk, and no task collects its copies. Whole texts are looked for in the same way first: of equal
+texts one alone sends its anchors, and all lose their words.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from tamis.llm.words import numbered, slices, split
 
 WINDOW = 35
 CHUNK_BYTES = 8_000_000  # of text; a longer text is a chunk of its own
+PLACE_BITS = 30  # of a tag: a spot; a chunk has fewer than 2 ** 29 words
+CHUNK_BITS = 13  # of a chunk's number: chunks of a partition, 64 GB of text
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, for the two halves of a hash
 
 
@@ -58,13 +61,15 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             writer.write_table(table)
         return pa.RecordBatch.from_pydict({"blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    size = 0
+    size = number = 0
     for rows in slices(batches, "text", CHUNK_BYTES):
         held.append(rows)
         size += rows.column("text").nbytes
         if size >= CHUNK_BYTES:
             yield sealed()
-            held, size = [], 0
+            held, size, number = [], 0, number + 1
+            if number >= 1 << CHUNK_BITS:
+                raise ValueError("a partition holds too many chunks: repartition the documents")
     if held:
         yield sealed()
 
@@ -91,6 +96,8 @@ class Chunk:
         distinct, self.number = numbered(self.words)
         self.hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
         self.lengths = np.diff(self.starts)
+        texts = b"".join(xxhash.xxh3_128_digest(t.as_py() or b"") for t in table.column("text").combine_chunks().cast(pa.binary()))
+        self.texts = tuple(np.frombuffer(texts, np.int64).reshape(-1, 2).T)
         self.place = np.arange(len(self.words)) - np.repeat(self.starts[:-1], self.lengths)
         self.left = np.repeat(self.lengths, self.lengths) - self.place  # words up to the text's end, this one included
 
@@ -102,12 +109,26 @@ class Chunk:
         ends = np.minimum(np.arange(n) + length, n)
         return (sums[ends] - sums[:n]) * powers(pow(base, -1, 2**64), n)
 
+    def long_texts(self, window: int) -> tuple[np.ndarray, ...]:
+        """Rows whose text holds a window, and the two halves of the text's hash."""
+        at = np.flatnonzero(self.lengths >= window)
+        return at, *(half[at] for half in self.texts)
+
+    def copied(self, window: int, rows: np.ndarray) -> np.ndarray:
+        """Which texts are copies; ``rows`` has one row of each text that is there again, here or in another chunk."""
+        at, *halves = self.long_texts(window)
+        out = np.zeros(len(self.lengths), bool)
+        out[at] = among(tuple(halves), tuple(half[rows] for half in self.texts))
+        return out
+
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the anchors and their hashes."""
         period, cover = difference_cover(window)
         length = window - period + 1
+        held = np.zeros(period, bool)
+        held[cover] = True
         # texts that hold no window have no anchors either
-        at = np.flatnonzero(np.isin(self.place % period, cover) & (self.left >= length) & (self.place + self.left >= window))
+        at = np.flatnonzero(held[self.place % period] & (self.left >= length) & (self.place + self.left >= window))
         return at, self.rolled(0, length)[at].view(np.int64)
 
     def extended(self, window: int, matched: np.ndarray) -> np.ndarray:
@@ -164,10 +185,19 @@ def spots(places: np.ndarray, *hashes: np.ndarray) -> list[np.ndarray]:
     return [places[order[first]] * 2 + again, *(h[first] for h in held)]
 
 
+def tagged(chunk: int, spot: np.ndarray) -> pa.Array:
+    return pa.array((chunk << PLACE_BITS) | spot)
+
+
 def found_again(rows: DataFrame, *keys: str) -> DataFrame:
-    """(chunk, spot) of the hashes found more than once, in one chunk or in several; rows are one a hash and chunk."""
-    everywhere = F.sum(F.col("spot") % 2 + 1).over(Window.partitionBy(*keys))
-    return rows.withColumn("everywhere", everywhere).where("everywhere > 1").select("chunk", "spot")
+    """(chunk, spot, first) of the hashes found more than once, in one chunk or in several; rows are one a hash and chunk.
+
+    ``first`` marks one row of each hash.
+    """
+    same, spot = Window.partitionBy(*keys), F.col("tag").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    held = rows.withColumn("everywhere", F.sum(spot % 2 + 1).over(same)).withColumn("least", F.min("tag").over(same))
+    found = held.where("everywhere > 1")
+    return found.select(F.shiftright("tag", PLACE_BITS).alias("chunk"), spot.alias("spot"), (F.col("tag") == F.col("least")).alias("first"))
 
 
 def without_repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -183,29 +213,43 @@ def without_repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFr
     than the window keep all. Other input columns are ignored. An empty table gives none.
     """
     slim = payload(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
-    chunks = settle(slim.mapInArrow(pack, "blob binary")).withColumn("chunk", F.monotonically_increasing_id())
+    number = F.monotonically_increasing_id()  # 33 bits of it count a partition's rows
+    compact = F.shiftleft(F.shiftright(number, 33), CHUNK_BITS).bitwiseOR(number.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)))
+    chunks = settle(slim.mapInArrow(pack, "blob binary")).withColumn("chunk", compact)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, chunk in zip(batch.column("blob"), batch.column("chunk").to_pylist(), strict=True):
-                spot, hashes = spots(*Chunk(blob.as_py()).anchors(window))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(spot), chunk)), pa.array(spot)], ["hash", "chunk", "spot"])
+                spot, a, b = spots(*Chunk(blob.as_py()).long_texts(window))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), tagged(chunk, spot)], ["a", "b", "tag"])
+
+    def opened(chunk: pa.Table) -> tuple[int, Chunk]:
+        return chunk.column("chunk")[0].as_py(), Chunk(chunk.column("blob")[0].as_py())
+
+    def anchors(chunk: pa.Table, copies: pa.Table) -> pa.Table:
+        number, words = opened(chunk)
+        rows, first = copies.column("spot").to_numpy() // 2, copies.column("first").to_numpy()
+        sends = ~words.copied(window, rows)
+        sends[rows[first]] = True
+        at, hashes = words.anchors(window)
+        sent = np.repeat(sends, words.lengths)[at]
+        spot, hashes = spots(at[sent], hashes[sent])
+        return pa.table([pa.array(hashes), tagged(number, spot)], names=["hash", "tag"])
 
     def candidates(chunk: pa.Table, matched: pa.Table) -> pa.Table:
-        if not chunk.num_rows or not matched.num_rows:
-            return empty
-        (number,) = chunk.column("chunk").to_pylist()
-        words = Chunk(chunk.column("blob")[0].as_py())
+        if not matched.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "tag"])
+        number, words = opened(chunk)
         at = words.extended(window, matched.column("spot").to_numpy() // 2)
         spot, a, b = spots(at, *words.windows(window, at))
-        return pa.table([pa.array(a), pa.array(b), pa.array(np.full(len(spot), number)), pa.array(spot)], names=["a", "b", "chunk", "spot"])
+        return pa.table([pa.array(a), pa.array(b), tagged(number, spot)], names=["a", "b", "tag"])
 
-    empty = pa.table([pa.array([], pa.int64())] * 4, names=["a", "b", "chunk", "spot"])
     id_type = dict(slim.dtypes)["doc_id"]
 
     def remove(chunk: pa.Table, repeated: pa.Table) -> pa.Table:
-        words = Chunk(chunk.column("blob")[0].as_py())
-        gone = words.covered(window, repeated.column("spot").to_numpy() // 2)
+        _, words = opened(chunk)
+        rows, whole = repeated.column("spot").to_numpy() // 2, repeated.column("whole").to_numpy()
+        gone = words.covered(window, rows[~whole]) | np.repeat(words.copied(window, rows[whole]), words.lengths)
         before = np.concatenate(([False], gone[:-1])) & (words.place > 0)
         after = np.concatenate((gone[1:], [False])) & (words.left > 1)
         first, last = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
@@ -220,9 +264,11 @@ def without_repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFr
     def by_chunk(rows: DataFrame, fn, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(fn, schema)
 
-    matched = found_again(chunks.mapInArrow(anchors, "hash long, chunk long, spot long"), "hash")
-    hashed = by_chunk(matched, candidates, "a long, b long, chunk long, spot long")
-    return by_chunk(found_again(hashed, "a", "b"), remove, f"doc_id {id_type}, n_words long, removed array<struct<start:long,length:long>>, kept string")
+    copies = found_again(chunks.mapInArrow(texts, "a long, b long, tag long"), "a", "b")
+    matched = found_again(by_chunk(copies, anchors, "hash long, tag long"), "hash")
+    repeated = found_again(by_chunk(matched, candidates, "a long, b long, tag long"), "a", "b")
+    marked = repeated.withColumn("whole", F.lit(False)).unionAll(copies.withColumn("whole", F.lit(True)))
+    return by_chunk(marked.drop("first"), remove, f"doc_id {id_type}, n_words long, removed array<struct<start:long,length:long>>, kept string")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
