@@ -4,87 +4,43 @@ pandas leans on row order (ffill, rolling means, interpolation, ranks). A Spark
 with ``orderBy`` and no ``partitionBy`` moves every row into one task, and a window
 partitioned by a group key moves a hot group into one task. Both are avoided here:
 
-1. ``repartitionByRange`` on ``(partition_by..., order_by...)`` spreads the rows evenly,
-   also when one group holds a third of them, since the range partitioner splits on the
-   full composite key; ``sortWithinPartitions`` orders each partition.
-2. The ranged frame is checkpointed into the shared checkpoint folder so that both
-   passes below see identical partitions (a recomputed range shuffle could move rows).
-3. Pass 1 (``mapInArrow``) emits one small summary row per partition: group keys at the
-   edges, row counts, the first/last few rows and first/last non-null values of the
-   edge groups. Its size is bounded by partitions × context rows.
-4. The driver chains the summaries into a left and a right context per partition.
-5. Pass 2 (``mapInArrow``) runs a vectorised kernel per group segment with its context.
-
-No shuffle besides the range partitioning; each task holds one partition.
+1. The rows are counted. A table, or a group, that fits a slice of ``ROWS`` rows needs nothing else: a
+   plain window does it.
+2. Otherwise a sample of sort keys (chosen by their hash, so the same rows each time) gives
+   bounds that cut each large group into slices. A row's slice is a function of its own sort
+   key, found by binary search: no checkpoint is needed for it to hold in every stage.
+3. The scan is a window over (group, slice), one exchange.
+4. What a slice needs from its neighbours (the last value, counts, totals, the values next to
+   its ends) comes from an edge table: one row for each slice of a cut group, aggregated from the keys and
+   the scanned columns only, chained by windows over the slices and joined back. It has at most
+   two rows a bound, which is what makes its broadcast safe.
+
+Everything stays in the JVM, and a scan is lazy but for the count and the sample.
 """
 
 from __future__ import annotations
 
-import base64
 import math
-import pickle
-from dataclasses import dataclass, field
-from typing import Any
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DateType, MapType, TimestampNTZType, TimestampType
 
-from tamis.session import reliable_checkpoint, shuffle_partitions
+ROWS = 250_000  # of a slice, while there are at most SLICES of them
+SLICES = 16_384  # of a table; beyond, slices grow
+SAMPLE = 16  # sampled keys a slice
+TIE, SLICE = "__tie", "__slice"
 
 
-@dataclass
-class Context:
-    """What a group segment needs from rows outside its partition."""
-
-    pos0: int = 0  # position of the segment's first row inside its group
-    glen: int = 0  # rows in the whole group
-    gpos0: int = 0  # position of the segment's first row in the whole ordered table
-    left: pa.Table | None = None  # up to k_left rows of the same group just before
-    right: pa.Table | None = None  # up to k_right rows of the same group just after
-    last_valid: dict = field(default_factory=dict)  # col -> (value, group position)
-    next_valid: dict = field(default_factory=dict)  # col -> (value, group position)
-    sums0: dict = field(default_factory=dict)  # col -> total over all rows before the segment
-    gsums0: dict = field(default_factory=dict)  # col -> total over the group's rows before the segment
-
-
-class Kernel:
-    """A per-segment computation. Subclasses set the context they need."""
-
-    k_left = 0
-    k_right = 0
-    context_cols: tuple[str, ...] = ()
-    valid_cols: tuple[str, ...] = ()
-    sum_cols: tuple[str, ...] = ()  # columns whose running total before each segment is needed
-
-    def output_fields(self, schema: StructType) -> list[StructField]:
-        """Fields added (or replaced, by name) in the output."""
-        raise NotImplementedError
-
-    def apply(self, seg: pa.Table, ctx: Context) -> dict[str, pa.Array]:
-        raise NotImplementedError
-
-
-def _sort_exprs(order_by, partition_by, descending=False):
-    exprs = [F.col(f"`{c}`").asc_nulls_first() for c in partition_by]
-    for c in order_by:
-        e = F.col(f"`{c}`")
-        exprs.append(e.desc_nulls_last() if descending else e.asc_nulls_first())
-    return exprs
-
-
-TIE = "__tie"
+def _sort_exprs(order_by, partition_by):
+    return [F.col(f"`{c}`").asc_nulls_first() for c in [*partition_by, *order_by]]
 
 
 def with_tie_breaker(df: DataFrame, order_by, partition_by=()) -> tuple[DataFrame, list[str]]:
     """Make the order total: rows with equal keys are ordered by a 64-bit hash of their
     remaining columns (pandas' row order has no Spark counterpart). One compact long keeps
-    the range partitioner's sampled keys small even for wide text rows."""
-    from pyspark.sql.types import MapType
-
+    the sort keys small even for wide text rows."""
     used = set(order_by) | set(partition_by)
     rest = [f.name for f in df.schema.fields if f.name not in used and not isinstance(f.dataType, MapType)]
     if not rest:
@@ -92,255 +48,181 @@ def with_tie_breaker(df: DataFrame, order_by, partition_by=()) -> tuple[DataFram
     return df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in rest])), list(order_by) + [TIE]
 
 
-PARTITION_BYTES = 128_000_000  # a scan holds one partition in memory
-
+def sortable(df: DataFrame, column: str) -> Column:
+    """A sort key in a form that keeps its order and that the driver can hold: dates and timestamps become whole numbers."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, DateType):
+        return F.unix_date(c)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, TimestampNTZType):
+        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.expr(f"extract(second from `{column}`)")
+        return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (seconds * 1_000_000).cast("long")
+    return c
 
-def partitions_for(df: DataFrame) -> int:
-    """Enough partitions for the optimizer's estimate of the input, and the session's number at least."""
-    least = shuffle_partitions(df.sparkSession)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size < 1 << 60  # plans over checkpoints have no estimate
-    return max(least, -(-size // PARTITION_BYTES)) if known else max(least, df.rdd.getNumPartitions())
 
+def slice_bounds(df: DataFrame, order_by, partition_by=(), num_partitions: int | None = None) -> list[tuple]:
+    """Sort keys (partition_by, order_by; ``sortable``) that begin a new slice inside a large group, in order.
 
-def ranged(df: DataFrame, order_by, partition_by=(), num_partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort ``df`` on its keys, then checkpoint it reliably."""
-    n = num_partitions or partitions_for(df)
-    keys = _sort_exprs(order_by, partition_by)
-    return reliable_checkpoint(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
-
-
-def _segments(tbl: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
-    n = tbl.num_rows
-    if n == 0:
+    ``num_partitions`` sets the number of slices for a table that is one group. Rows whose whole
+    sort key agrees can't be told apart and lie in one slice.
+    """
+    rows = df.count()
+    size = -(-rows // num_partitions) if num_partitions else max(ROWS, -(-rows // SLICES))
+    if rows <= size:
         return []
-    if not keys:
-        return [(0, n)]
-    change = np.zeros(n - 1, dtype=bool)
-    for k in keys:
-        a = tbl.column(k).slice(1)
-        b = tbl.column(k).slice(0, n - 1)
-        ne = pc.fill_null(pc.not_equal(a, b), False)
-        nullx = pc.xor(pc.is_null(a), pc.is_null(b))
-        change |= pc.or_(ne, nullx).to_numpy(zero_copy_only=False)
-    cuts = [0] + list(np.nonzero(change)[0] + 1) + [n]
-    return [(int(cuts[i]), int(cuts[i + 1])) for i in range(len(cuts) - 1)]
-
-
-def _key_of(tbl: pa.Table, keys: list[str], i: int):
-    return tuple(tbl.column(k)[i].as_py() for k in keys)
-
-
-def _first_valid(arr: pa.ChunkedArray | pa.Array):
-    valid = pc.is_valid(arr).to_numpy(zero_copy_only=False)
-    idx = np.flatnonzero(valid)
-    return None if idx.size == 0 else (arr[int(idx[0])].as_py(), int(idx[0]))
-
-
-def _last_valid(arr):
-    valid = pc.is_valid(arr).to_numpy(zero_copy_only=False)
-    idx = np.flatnonzero(valid)
-    return None if idx.size == 0 else (arr[int(idx[-1])].as_py(), int(idx[-1]))
-
-
-def _concat(a: pa.Table | None, b: pa.Table | None) -> pa.Table | None:
-    if a is None or a.num_rows == 0:
-        return b
-    if b is None or b.num_rows == 0:
-        return a
-    return pa.concat_tables([a, b.cast(a.schema)])
-
-
-def _partition_id() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def _read_all(batches) -> pa.Table | None:
-    batches = list(batches)
-    if not batches:
-        return None
-    return pa.Table.from_batches(batches)
-
-
-def ordered_scan(
-    df: DataFrame,
-    kernel: Kernel,
-    order_by,
-    partition_by=(),
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """Apply ``kernel`` to every group segment of ``df`` in (partition_by, order_by) order."""
-    order_by, partition_by = list(order_by), list(partition_by)
-    keys = partition_by
-    tied, order_by = with_tie_breaker(df, order_by, partition_by)
-    data = ranged(tied, order_by, partition_by, num_partitions)
-    k_left, k_right = kernel.k_left, kernel.k_right
-    ctx_cols = list(dict.fromkeys(kernel.context_cols))
-    valid_cols = list(dict.fromkeys(kernel.valid_cols))
-    sum_cols = list(dict.fromkeys(kernel.sum_cols))
-
-    def summarize(batches):
-        tbl = _read_all(batches)
-        pid = _partition_id()
-        info: dict[str, Any] = {"n": 0}
-        if tbl is not None and tbl.num_rows:
-            segs = _segments(tbl, keys)
-            (fs, fe), (ls, le) = segs[0], segs[-1]
-            first, last = tbl.slice(fs, fe - fs), tbl.slice(ls, le - ls)
-            info = {
-                "n": tbl.num_rows,
-                "first_key": _key_of(tbl, keys, 0),
-                "last_key": _key_of(tbl, keys, tbl.num_rows - 1),
-                "first_len": fe - fs,
-                "last_len": le - ls,
-                "head": first.select(ctx_cols).slice(0, k_right) if k_right else None,
-                "tail": last.select(ctx_cols).slice(max(0, last.num_rows - k_left)) if k_left else None,
-                "first_valid": {c: _first_valid(first.column(c)) for c in valid_cols},
-                "last_valid": {c: _last_valid(last.column(c)) for c in valid_cols},
-                "sums": {c: pc.sum(tbl.column(c)).as_py() or 0 for c in sum_cols},
-                "last_sums": {c: pc.sum(last.column(c)).as_py() or 0 for c in sum_cols},
+    keys = [*partition_by, *order_by]
+    step = max(1, size // SAMPLE)
+    # the k-th column of the sample is called k: column names may hold anything
+    narrow = df.select(*[sortable(df, c).alias(f"k{i}") for i, c in enumerate(keys)])
+    names = narrow.columns
+    sample = narrow.where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0).groupBy(*names).count()
+    found = sample.orderBy(*[F.col(k).asc_nulls_first() for k in names]).collect()
+    bounds, at = [], 0
+    while at < len(found):
+        group = found[at][: len(partition_by)]
+        end = at
+        while end < len(found) and found[end][: len(partition_by)] == group:
+            end += 1
+        held = sum(r["count"] for r in found[at:end]) * step
+        pieces = -(-held // size) if held > 1.5 * size or not partition_by else 1
+        before, cut = 0, 1
+        for row in found[at:end]:
+            if cut < pieces and before * step >= cut * held / pieces:
+                bounds.append(tuple(row)[: len(keys)])
+                while cut < pieces and before * step >= cut * held / pieces:
+                    cut += 1
+            before += row["count"]
+        at = end
+    return bounds
+
+
+def _typed(values, types, names) -> Column:
+    return F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(values, types, names, strict=True)])
+
+
+def slice_number(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """How many bounds a row's sort key has reached, by binary search over them."""
+    names = [f"k{i}" for i in range(len(keys))]
+    parts = [sortable(df, k).alias(n) for k, n in zip(keys, names, strict=True)]
+    types, own = [f.dataType for f in df.select(*parts).schema.fields], F.struct(*parts)
+    every = F.array(*[_typed(b, types, names) for b in bounds])
+    rounds = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    # the largest number whose bound is reached, bit by bit
+    reached = lambda n, width: (n + width <= len(bounds)) & (F.get(every, n + width - 1) <= own)
+    return F.aggregate(rounds, F.lit(0), lambda n, width: F.when(reached(n, width), n + width).otherwise(n))
+
+
+class Scan:
+    """A table in (partition_by, order_by) order, cut into slices where a group is large."""
+
+    def __init__(self, df: DataFrame, order_by, partition_by=(), num_partitions: int | None = None) -> None:
+        self.keys = list(partition_by)
+        rows, self.order = with_tie_breaker(df, list(order_by), self.keys)
+        bounds = slice_bounds(rows, self.order, self.keys, num_partitions)
+        self.sliced = bool(bounds)
+        number = slice_number(rows, [*self.keys, *self.order], bounds) if bounds else F.lit(0)
+        self.rows = rows.withColumn(SLICE, number)
+        # groups that a bound may cut: at most one a bound
+        self.cut = list(dict.fromkeys(b[: len(self.keys)] for b in bounds))
+
+    def window(self, reverse: bool = False):
+        """The rows of a slice up to the current one, from its start or, reversed, from its end."""
+        order = [F.col(f"`{c}`").desc_nulls_last() if reverse else F.col(f"`{c}`").asc_nulls_first() for c in self.order]
+        held = Window.partitionBy(*[F.col(f"`{k}`") for k in self.keys], SLICE).orderBy(*order)
+        return held.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def whole(self):
+        return Window.partitionBy(*[F.col(f"`{k}`") for k in self.keys], SLICE)
+
+    def edges(self, rows: DataFrame, **aggregates: Column) -> DataFrame:
+        """One row for each slice of a cut group: g0, g1, ... (the group), SLICE and the aggregates."""
+        if self.keys:
+            own = [sortable(rows, k).alias(f"c{i}") for i, k in enumerate(self.keys)]
+            cut = rows.sparkSession.createDataFrame(self.cut, rows.select(*own).schema)
+            same = [sortable(rows, k).eqNullSafe(F.col(f"c{i}")) for i, k in enumerate(self.keys)]
+            rows = rows.join(F.broadcast(cut), same, "left_semi")
+        group = [F.col(f"`{k}`").alias(f"g{i}") for i, k in enumerate(self.keys)]
+        return rows.groupBy(*group, SLICE).agg(*[a.alias(n) for n, a in aggregates.items()])
+
+    def along(self, *also: str, reverse: bool = False):
+        """The edge rows of a group, in order; at most as many as there are slices."""
+        order = F.col(SLICE).desc() if reverse else F.col(SLICE).asc()
+        return Window.partitionBy(*[f"g{i}" for i in range(len(self.keys))], *also).orderBy(order)
+
+    def earlier(self, reverse: bool = False):
+        return self.along(reverse=reverse).rowsBetween(Window.unboundedPreceding, -1)
+
+    def attach(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """The edge columns beside the rows of their slice, null in groups that aren't cut."""
+        edges = edges.withColumnRenamed(SLICE, "__s")
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"g{i}")) for i, k in enumerate(self.keys)] + [F.col(SLICE) == F.col("__s")]
+        return rows.join(F.broadcast(edges), same, "left").drop("__s", *[f"g{i}" for i in range(len(self.keys))])
+
+    def numbered(self) -> DataFrame:
+        """The rows with __rn, their number in the slice, from 1."""
+        return self.rows.withColumn("__rn", F.row_number().over(self.window()).cast("long"))
+
+    def neighbours(self, rows: DataFrame, value: Column, reach: int) -> DataFrame:
+        """Adds __n (rows of the slice), __glen (rows of the group), __offset (rows of the group before the slice), and the
+        up to ``reach`` values of the group just before and after the slice, __left and __right, in order."""
+        if not self.sliced:
+            nothing = F.array().cast("array<double>")
+            count = F.count(F.lit(1)).over(self.whole())
+            return rows.withColumns({"__n": count, "__glen": count, "__offset": F.lit(0).cast("long"), "__left": nothing, "__right": nothing})
+        narrow = rows.select(*[F.col(f"`{k}`") for k in self.keys], SLICE, "__rn", value.alias("__x"))
+        narrow = narrow.withColumn("__n", F.count(F.lit(1)).over(self.whole()))
+        item = F.struct("__rn", "__x")
+        edges = self.edges(
+            narrow, __n=F.max("__n"),
+            head=F.array_sort(F.collect_list(F.when(F.col("__rn") <= reach, item))),
+            tail=F.array_sort(F.collect_list(F.when(F.col("__rn") > F.col("__n") - reach, item))),
+        )
+        edges = edges.withColumns({side: F.transform(side, lambda x: x["__x"]) for side in ("head", "tail")})
+        full = F.when(F.col("__n") >= reach, 1).otherwise(0)
+        for name, own, reverse in (("__left", "tail", False), ("__right", "head", True)):
+            # from the last slice that fills the reach by itself on, the values add up
+            every = lambda *also, r=reverse: self.along(*also, reverse=r).rowsBetween(Window.unboundedPreceding, 0)
+            edges = edges.withColumn("__f", F.sum(full).over(every()))
+            lists = F.collect_list(own).over(every("__f"))
+            joined = F.flatten(F.reverse(lists) if reverse else lists)
+            size = F.size(joined)
+            near = F.slice(joined, 1, F.least(size, F.lit(reach))) if reverse else F.slice(joined, F.greatest(size - reach, F.lit(0)) + 1, F.lit(reach))
+            edges = edges.withColumn("__near", near).withColumn(name, F.lag("__near").over(self.along(reverse=reverse))).drop("__f", "__near")
+        group = Window.partitionBy(*[f"g{i}" for i in range(len(self.keys))])
+        edges = edges.withColumns({"__glen": F.sum("__n").over(group), "__offset": F.coalesce(F.sum("__n").over(self.earlier()), F.lit(0))})
+        rows = self.attach(rows, edges.withColumnRenamed("__n", "__en").drop("head", "tail"))
+        own = F.count(F.lit(1)).over(self.whole())
+        nothing = F.array().cast("array<double>")
+        return rows.withColumns(
+            {
+                "__n": own, "__glen": F.coalesce("__glen", own), "__offset": F.coalesce("__offset", F.lit(0)),
+                "__left": F.coalesce("__left", nothing), "__right": F.coalesce("__right", nothing),
             }
-        payload = base64.b64encode(pickle.dumps(info)).decode("ascii")
-        yield pa.RecordBatch.from_pydict({"pid": [pid], "payload": [payload]})
-
-    rows = data.mapInArrow(summarize, "pid long, payload string").collect()
-    infos = {r.pid: pickle.loads(base64.b64decode(r.payload)) for r in rows}
-    contexts = _chain(infos, k_left, k_right, valid_cols, sum_cols)
-
-    out_fields = kernel.output_fields(data.schema)
-    out_names = [f.name for f in out_fields]
-    fields = [f for f in data.schema.fields if f.name not in out_names] + out_fields
-    out_schema = StructType(fields)
-    arrow_schema = _to_arrow_schema(out_schema)
-    ctx_blob = data.sparkSession.sparkContext.broadcast(contexts)
-
-    def run(batches):
-        tbl = _read_all(batches)
-        if tbl is None or tbl.num_rows == 0:
-            return
-        pid = _partition_id()
-        lctx, rctx, gpos, sums = ctx_blob.value[pid]
-        segs = _segments(tbl, keys)
-        pieces = []
-        local = {c: np.concatenate([[0], np.cumsum(tbl.column(c).to_numpy(zero_copy_only=False))]) for c in sum_cols}
-        for i, (s, e) in enumerate(segs):
-            seg = tbl.slice(s, e - s)
-            ctx = Context(pos0=0, glen=e - s, gpos0=gpos + s)
-            ctx.sums0 = {c: sums[c] + local[c][s] for c in sum_cols}
-            ctx.gsums0 = {c: 0 for c in sum_cols}
-            if i == 0 and lctx is not None:
-                ctx.pos0, ctx.left, ctx.last_valid = lctx["count"], lctx["tail"], lctx["last_valid"]
-                ctx.gsums0 = dict(lctx.get("sums", ctx.gsums0))
-                ctx.glen += lctx["count"]
-            if i == len(segs) - 1 and rctx is not None:
-                ctx.right = rctx["head"]
-                ctx.glen += rctx["count"]
-                base = ctx.pos0 + (e - s)
-                ctx.next_valid = {c: (v[0], base + v[1]) for c, v in rctx["next_valid"].items() if v is not None}
-            new_cols = kernel.apply(seg, ctx)
-            cols = {}
-            for f in out_schema.fields:
-                cols[f.name] = new_cols[f.name] if f.name in new_cols else seg.column(f.name)
-            pieces.append(pa.Table.from_pydict(cols).cast(arrow_schema))
-        for b in pa.concat_tables(pieces).to_batches(max_chunksize=10_000):
-            yield b
-
-    out = data.mapInArrow(run, out_schema)
-    return out.drop(TIE) if TIE in out.columns else out
-
-
-def _chain(infos: dict, k_left: int, k_right: int, valid_cols, sum_cols=()) -> dict:
-    """Left/right contexts and global offsets per partition, from the summaries."""
-    pids = sorted(infos)
-    contexts = {}
-    # left to right
-    run = None  # {"key", "count", "tail", "last_valid"}
-    left = {}
-    gpos, offsets = 0, {}
-    running = {c: 0 for c in sum_cols}
-    sums_before = {}
-    for p in pids:
-        info = infos[p]
-        offsets[p] = gpos
-        gpos += info["n"]
-        sums_before[p] = dict(running)
-        for c in sum_cols:
-            running[c] += info.get("sums", {}).get(c, 0)
-        if info["n"] == 0:
-            left[p] = None
-            continue
-        cont = run is not None and run["key"] == info["first_key"]
-        left[p] = (
-            {"count": run["count"], "tail": run["tail"], "last_valid": dict(run["last_valid"]), "sums": dict(run["sums"])}
-            if cont
-            else None
-        )
-        single = info["first_key"] == info["last_key"] and info["first_len"] == info["n"]
-        lv_local = {c: v for c, v in info["last_valid"].items() if v is not None}
-        if single and cont:
-            lv = dict(run["last_valid"])
-            lv.update({c: (v[0], run["count"] + v[1]) for c, v in lv_local.items()})
-            tail = _concat(run["tail"], info["tail"]) if k_left else None
-            if tail is not None:
-                tail = tail.slice(max(0, tail.num_rows - k_left))
-            gs = {c: run["sums"].get(c, 0) + info["sums"].get(c, 0) for c in sum_cols}
-            run = {"key": info["last_key"], "count": run["count"] + info["n"], "tail": tail, "last_valid": lv, "sums": gs}
-        else:
-            run = {"key": info["last_key"], "count": info["last_len"], "tail": info["tail"], "last_valid": lv_local,
-                   "sums": dict(info.get("last_sums", {}))}
-    # right to left
-    run = None  # {"key", "count", "head", "next_valid"} ; next_valid offsets from start of "after"
-    right = {}
-    for p in reversed(pids):
-        info = infos[p]
-        if info["n"] == 0:
-            right[p] = None
-            continue
-        cont = run is not None and run["key"] == info["last_key"]
-        right[p] = (
-            {"count": run["count"], "head": run["head"], "next_valid": dict(run["next_valid"])} if cont else None
-        )
-        single = info["first_key"] == info["last_key"] and info["first_len"] == info["n"]
-        fv_local = {c: v for c, v in info["first_valid"].items() if v is not None}
-        if single and cont:
-            nv = {c: (v[0], info["n"] + v[1]) for c, v in run["next_valid"].items()}
-            nv.update(fv_local)
-            head = _concat(info["head"], run["head"]) if k_right else None
-            if head is not None:
-                head = head.slice(0, k_right)
-            run = {"key": info["first_key"], "count": run["count"] + info["n"], "head": head, "next_valid": nv}
-        else:
-            run = {"key": info["first_key"], "count": info["first_len"], "head": info["head"], "next_valid": fv_local}
-    for p in pids:
-        contexts[p] = (left.get(p), right.get(p), offsets[p], sums_before[p])
-    return contexts
-
-
-def _to_arrow_schema(schema: StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
+        ).drop("__en")
 
 
-# ---- kernels -----------------------------------------------------------------------------
+class Kernel:
+    """What a scan computes: ``add`` gives the scan's rows with new or replaced columns; those of ``df`` and
+    those whose names don't begin with two underscores stay, and ``output``."""
 
+    output: str | None = None
 
-def _with_left(seg_arr, ctx: Context, c: str, k: int):
-    if ctx.left is not None and ctx.left.num_rows and k:
-        return pa.concat_arrays(
-            [ctx.left.column(c).combine_chunks().cast(seg_arr.type), seg_arr.combine_chunks() if isinstance(seg_arr, pa.ChunkedArray) else seg_arr]
-        ), ctx.left.num_rows
-    return (seg_arr.combine_chunks() if isinstance(seg_arr, pa.ChunkedArray) else seg_arr), 0
+    def add(self, scan: Scan) -> DataFrame:
+        raise NotImplementedError
 
 
-def _float(arr) -> np.ndarray:
-    return pc.cast(arr, pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+def ordered_scan(df: DataFrame, kernel: Kernel, order_by, partition_by=(), num_partitions: int | None = None) -> DataFrame:
+    """Apply ``kernel`` to ``df`` in (partition_by, order_by) order."""
+    out = kernel.add(Scan(df, order_by, partition_by, num_partitions))
+    new = [c for c in out.columns if c not in df.columns and (not c.startswith("__") or c == kernel.output)]
+    return out.select(*[F.col(f"`{c}`") for c in [*df.columns, *new]])
 
 
-def _from_float(x: np.ndarray) -> pa.Array:
-    return pa.array(x, type=pa.float64(), from_pandas=True)
+def _number(column: str) -> Column:
+    """The column as a double, NaN counted as missing."""
+    x = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 class FillKernel(Kernel):
@@ -349,30 +231,21 @@ class FillKernel(Kernel):
     def __init__(self, columns, direction="ffill"):
         self.columns = list(columns)
         self.direction = direction
-        self.valid_cols = tuple(self.columns)
-
-    def output_fields(self, schema):
-        return [schema[c] for c in self.columns]
 
-    def apply(self, seg, ctx):
-        out = {}
-        for c in self.columns:
-            arr = seg.column(c).combine_chunks()
-            if self.direction == "ffill":
-                lv = ctx.last_valid.get(c)
-                if lv is not None:
-                    arr = pa.concat_arrays([pa.array([lv[0]], type=arr.type), arr])
-                    out[c] = pc.fill_null_forward(arr).slice(1)
-                else:
-                    out[c] = pc.fill_null_forward(arr)
-            else:
-                nv = ctx.next_valid.get(c)
-                if nv is not None:
-                    arr = pa.concat_arrays([arr, pa.array([nv[0]], type=arr.type)])
-                    out[c] = pc.fill_null_backward(arr).slice(0, len(arr) - 1)
-                else:
-                    out[c] = pc.fill_null_backward(arr)
-        return out
+    def add(self, scan):
+        reverse = self.direction != "ffill"
+        window, rows = scan.window(reverse), scan.rows
+        local = {c: F.last(F.col(f"`{c}`"), ignorenulls=True).over(window) for c in self.columns}
+        if not scan.sliced:
+            return rows.withColumns(local)
+        place = F.struct(*[F.col(f"`{c}`") for c in scan.order])
+        pick = F.min_by if reverse else F.max_by
+        names = {c: f"__e{i}" for i, c in enumerate(self.columns)}
+        ends = {e: pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), place)) for c, e in names.items()}
+        narrow = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*scan.keys, *scan.order, *self.columns])], SLICE)
+        edges = scan.edges(narrow, **ends)
+        edges = edges.withColumns({e: F.last(e, ignorenulls=True).over(scan.earlier(reverse)) for e in names.values()})
+        return scan.attach(rows, edges).withColumns({c: F.coalesce(local[c], F.col(e)) for c, e in names.items()})
 
 
 class InterpolateKernel(Kernel):
@@ -380,34 +253,34 @@ class InterpolateKernel(Kernel):
 
     def __init__(self, columns):
         self.columns = list(columns)
-        self.valid_cols = tuple(self.columns)
-
-    def output_fields(self, schema):
-        from pyspark.sql.types import DoubleType
-
-        return [StructField(c, DoubleType(), True) for c in self.columns]
 
-    def apply(self, seg, ctx):
+    def add(self, scan):
+        rows = scan.numbered()
+        known = {c: F.when(_number(c).isNotNull(), F.struct(F.col("__rn").alias("p"), _number(c).alias("v"))) for c in self.columns}
+        if scan.sliced:
+            narrow = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*scan.keys, *self.columns])], SLICE, "__rn")
+            ends = {"__cnt": F.max("__rn")}
+            for i, c in enumerate(self.columns):
+                ends |= {f"__a{i}": F.min(known[c]), f"__b{i}": F.max(known[c])}
+            edges = scan.edges(narrow, **ends)
+            edges = edges.withColumn("__offset", F.coalesce(F.sum("__cnt").over(scan.earlier()), F.lit(0)))
+            for i in range(len(self.columns)):
+                for end, reverse in (("__a", True), ("__b", False)):
+                    at = F.col(f"{end}{i}")
+                    moved = F.when(at.isNotNull(), F.struct((at["p"] + F.col("__offset")).alias("p"), at["v"].alias("v")))
+                    edges = edges.withColumn(f"{end}{i}", F.last(moved, ignorenulls=True).over(scan.earlier(reverse)))
+            rows = scan.attach(rows, edges.drop("__cnt")).withColumn("__offset", F.coalesce("__offset", F.lit(0)))
+            rows = rows.withColumn("__rn", F.col("__rn") + F.col("__offset"))
         out = {}
-        n = seg.num_rows
-        pos = ctx.pos0 + np.arange(n, dtype=float)
-        for c in self.columns:
-            x = _float(seg.column(c))
-            known_p, known_v = list(pos[~np.isnan(x)]), list(x[~np.isnan(x)])
-            lv, nv = ctx.last_valid.get(c), ctx.next_valid.get(c)
-            if lv is not None:
-                known_p.insert(0, float(lv[1]))
-                known_v.insert(0, float(lv[0]))
-            if nv is not None:
-                known_p.append(float(nv[1]))
-                known_v.append(float(nv[0]))
-            if not known_p:
-                out[c] = _from_float(x)
-                continue
-            kp, kv = np.asarray(known_p), np.asarray(known_v)
-            y = np.interp(pos, kp, kv, left=np.nan, right=kv[-1])
-            out[c] = _from_float(np.where(np.isnan(x), y, x))
-        return out
+        for i, c in enumerate(self.columns):
+            before, after = (F.last(known[c], ignorenulls=True).over(scan.window(r)) for r in (False, True))
+            if scan.sliced:
+                before, after = F.coalesce(before, F.col(f"__b{i}")), F.coalesce(after, F.col(f"__a{i}"))
+            rows = rows.withColumns({f"__p{i}": before, f"__q{i}": after})
+            p, q = F.col(f"__p{i}"), F.col(f"__q{i}")
+            line = p["v"] + (q["v"] - p["v"]) / (q["p"] - p["p"]).cast("double") * (F.col("__rn") - p["p"])
+            out[c] = F.when(_number(c).isNotNull(), _number(c)).when(q.isNull(), p["v"]).when(p.isNotNull(), line)
+        return rows.withColumns(out)
 
 
 class RollingMeanKernel(Kernel):
@@ -416,29 +289,25 @@ class RollingMeanKernel(Kernel):
     def __init__(self, column, window, min_count=1, output=None):
         self.column, self.window, self.min_count = column, int(window), int(min_count)
         self.output = output or column
-        self.k_left = self.window - 1
-        self.context_cols = (column,)
 
-    def output_fields(self, schema):
-        from pyspark.sql.types import DoubleType
+    def add(self, scan):
+        x = _number(self.column)
+        if not scan.sliced:
+            frame = scan.window().rowsBetween(1 - self.window, 0)
+            return scan.rows.withColumn(self.output, F.when(F.count(x).over(frame) >= max(self.min_count, 1), F.avg(x).over(frame)))
+        rows = scan.neighbours(scan.numbered(), x, self.window - 1)
+        return rows.withColumn(self.output, trailing_mean(scan, x, self.window, self.min_count))
 
-        return [StructField(self.output, DoubleType(), True)]
 
-    def apply(self, seg, ctx):
-        arr, skip = _with_left(seg.column(self.column), ctx, self.column, self.k_left)
-        out = rolling_mean(_float(arr), self.window, self.min_count)[skip:]
-        return {self.output: _from_float(out)}
-
-
-def rolling_mean(x: np.ndarray, w: int, min_count: int) -> np.ndarray:
-    valid = ~np.isnan(x)
-    s = np.concatenate([[0.0], np.cumsum(np.where(valid, x, 0.0))])
-    k = np.concatenate([[0], np.cumsum(valid)])
-    idx = np.arange(len(x))
-    lo = np.maximum(idx - w + 1, 0)
-    tot, cnt = s[idx + 1] - s[lo], k[idx + 1] - k[lo]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(cnt >= max(min_count, 1), tot / np.maximum(cnt, 1), np.nan)
+def trailing_mean(scan: Scan, x: Column, window: int, min_count: int) -> Column:
+    """Mean of the last ``window`` rows, those before the slice (``neighbours``) included."""
+    frame = scan.window().rowsBetween(1 - window, 0)
+    size = F.size("__left")
+    more = F.least(size, F.greatest(F.lit(window) - F.col("__rn").cast("int"), F.lit(0)))
+    outside = F.filter(F.slice("__left", size - more + 1, more), lambda v: v.isNotNull())
+    total = F.aggregate(outside, F.lit(0.0), lambda a, v: a + v) + F.coalesce(F.sum(x).over(frame), F.lit(0.0))
+    count = F.size(outside) + F.count(x).over(frame)
+    return F.when(count >= max(min_count, 1), total / count)
 
 
 def savgol_coeffs(window: int, order: int, pos: int | None = None) -> np.ndarray:
@@ -455,113 +324,78 @@ class SavgolKernel(Kernel):
 
     def __init__(self, column, window, order, fill_value, output=None):
         self.column, self.window, self.order = column, int(window), int(order)
-        self.fill = float(fill_value) if fill_value is not None else np.nan
+        self.fill = float(fill_value) if fill_value is not None else math.nan
         self.output = output or column
-        self.k_left = self.k_right = self.window - 1
-        self.context_cols = (column,)
-
-    def output_fields(self, schema):
-        from pyspark.sql.types import DoubleType
-
-        return [StructField(self.output, DoubleType(), True)]
-
-    def apply(self, seg, ctx):
-        w, half, n = self.window, self.window // 2, seg.num_rows
-        sides = [t for t in (ctx.left, ctx.right) if t is not None and t.num_rows]
-        skip = ctx.left.num_rows if ctx.left is not None else 0
-        parts = [_float(seg.column(self.column))]
-        if ctx.left in sides:
-            parts.insert(0, _float(ctx.left.column(self.column)))
-        if ctx.right in sides:
-            parts.append(_float(ctx.right.column(self.column)))
-        x = np.concatenate(parts)
-        if ctx.glen <= w:  # too short a group for the window: its trailing mean
-            return {self.output: _from_float(rolling_mean(x[: skip + n], w, 1)[skip:])}
-        x = np.where(np.isnan(x), self.fill, x)
-        first = ctx.pos0 - skip  # group position of x[0]
-        at = np.arange(n) + skip
-        place = at + first
-        y = np.empty(n)
-        inside = (place >= half) & (place < ctx.glen - half)
-        if inside.any():
-            smooth = np.convolve(x, savgol_coeffs(w, self.order)[::-1], "valid")
-            y[inside] = smooth[at[inside] - half]
-        # the polynomials through the group's first and last window, at their outer half
-        for edge, start in ((place < half, 0), (place >= ctx.glen - half, ctx.glen - w)):
-            if edge.any():
-                window = x[start - first : start - first + w]
-                y[edge] = [savgol_coeffs(w, self.order, g - start) @ window for g in place[edge]]
-        return {self.output: _from_float(y)}
-
-
-class PositionKernel(Kernel):
-    """Row position inside the group (``pos``) and in the whole ordered table (``gpos``)."""
 
-    def __init__(self, group_pos="_pos", global_pos=None):
-        self.group_pos, self.global_pos = group_pos, global_pos
+    def add(self, scan):
+        w, half, x = self.window, self.window // 2, _number(self.column)
+        fill = F.lit(self.fill)
+        rows = scan.neighbours(scan.numbered(), x, w - 1)
+        near = F.collect_list(F.coalesce(x, fill)).over(scan.window().rowsBetween(1 - w, w - 1))
+        left, right = (F.transform(side, lambda v: F.coalesce(v, fill)) for side in ("__left", "__right"))
+        rn, n, reach = F.col("__rn").cast("int"), F.col("__n").cast("int"), F.lit(w - 1)
+        inner = F.least(rn - 1, reach)  # rows of the slice before this one, within reach
+        more_left = F.least(F.size(left), reach - inner)
+        more_right = F.least(F.size(right), reach - F.least(n - rn, reach))
+        around = F.concat(F.slice(left, F.size(left) - more_left + 1, more_left), near, F.slice(right, F.lit(1), more_right))
+        rows = rows.withColumns({"__around": around, "__at": more_left + inner, "__pos": F.col("__rn") - 1 + F.col("__offset")})
+        rows = rows.withColumn("__short", trailing_mean(scan, x, w, 1))  # too short a group for the window
+        # the place in a window of the polynomial that gives the row: its middle, but for the group's first and last rows
+        last = F.col("__glen") - w
+        place = F.when(F.col("__pos") < half, F.col("__pos")).when(F.col("__pos") >= F.col("__glen") - half, F.col("__pos") - last).otherwise(half)
+        weights = F.array(*[F.array(*[F.lit(float(c)) for c in savgol_coeffs(w, self.order, g)]) for g in range(w)])
+        rows = rows.withColumn("__place", place.cast("int"))
+        window = F.slice("__around", F.greatest(F.col("__at") - F.col("__place") + 1, F.lit(1)), F.lit(w))
+        products = F.zip_with(window, F.get(weights, "__place"), lambda a, b: a * b)
+        smooth = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+        smooth = F.when(~F.isnan(smooth), smooth)
+        return rows.withColumn(self.output, F.when(F.col("__glen") > w, smooth).otherwise(F.col("__short")))
 
-    def output_fields(self, schema):
-        from pyspark.sql.types import LongType
 
-        f = [StructField(self.group_pos, LongType(), False)]
-        if self.global_pos:
-            f.append(StructField(self.global_pos, LongType(), False))
-        return f
-
-    def apply(self, seg, ctx):
-        n = seg.num_rows
-        out = {self.group_pos: pa.array(ctx.pos0 + np.arange(n, dtype=np.int64))}
-        if self.global_pos:
-            out[self.global_pos] = pa.array(ctx.gpos0 + np.arange(n, dtype=np.int64))
-        return out
-
-
-class CumulativeCountKernel(Kernel):
-    """Running total of ``weight`` before each row (``before``), over the ordered table."""
-
-    def __init__(self, weight, output="__before"):
-        self.weight, self.output = weight, output
-        self.sum_cols = (weight,)
-
-    def output_fields(self, schema):
-        from pyspark.sql.types import LongType
+class PositionKernel(Kernel):
+    """Row position inside the group, from 0."""
 
-        return [StructField(self.output, LongType(), False)]
+    def __init__(self, group_pos="_pos"):
+        self.output = group_pos
 
-    def apply(self, seg, ctx):
-        w = seg.column(self.weight).to_numpy(zero_copy_only=False).astype(np.int64)
-        before = ctx.sums0[self.weight] + np.concatenate([[0], np.cumsum(w)[:-1]])
-        return {self.output: pa.array(before.astype(np.int64))}
+    def add(self, scan):
+        rows = scan.numbered()
+        if not scan.sliced:
+            return rows.withColumn(self.output, F.col("__rn") - 1)
+        counts = scan.edges(scan.rows.select(*[F.col(f"`{k}`") for k in scan.keys], SLICE), __cnt=F.count(F.lit(1)))
+        edges = counts.withColumn("__offset", F.sum("__cnt").over(scan.earlier())).drop("__cnt")
+        return scan.attach(rows, edges).withColumn(self.output, F.col("__rn") - 1 + F.coalesce("__offset", F.lit(0)))
 
 
-class GroupCumulativeKernel(Kernel):
-    """Running total of ``weight`` before each row inside its group."""
+class CumulativeKernel(Kernel):
+    """Running totals before each row inside its group, of one column or of several."""
 
     def __init__(self, weight, output="before"):
-        self.weight, self.output = weight, output
-        self.sum_cols = (weight,)
+        self.totals = {output: weight} if isinstance(weight, str) else dict(zip(output, weight, strict=True))
 
-    def output_fields(self, schema):
-        from pyspark.sql.types import LongType
-
-        return [StructField(self.output, LongType(), False)]
-
-    def apply(self, seg, ctx):
-        w = seg.column(self.weight).to_numpy(zero_copy_only=False).astype(np.int64)
-        before = ctx.gsums0[self.weight] + np.concatenate([[0], np.cumsum(w)[:-1]])
-        return {self.output: pa.array(before.astype(np.int64))}
+    def add(self, scan):
+        before = scan.window().rowsBetween(Window.unboundedPreceding, -1)
+        local = {o: F.coalesce(F.sum(F.col(f"`{w}`")).over(before), F.lit(0)) for o, w in self.totals.items()}
+        if not scan.sliced:
+            return scan.rows.withColumns(local)
+        narrow = scan.rows.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*scan.keys, *self.totals.values()])], SLICE)
+        held = {f"__t{i}": w for i, w in enumerate(self.totals.values())}
+        edges = scan.edges(narrow, **{t: F.sum(F.col(f"`{w}`")) for t, w in held.items()})
+        edges = edges.withColumns({t: F.sum(t).over(scan.earlier()) for t in held})
+        rows = scan.attach(scan.rows, edges)
+        return rows.withColumns({o: local[o] + F.coalesce(t, F.lit(0)) for o, t in zip(self.totals, held, strict=True)})
 
 
 def value_counts_cumulative(df: DataFrame, column: str, num_partitions=None) -> DataFrame:
     """(value, cnt, before): distinct non-null values in order with the rows before them.
 
     Values are counted first (map-side combine), so a value repeated in a third of the
-    rows is one row here and cannot pin a range partition.
+    rows is one row here.
     """
     counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).agg(
         F.count(F.lit(1)).alias("cnt")
     )
-    return ordered_scan(counts, CumulativeCountKernel("cnt", "before"), ["value"], (), num_partitions)
+    return ordered_scan(counts, CumulativeKernel("cnt", "before"), ["value"], (), num_partitions)
 
 
 def average_rank(df: DataFrame, column: str, output: str, num_partitions=None) -> DataFrame:
@@ -587,7 +421,7 @@ def exact_quantiles_multi(df: DataFrame, columns, probs, num_partitions=None) ->
         F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("r")
     ).select("r.ci", "r.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = stacked.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    scanned = ordered_scan(counts, GroupCumulativeKernel("cnt", "before"), ["v"], ["ci"], num_partitions)
+    scanned = ordered_scan(counts, CumulativeKernel("cnt", "before"), ["v"], ["ci"], num_partitions)
     totals = {r["ci"]: r["n"] for r in counts.groupBy("ci").agg(F.sum("cnt").alias("n")).collect()}
     wanted = {}
     cond = None
@@ -628,87 +462,3 @@ def exact_quantiles_multi(df: DataFrame, columns, probs, num_partitions=None) ->
 def exact_quantiles(df: DataFrame, column: str, probs, num_partitions=None) -> list:
     """Exact linear-interpolated quantiles of one column (see ``exact_quantiles_multi``)."""
     return exact_quantiles_multi(df, [column], probs, num_partitions)[column]
-
-
-def count_inversions(a) -> int:
-    """#{i < j : a[i] > a[j]} by blocked merge counting (vectorised, O(m log² m))."""
-    a = np.asarray(a)
-    m = len(a)
-    if m < 2:
-        return 0
-    base = 64
-    total = 0
-    blocks = []
-    tri = np.triu(np.ones((base, base), dtype=bool), 1)
-    for s in range(0, m, base):
-        blk = a[s : s + base]
-        k = len(blk)
-        total += int(np.count_nonzero((blk[:, None] > blk[None, :]) & tri[:k, :k]))
-        blocks.append(np.sort(blk, kind="stable"))
-    while len(blocks) > 1:
-        merged = []
-        for i in range(0, len(blocks) - 1, 2):
-            left, right = blocks[i], blocks[i + 1]
-            total += int(len(left) * len(right) - np.searchsorted(left, right, side="right").sum())
-            merged.append(np.sort(np.concatenate([left, right]), kind="stable"))
-        if len(blocks) % 2:
-            merged.append(blocks[-1])
-        blocks = merged
-    return total
-
-
-def discordant_pairs(df: DataFrame, x: str, y: str, n: int, group_max: int = 4_000_000, labels_max: int = 4096, num_partitions=None) -> int:
-    """#{pairs : (x_i - x_j)(y_i - y_j) < 0} over the (non-null) rows of ``df``, exactly.
-
-    With rows in (x, y) order this is the number of inversions of y. y values get a rank
-    band label (monotone in y): values are counted, and a value's band is
-    2 * floor(rows_before / slot), or that + 1 if the value alone holds more than a slot,
-    so a heavy tied value is a band by itself.
-      * pairs in different bands: inversions of the band labels. Rows are range-partitioned
-        by (x, y) and checkpointed; each partition reports its label histogram and its
-        local label inversions; pairs across partitions follow from the histograms.
-      * pairs in the same band: per band (at most 2 * slot rows, or one value, which has
-        no inversions) with ``applyInPandas``.
-    """
-    if n < 2:
-        return 0
-    bands = min(labels_max, max(16, math.ceil(2 * n / group_max)))
-    slot = n / bands
-    vc = value_counts_cumulative(df, y, num_partitions)
-    lab = (F.floor(F.col("before") / F.lit(slot)) * 2 + F.when(F.col("cnt") > slot, 1).otherwise(0)).cast("int")
-    labels = vc.select(F.col("value").alias("__yv"), lab.alias("__lab"), (F.col("cnt") > slot).alias("__heavy"))
-    rows = df.select(F.col(f"`{x}`").alias("__x"), F.col(f"`{y}`").alias("__y")).join(labels, F.col("__y") == F.col("__yv")).drop("__yv")
-    n_labels = 2 * bands
-    data = ranged(rows, ["__x", "__y"], (), num_partitions)
-
-    def summarize(batches):
-        tbl = _read_all(batches)
-        pid = _partition_id()
-        hist = np.zeros(n_labels, dtype=np.int64)
-        inv = 0
-        if tbl is not None and tbl.num_rows:
-            lab_arr = tbl.column("__lab").to_numpy(zero_copy_only=False).astype(np.int64)
-            hist = np.bincount(lab_arr, minlength=n_labels).astype(np.int64)
-            inv = count_inversions(lab_arr)
-        payload = base64.b64encode(hist.tobytes()).decode("ascii")
-        yield pa.RecordBatch.from_pydict({"pid": [pid], "inv": [inv], "hist": [payload]})
-
-    summaries = data.mapInArrow(summarize, "pid long, inv long, hist string").orderBy("pid")
-    running = np.zeros(n_labels, dtype=np.int64)
-    total = 0
-    for r in summaries.toLocalIterator():
-        hist = np.frombuffer(base64.b64decode(r.hist), dtype=np.int64)
-        # earlier rows with a larger label than each row of this partition
-        greater = np.concatenate([np.cumsum(running[::-1])[::-1][1:], [0]])
-        total += int(r.inv) + int((hist * greater).sum())
-        running += hist
-
-    def same_band(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["__x", "__y"], kind="stable")
-        return pd.DataFrame({"inv": [count_inversions(pdf["__y"].to_numpy())]})
-
-    light = data.where(~F.col("__heavy")).select("__lab", "__x", "__y")
-    inner = light.groupBy("__lab").applyInPandas(same_band, "inv long").agg(F.sum("inv")).first()[0]
-    return total + int(inner or 0)

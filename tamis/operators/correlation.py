@@ -1,9 +1,9 @@
 """Correlation profiles: A7 Pearson / Spearman / Kendall matrices with p-values and
 significant pairs, A8 heatmap data, A11 high-correlation pairs.
 
-Pearson needs one aggregation for every pair (pairwise-complete rows). Spearman ranks
-each column with tie-averaged ranks computed by an ordered scan over counted distinct
-values, then reuses the Pearson aggregation. All named (else all numeric) columns take part.
+Pearson sums come from one pass for all pairs (``functions.gram``); Spearman and Kendall stack
+the columns and rank them together (``functions.ranks``). All named (else all numeric) columns
+take part, over pairwise-complete rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tamis.functions.exprs import nan_as_null
-from tamis.functions.ordering import average_rank
-from tamis.functions.stats import student_t_sf
+from tamis.functions.ranks import kendall, spearman
+from tamis.functions.stats import normal_two_sided, student_t_sf
 from tamis.operators.base import col, one_row
 from tamis.operators.features import pearson_pairs
 
@@ -61,22 +61,7 @@ def pearson_matrix(df: DataFrame, columns=None) -> DataFrame:
 @nan_as_null
 def spearman_pairs(df: DataFrame, cols) -> dict:
     """Spearman rho per pair = Pearson r of average ranks over pairwise-complete rows."""
-    complete = one_row(df, F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-    no_nulls = all(complete[f"c{i}"] == complete["n"] for i in range(len(cols)))
-    base = df.select(*[col(c).cast("double").alias(c) for c in cols])
-    if no_nulls:
-        ranked = base
-        for c in cols:
-            ranked = average_rank(ranked, c, f"__r_{c}")
-        rp = pearson_pairs(ranked.select(*[F.col(f"__r_{c}").alias(c) for c in cols]), cols)
-        return rp
-    out = {}
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            sub = base.select(a, b).where(col(a).isNotNull() & col(b).isNotNull())
-            ranked = average_rank(average_rank(sub, a, "__ra"), b, "__rb")
-            out[(a, b)] = pearson_pairs(ranked.select(F.col("__ra").alias(a), F.col("__rb").alias(b)), [a, b])[(a, b)]
-    return out
+    return {(cols[i], cols[j]): found for (i, j), found in spearman(df, [col(c) for c in cols]).items()}
 
 
 @nan_as_null
@@ -114,51 +99,29 @@ def high_correlation_pairs(df: DataFrame, columns=None, threshold=0.7) -> DataFr
 
 
 def kendall_tau_b(df: DataFrame, a: str, b: str) -> tuple:
-    """Kendall tau-b of two columns over pairwise-complete rows, exactly, with its
-    two-sided p-value by the normal approximation (as for large samples).
-
-    tau_b = (n0 - n1 - n2 + n3 - 2 D) / sqrt((n0 - n1)(n0 - n2)), where n1, n2, n3 are the
-    x, y and joint tie pairs (grouped counts) and D the discordant pairs
-    (``functions.ordering.discordant_pairs``; no pairwise self-join, no sampling).
-    """
-    from tamis.functions.ordering import discordant_pairs
-    from tamis.functions.stats import normal_two_sided
-
-    x, y = col(a).cast("double"), col(b).cast("double")
-    d = df.select(x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    n = d.count()
-    if n < 2:
-        return None, n, 1.0
-
-    def tie_pairs(*keys):
-        v = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0]
-        return float(v or 0)
-
-    n0 = n * (n - 1) / 2
-    n1, n2, n3 = tie_pairs("x"), tie_pairs("y"), tie_pairs("x", "y")
-    disc = discordant_pairs(d, "x", "y", n)
-    denom = math.sqrt((n0 - n1) * (n0 - n2))
-    if denom == 0:
-        return None, n, 1.0
-    tau = (n0 - n1 - n2 + n3 - 2 * disc) / denom
-    z = 3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5))
-    return tau, n, normal_two_sided(z)
+    """(tau-b, n, p) of two columns over pairwise-complete rows, exactly, with the
+    two-sided p-value by the normal approximation (as for large samples)."""
+    tau, n = kendall(df, [col(a), col(b)])[0, 1]
+    return tau, n, kendall_p(tau, n)
+
+
+def kendall_p(tau: float | None, n: int) -> float:
+    if tau is None or n < 3:
+        return 1.0
+    return normal_two_sided(3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5)))
 
 
 @nan_as_null
 def kendall_matrix(df: DataFrame, columns=None) -> DataFrame:
-    """A7c + A7d in the long matrix form."""
+    """A7c + A7d in the long matrix form; all pairs in one set of jobs."""
     cols = _eligible(df, columns)
-    res = {}
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            res[(a, b)] = res[(b, a)] = kendall_tau_b(df, a, b)
+    found = kendall(df, [col(c) for c in cols])
     rows = []
-    for a in cols:
-        for b in cols:
-            if a == b:
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i == j:
                 rows.append((a, b, 1.0, None, 1.0))
             else:
-                tau, n, pv = res[(a, b)]
-                rows.append((a, b, tau if tau is not None else 0.0, n, pv if n >= 3 else 1.0))
+                tau, n = found[min(i, j), max(i, j)]
+                rows.append((a, b, tau if tau is not None else 0.0, n, kendall_p(tau, n)))
     return df.sparkSession.createDataFrame(rows, SCHEMA)

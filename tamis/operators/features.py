@@ -19,6 +19,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 
 from tamis.functions.exprs import bounded_broadcast
 from tamis.functions.fixed import DATETIME_PARTS
+from tamis.functions.gram import correlations, pair_sums
 from tamis.functions.ordering import average_rank
 from tamis.functions.stats import quantiles
 from tamis.operators.base import (
@@ -205,59 +206,9 @@ def variances(df, cols):
 
 
 def pearson_pairs(df, cols) -> dict:
-    """Pairwise-complete Pearson r and n for every pair of ``cols``.
-
-    Two passes of plain sums: column means (and non-null counts), then sums of products
-    of values centred on those means — one buffer per sum, numerically stable, and few
-    enough aggregates to stay inside generated code. Without NULLs the pairs share the
-    column sums (d(d+1)/2 sums); with NULLs each pair sums over its complete rows.
-    """
+    """Pairwise-complete Pearson r and n for every pair of ``cols``: column means, then one pass for all pairs."""
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if not pairs:
-        return {}
-    xs = {c: col(c).cast("double") for c in cols}
-    first = one_row(df, F.count(F.lit(1)).alias("__n"), *[F.count(xs[c]).alias(f"k{i}") for i, c in enumerate(cols)],
-                    *[F.avg(xs[c]).alias(f"m{i}") for i, c in enumerate(cols)])
-    n_all = first["__n"]
-    mean = {c: (first[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
-    dev = {c: xs[c] - F.lit(mean[c]) for c in cols}
-    full = {c for i, c in enumerate(cols) if first[f"k{i}"] == n_all}
-    idx = {c: i for i, c in enumerate(cols)}
-    aggs = []
-    # columns without NULLs share sums of centred products
-    fl = [c for c in cols if c in full]
-    for i, a in enumerate(fl):
-        for b in fl[i:]:
-            aggs.append(F.sum(dev[a] * dev[b]).alias(f"s{idx[a]}_{idx[b]}"))
-    # a pair with a nullable column sums over its complete rows (NULL propagates)
-    part = [(k, pr) for k, pr in enumerate(pairs) if pr[0] not in full or pr[1] not in full]
-    for k, (a, b) in part:
-        da, db = dev[a], dev[b]
-        aggs += [
-            F.count(da * db).alias(f"n{k}"), F.sum(da + db * 0).alias(f"a{k}"), F.sum(db + da * 0).alias(f"b{k}"),
-            F.sum(da * da + db * 0).alias(f"aa{k}"), F.sum(db * db + da * 0).alias(f"bb{k}"), F.sum(da * db).alias(f"ab{k}"),
-        ]
-    row = one_row(df, *aggs)
-    out = {}
-    partial = dict(part)
-    for k, (a, b) in enumerate(pairs):
-        r = None
-        if k not in partial:
-            n = n_all
-            sab, saa, sbb = row[f"s{idx[a]}_{idx[b]}"], row[f"s{idx[a]}_{idx[a]}"], row[f"s{idx[b]}_{idx[b]}"]
-        else:
-            n = row[f"n{k}"]
-            sab = saa = sbb = None
-            if n and n > 1:
-                sa, sb = row[f"a{k}"], row[f"b{k}"]
-                saa = row[f"aa{k}"] - sa * sa / n
-                sbb = row[f"bb{k}"] - sb * sb / n
-                sab = row[f"ab{k}"] - sa * sb / n
-        if n and n > 1 and saa and sbb and saa > 0 and sbb > 0:
-            r = max(-1.0, min(1.0, sab / math.sqrt(saa * sbb)))
-        out[(a, b)] = (r, n)
-    return out
+    return {(cols[i], cols[j]): found for (i, j), found in correlations(df, [col(c) for c in cols]).items()}
 
 
 def correlated_to_drop(cols, corr: dict, threshold: float) -> list[str]:
@@ -489,7 +440,7 @@ def clustering_family(df, profile, budget, names, n_rows=None) -> dict[str, Colu
 def pca_family(df, profile, budget, names) -> dict[str, Column]:
     """F6j: up to 5 principal components of the standardised numeric columns.
 
-    The covariance matrix is one aggregation (d² sums for d columns); the
+    The covariance matrix is one pass of products of row blocks; the
     eigen-decomposition of that d×d matrix runs on the driver. Signs follow the rule
     "largest loading positive".
     """
@@ -501,16 +452,9 @@ def pca_family(df, profile, budget, names) -> dict[str, Column]:
     exprs = standardized_inputs(df, cols)
     z = df.select(*[e.alias(f"__z{i}") for i, e in enumerate(exprs)])
     d = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"s{i}_{j}"))
-    row = one_row(z, *aggs)
-    n = row["n"]
     cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / max(n - 1, 1)
+    for (i, j), (n, *_, products) in pair_sums(z, [col(c) for c in z.columns], list(combinations_with_replacement(range(d), 2))).items():
+        cov[i, j] = cov[j, i] = products / max(n - 1, 1)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:k]
     new = {}

@@ -198,11 +198,11 @@ def test_dates_with_fraction_zone_and_time(spark):
 
 
 def test_each_step_transforms_once(spark, monkeypatch):
-    from tamis.functions import ordering
+    from tamis.operators import missing
 
     calls = []
-    real = ordering.reliable_checkpoint
-    monkeypatch.setattr(ordering, "reliable_checkpoint", lambda df: calls.append(1) or real(df))
+    real = missing.ordered_scan
+    monkeypatch.setattr(missing, "ordered_scan", lambda *a: calls.append(1) or real(*a))
     df = spark.createDataFrame([(i, None if i % 3 else float(i)) for i in range(30)], "k int, v double")
     pipeline = Pipeline([{"kind": "impute", "params": {"columns": ["v"], "strategy": "ffill", "order_by": ["k"]}}])
     assert pipeline.fit_transform(df).where("v IS NULL").count() == 0
