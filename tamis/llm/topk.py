@@ -43,7 +43,7 @@ def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
 
 def columns(vectors: pd.Series, width: int) -> np.ndarray:
     """Postings by term: one row per term, zero where a vector is shorter."""
-    out = np.zeros((width, len(vectors)))
+    out = np.zeros((width, len(vectors)), np.int64)
     for n, v in enumerate(vectors):
         out[: len(v), n] = v
     return out
@@ -56,19 +56,33 @@ def threshold(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
 
 
-def max_score(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, terms: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query_id, ids, scores) of each query's best k rows of a shard, ties to smaller ids; all values are whole.
+def exact_scores(query: np.ndarray, terms: np.ndarray, peak: int) -> np.ndarray:
+    """The integer inner products of a query and rows; ``peak`` bounds their size. Raises where a score is beyond a long."""
+    if peak < 2**63:
+        return query @ terms
+    scores = query.astype(object) @ terms.astype(object)
+    if any(not -(2**63) <= x < 2**63 for x in scores.tolist()):
+        raise OverflowError("a score is beyond a 64-bit integer")
+    return scores.astype(np.int64)
 
-    ``queries`` has a row per query, ``terms`` a row per term. Sums stay exact in doubles while
-    they are under 2 ** 53.
+
+def max_score(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, terms: np.ndarray, k: int, peak: int) -> Iterator[tuple]:
+    """(query_id, ids, scores) of each query's best k rows of a shard, ties to smaller ids.
+
+    ``queries`` has a row per query, ``terms`` a row per term, both of integers; ``peak`` bounds the
+    sum of the absolute products of a query and a row. Bounds are doubles; where these round (sums from 2 ** 53
+    on), rows stay competitive within the rounding. Final scores are integers.
     """
+    slack = 0.0 if peak < 2**53 else float(peak) * (len(terms) + 2) * 2.0**-51
+    whole_queries, whole_terms = queries, terms
+    queries, terms = queries.astype(float), terms.astype(float)
     high = np.maximum(queries * terms.max(1), queries * terms.min(1))
     order = np.argsort(-high.sum(0), kind="stable")
     queries, terms, high = queries[:, order], terms[order], high[:, order]
-    rest = np.concatenate((np.cumsum(high[:, ::-1], 1)[:, ::-1], np.zeros((len(queries), 1))), axis=1)
+    rest = np.concatenate((np.cumsum(high[:, ::-1], 1)[:, ::-1], np.zeros((len(queries), 1))), axis=1) + slack
     # some rows scored in full give the first threshold
     probe = queries @ terms[:, : 8 * k]
-    best = threshold(np.where(ids[: 8 * k] == query_ids[:, None], -np.inf, probe), k)
+    best = threshold(np.where(ids[: 8 * k] == query_ids[:, None], -np.inf, probe), k) - slack
     done = min(LEADING, len(terms))
     score = queries[:, :done] @ terms[:done]
     live = score + rest[:, done, None] >= best[:, None]
@@ -79,14 +93,16 @@ def max_score(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, terms
         live &= score + rest[:, done, None] >= best[:, None]
     for n, query_id in enumerate(query_ids):
         rows = np.flatnonzero(live[n])
-        total = score[n, rows] + queries[n, done:] @ terms[done:, rows]
-        other = ids[rows] != query_id
-        rows, total = rows[other], total[other]
+        rows = rows[ids[rows] != query_id]
+        if slack:
+            total = exact_scores(whole_queries[n], whole_terms[:, rows], peak)
+        else:
+            total = (score[n, rows] + queries[n, done:] @ terms[done:, rows]).astype(np.int64)
         if len(rows) > k:
             keep = total >= np.partition(total, len(total) - k)[len(total) - k]
             rows, total = rows[keep], total[keep]
         first = np.lexsort((ids[rows], -total))[:k]
-        yield query_id, ids[rows[first]], total[first].astype(np.int64)
+        yield query_id, ids[rows[first]], total[first]
 
 
 def top_k(rows: DataFrame, every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
@@ -96,13 +112,19 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, scale: int = 64) -> Dat
     another vec_id, so copies of a query's own row are no candidates. Ties go to the smaller
     vec_id; rows that repeat are ranked one after the other. A query row that repeats is one
     query if the vectors agree; otherwise each vector is searched and their rows are ranked
-    together. Shorter vectors count as ending in zeros. Fewer candidates than k give fewer rows, an
+    together. Scores are exact; one beyond a 64-bit integer, or such a component, raises an OverflowError. Shorter vectors
+    count as ending in zeros. Fewer candidates than k give fewer rows, an
     empty table none. Other input columns are ignored.
     """
     vectors = settle(integer_vectors(rows, scale))
-    n, width, asked = vectors.agg(
-        F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.when(F.col("vec_id") % every == 0, 1))
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)")))))
+    n, width, asked, most = vectors.agg(
+        F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.when(F.col("vec_id") % every == 0, 1)), largest
     ).first()
+    most = int(most or 0)
+    if most >= 2**63 - 1:
+        raise OverflowError("a scaled component is beyond a 64-bit integer")
+    peak = most * most * width
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
     dealt = F.xxhash64("vec_id", "v")
     candidates = vectors.withColumn("shard", F.pmod(dealt, F.lit(shards))).withColumn(
@@ -118,7 +140,7 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, scale: int = 64) -> Dat
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         ids, terms = shard["vec_id"].to_numpy(), columns(shard["v"], width)
         parts = [ask.iloc[at : at + AT_ONCE] for at in range(0, len(ask), AT_ONCE)]
-        found = [x for part in parts for x in max_score(part["vec_id"].to_numpy(), columns(part["v"], width).T, ids, terms, k)]
+        found = [x for part in parts for x in max_score(part["vec_id"].to_numpy(), columns(part["v"], width).T, ids, terms, k, peak)]
         return pd.DataFrame(
             {
                 "query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype("int64"),

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from tamis.llm.topk import top_k
 
 
@@ -42,3 +44,22 @@ def test_many_shards_and_blocks(spark, monkeypatch):
 def test_empty(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert top_k(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("size", [3e6, 2e7, 1.5e8])
+def test_large_components(spark, size):
+    """Sums from 2 ** 53 on: doubles would round, and near ties would change places."""
+    rng = random.Random(int(size))
+    base = [rng.uniform(-size, size) for _ in range(12)]
+    rows = [(i, [x + rng.randrange(3) / 64 for x in base]) for i in range(150)] + [(i, [rng.uniform(-size, size) for _ in range(12)]) for i in range(150, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20, 6)
+    if max(abs(s) for *_, s in want) < 2**63:
+        assert sorted(tuple(r) for r in top_k(df, every=20, k=6).collect()) == want
+
+
+def test_scores_beyond_a_long_raise(spark):
+    for x in (1e17, 1e300):
+        df = spark.createDataFrame([(i, [x, x]) for i in range(4)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond a 64-bit integer"):
+            top_k(df, every=2, k=2).collect()
