@@ -22,7 +22,6 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -119,12 +118,12 @@ class Packer:
         length = length or self.length
         many = len(self.shares)
         for q, share in enumerate(self.shares):
-            # a source that had nothing to give catches up at twice its share at most
-            self.deficit[q] = min(self.deficit[q] + share * length, 2 * share * length + self.quantum)
+            self.deficit[q] += share * length
         at = 0
         for step in range(many):
             q = (self.turn + step) % many
-            give = min(int(self.deficit[q]), self.waiting[q], length - at)
+            # a source that had nothing to give catches up at twice its share a window
+            give = min(int(self.deficit[q]), int(2 * self.shares[q] * length) + self.quantum, self.waiting[q], length - at)
             if give >= min(self.quantum, length):
                 at = self.serve(q, give, at)
         while at < length:
@@ -220,24 +219,30 @@ def pack(docs: DataFrame, ranks_path: str, length: int = 2048, quantum: int = 25
         if ids_of is not None:
             packer.fill()
             rest = [
-                (doc_id, start, len(ids) // 4, None, doc_tokens, None, None, q, packer.deficit[q], part, ids)
+                (doc_id, start, len(ids) // 4, None, doc_tokens, None, None, q, None, part, ids)
                 for q, line in enumerate(packer.queues)
                 for doc_id, ids, start, doc_tokens in line
             ]
-            yield rows(packer.taken(), rest)
-
-    def join_rest(rest: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(shares, length, quantum, 1 << 62 | int(rest["part"].iloc[0]) // JOINED << 32)
-        for _, one in rest.drop_duplicates(["part", "queue"]).iterrows():
-            packer.deficit[int(one["queue"])] += one["deficit"]
-        for r in rest.sort_values(["part", "queue", "place"]).itertuples():
-            packer.add(int(r.queue), None if pd.isna(r.doc_id) else r.doc_id, r.ids, r.start, r.doc_tokens)
+            # every queue's deficit, of empty ones too: a starved source may wait in another partition
+            carried = [(None, None, None, None, None, None, None, q, d, part, b"") for q, d in enumerate(packer.deficit) if d]
+            yield rows(packer.taken(), rest + carried)
+
+    def join_rest(rest: pa.Table) -> pa.Table:
+        ids_of = rest.schema.field("doc_id").type
+        rest = rest.sort_by([(c, "ascending") for c in ("part", "queue", "place")])
+        packer = Packer(shares, length, quantum, 1 << 62 | rest.column("part")[0].as_py() // JOINED << 32)
+        for r in rest.select(["queue", "deficit", "doc_id", "ids", "start", "doc_tokens"]).to_pylist():
+            if r["deficit"] is not None:
+                packer.deficit[r["queue"]] += r["deficit"]
+            else:
+                packer.add(r["queue"], r["doc_id"], r["ids"], r["start"], r["doc_tokens"])
         packer.finish()
-        return pd.DataFrame(packer.taken(), columns=names[:7])
+        columns = zip(*packer.taken(), strict=True) if packer.pieces else [[]] * 7
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, [ids_of, *[pa.int64()] * 6], strict=True)], names=names[:7])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     dealt = slim.select("doc_id", F.col("source").cast("string").alias("source"), text).repartition(F.xxhash64("doc_id", F.length("text")))
     packed = settle(dealt.mapInArrow(run, schema))
     rest = packed.where(F.col("ids").isNotNull()).withColumn("place", F.monotonically_increasing_id())
-    late = rest.groupBy((F.col("part") / JOINED).cast("int").alias("joined")).applyInPandas(join_rest, f"doc_id {id_type}, {FIELDS}")
+    late = rest.groupBy((F.col("part") / JOINED).cast("int").alias("joined")).applyInArrow(join_rest, f"doc_id {id_type}, {FIELDS}")
     return packed.where(F.col("ids").isNull()).select(*names[:7]).unionByName(late)

@@ -101,3 +101,33 @@ def test_other_rows(spark, docs_of):
     pieces = packing.pack(docs_of(rows), RANKS).collect()
     assert sorted(str(p.doc_id) for p in pieces if p.start == 0) == ["7", "7", "None"]
     assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+
+
+def test_large_ids_beside_a_null(spark, docs_of, tokenizer):
+    rows = [((1 << 60) + 2 * i + 1, f"text {i} " * 9, "a") for i in range(30)] + [(None, "of no id", "b")]
+    pieces = packing.pack(docs_of(rows), RANKS, length=256, quantum=32).collect()
+    check_pieces(pieces, rows, tokenizer, 256)
+
+
+def test_deficits_of_empty_queues_are_carried(spark):
+    """A source that lies in one partition alone is owed what the others' windows lacked."""
+    shares = [0.5, 0.5, 0.0]
+    first, last = (packing.Packer(shares, 64, 16, n << 32) for n in (0, 1))
+    for n in range(20):
+        first.add(0, n, bytes(4 * 64))
+    first.fill()
+    assert first.deficit[1] == pytest.approx(20 * 32) and first.waiting[1] == 0
+    for n in range(20):
+        last.add(n % 2, 100 + n, bytes(4 * 64))
+    for q, d in enumerate(first.deficit):
+        last.deficit[q] += d
+    last.window()
+    served = {q: sum(p[2] for p in last.pieces if (p[0] - 100) % 2 == q) for q in (0, 1)}
+    assert served[1] > served[0]
+
+
+def test_source_in_one_partition(spark, tokenizer):
+    schema = "doc_id long, text string, source string"
+    rows = [(i, "alpha beta " * 40, "a") for i in range(60)] + [(100 + i, "gamma delta " * 40, "b") for i in range(6)]
+    pieces = packing.pack(spark.createDataFrame(rows, schema).repartition(6), RANKS, length=128, quantum=16, mixture={"a": 0.5, "b": 0.5}).collect()
+    check_pieces(pieces, rows, tokenizer, 128)
