@@ -1,20 +1,21 @@
 """T18 ``extract_tfidf`` and A18 word frequencies.
 
-Fit: tokens are exploded and counted per term (map-side partial aggregation, so a very
-common term does not overload one task); the vocabulary is the top ``max_features``
-terms by total count among those in at least 2 documents and at most 95% of them. It
-has at most 1,000 entries, so it is broadcast.
-
-Transform (long form, primary): (id, term, tfidf) with raw term counts × smooth idf
-ln((1+n)/(1+df)) + 1, L2-normalised per document. A document has at most |vocabulary|
-rows at that point, so the per-document window is bounded. The wide form (``tfidf_i``
-columns in alphabetical term order) pivots the long form over the known vocabulary and
-joins it back on the id.
+Fit: a document's tokens are sorted, so that each occurrence knows whether it is the term's first in its
+document; one ``groupBy(term)`` with map-side combine then gives total and document
+counts. The vocabulary is the top ``max_features`` (≤ 1,000) terms by total count among those
+in at least 2 documents and at most 95% of them.
+
+Transform: row by row, without a shuffle or an id, on streams too. The row's vocabulary tokens are sorted
+and counted inside the row; raw term counts × smooth idf ln((1+n)/(1+df)) + 1 are
+L2-normalised there. The long form is (id, term, term_index, tfidf), the wide form the
+``tfidf_i`` columns in alphabetical term order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.fixed import ENGLISH_STOP_WORDS, TFIDF_TOKEN_PATTERN
@@ -26,68 +27,80 @@ def tfidf_tokens(x):
     return F.filter(toks, lambda t: ~t.isin(*ENGLISH_STOP_WORDS))
 
 
-def fit_vocabulary(df: DataFrame, column: str, max_features=100, min_df=2, max_df=0.95) -> tuple[DataFrame, int]:
-    """(term, idf, term_index) for the kept vocabulary, and the document count.
+def begins(tokens: Column, i: Column) -> Column:
+    """Whether place i (from 0) of a sorted array begins a run of equal values."""
+    return (i == 0) | (F.get(tokens, i - 1) != F.get(tokens, i))
 
-    Total and document frequencies are two ``groupBy(term)`` counts with map-side
-    combine (over all tokens, and over each document's distinct tokens), joined on the
-    term: the shuffles carry one row per term and task, never (document, term) pairs.
-    """
+
+def fit_vocabulary(df: DataFrame, column: str, max_features=100, min_df=2, max_df=0.95) -> tuple[list[tuple[str, float]], int]:
+    """[(term, idf)] of the kept vocabulary by term, and the document count."""
     n_docs = df.count()
-    toks = tfidf_tokens(col(column))
-    tf = df.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = df.select(F.explode(F.array_distinct(toks)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = tf.join(dfreq, "term")
+    docs = df.select(F.sort_array(tfidf_tokens(col(column))).alias("t"))
+    marked = F.transform("t", lambda term, i: F.struct(term.alias("term"), begins(F.col("t"), i).cast("int").alias("first")))
+    stats = docs.select(F.explode(marked).alias("e")).groupBy("e.term").agg(F.count(F.lit(1)).alias("tf"), F.sum("e.first").alias("df"))
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(max_features)).collect()
     if not top:
         raise StepError("extract_tfidf: no terms remain after document-frequency pruning")
-    import math
+    return sorted((r["term"], math.log((1 + n_docs) / (1 + r["df"])) + 1.0) for r in top), n_docs
+
+
+VECTOR = "__tfidf"
+
+
+def with_vector(df: DataFrame, column: str, vocab: list[tuple[str, float]]) -> DataFrame:
+    """Adds VECTOR, an array of (term, term_index, tfidf) by term.
+
+    Each step is a column of its own: it is referred to several times and must not be computed again for each.
+    """
+    terms, idf = (F.lit(list(x)) for x in zip(*vocab, strict=True))
+    known = [t for t, _ in vocab]
+    kept = F.sort_array(F.filter(tfidf_tokens(col(column)), lambda t: t.isin(*known)))
+    rows = df.withColumn("__kept", kept)
+    size = F.size("__kept")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("__at", F.filter(places, lambda i: begins(F.col("__kept"), i)))
+
+    def raw(start, n):
+        term = F.get("__kept", start)
+        index = (F.array_position(terms, term) - 1).cast("int")
+        count = F.coalesce(F.get("__at", n + 1), size) - start
+        return F.struct(term.alias("term"), index.alias("term_index"), (count * F.get(idf, index)).alias("raw"))
 
-    vocab = sorted((r["term"], math.log((1 + n_docs) / (1 + r["df"])) + 1.0) for r in top)
-    spark = df.sparkSession
-    table = spark.createDataFrame([(t, idf, i) for i, (t, idf) in enumerate(vocab)], "term string, idf double, term_index int")
-    return table, n_docs
+    rows = rows.withColumn("__raw", F.transform("__at", raw))
+    rows = rows.withColumn("__norm", F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda total, e: total + e["raw"] * e["raw"])))
+    unit = F.transform("__raw", lambda e: F.struct(e["term"].alias("term"), e["term_index"].alias("term_index"), (e["raw"] / F.col("__norm")).alias("tfidf")))
+    return rows.withColumn(VECTOR, unit).drop("__kept", "__at", "__raw", "__norm")
 
 
-def tfidf_long(df: DataFrame, id_col: str, column: str, vocab: DataFrame) -> DataFrame:
-    terms_list = [r["term"] for r in vocab.select("term").collect()]  # ≤ 1,000 terms
-    # keep only vocabulary tokens before exploding (InSet lookup), then count per document
-    kept = F.filter(tfidf_tokens(col(column)), lambda t: t.isin(*terms_list))
-    terms = df.select(col(id_col).alias(id_col), F.explode(kept).alias("term"))
-    counted = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(vocab), "term")
-    raw = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id_col)))
-    return counted.select(id_col, "term", "term_index", (raw / norm).alias("tfidf"))
+def tfidf_long(df: DataFrame, id_col: str, column: str, vocab) -> DataFrame:
+    return with_vector(df.select(*[col(c) for c in dict.fromkeys((id_col, column))]), column, vocab).select(col(id_col), F.inline(VECTOR))
 
 
-def tfidf_wide(df: DataFrame, id_col: str, column: str, vocab: DataFrame) -> DataFrame:
-    n = vocab.count()
-    long = tfidf_long(df, id_col, column, vocab)
-    wide = long.groupBy(id_col).pivot("term_index", list(range(n))).agg(F.first("tfidf"))
-    for i in range(n):
-        wide = wide.withColumnRenamed(str(i), f"tfidf_{i}")
-    out = df.drop(column).join(wide, id_col, "left")
-    return out.fillna(0.0, subset=[f"tfidf_{i}" for i in range(n)])
+def tfidf_wide(df: DataFrame, column: str, vocab) -> DataFrame:
+    """The rows without their text, with one column a term."""
+    entries = F.transform(VECTOR, lambda e: F.struct(e["term_index"], e["tfidf"]))
+    rows = with_vector(df, column, vocab).withColumn("__map", F.map_from_entries(entries))
+    columns = [F.coalesce(F.col("__map")[i], F.lit(0.0)).alias(f"tfidf_{i}") for i in range(len(vocab))]
+    return rows.select(*[col(c) for c in df.columns if c != column], *columns)
 
 
 @register_step("extract_tfidf")
 class ExtractTfidf(Step):
     required = ("column", "max_features")
-    rowwise = False
 
     def check_params(self):
-        if not self.params.get("id_column"):
-            raise StepError("extract_tfidf: needs 'id_column' to attach document vectors")
+        form = self.params.get("form", "wide")
+        if form not in ("wide", "long"):
+            raise StepError("extract_tfidf: form must be wide or long")
+        if form == "long" and not self.params.get("id_column"):
+            raise StepError("extract_tfidf: the long form needs 'id_column' to name the rows")
 
     def fit(self, df):
         p = self.params
         vocab, n = fit_vocabulary(df, p["column"], clamp(int(p["max_features"]), 10, 1000))
-        form = p.get("form", "wide")
-        fn = (lambda d: tfidf_long(d, p["id_column"], p["column"], vocab)) if form == "long" else (
-            lambda d: tfidf_wide(d, p["id_column"], p["column"], vocab)
-        )
-        return FittedStep(self.kind, p, {"vocabulary": [r["term"] for r in vocab.orderBy("term_index").collect()], "n_docs": n}, fn)
+        fn = (lambda d: tfidf_long(d, p["id_column"], p["column"], vocab)) if p.get("form") == "long" else (lambda d: tfidf_wide(d, p["column"], vocab))
+        return FittedStep(self.kind, p, {"vocabulary": [t for t, _ in vocab], "n_docs": n}, fn)
 
 
 def word_frequencies(df: DataFrame, column: str, top: int = 200) -> DataFrame:
