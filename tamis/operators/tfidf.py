@@ -74,7 +74,9 @@ def with_vector(df: DataFrame, column: str, vocab: list[tuple[str, float]]) -> D
 
 
 def tfidf_long(df: DataFrame, id_col: str, column: str, vocab) -> DataFrame:
-    return with_vector(df.select(*[col(c) for c in dict.fromkeys((id_col, column))]), column, vocab).select(col(id_col), F.inline(VECTOR))
+    rows = with_vector(df.select(*[col(c) for c in dict.fromkeys((id_col, column))]), column, vocab)
+    # the outer form: a plain inline gets a filter on its input, which would be computed below all the columns
+    return rows.select(col(id_col), F.inline_outer(VECTOR)).where("term IS NOT NULL")
 
 
 def tfidf_wide(df: DataFrame, column: str, vocab) -> DataFrame:
