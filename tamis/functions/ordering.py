@@ -343,11 +343,13 @@ class SavgolKernel(Kernel):
         # the place in a window of the polynomial that gives the row: its middle, but for the group's first and last rows
         last = F.col("__glen") - w
         place = F.when(F.col("__pos") < half, F.col("__pos")).when(F.col("__pos") >= F.col("__glen") - half, F.col("__pos") - last).otherwise(half)
-        weights = F.array(*[F.array(*[F.lit(float(c)) for c in savgol_coeffs(w, self.order, g)]) for g in range(w)])
         rows = rows.withColumn("__place", place.cast("int"))
-        window = F.slice("__around", F.greatest(F.col("__at") - F.col("__place") + 1, F.lit(1)), F.lit(w))
-        products = F.zip_with(window, F.get(weights, "__place"), lambda a, b: a * b)
-        smooth = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+        begin = F.col("__at") - F.col("__place")
+        inside = sum(F.get("__around", begin + k) * F.lit(float(c)) for k, c in enumerate(savgol_coeffs(w, self.order)))
+        # the few rows next to a group's ends look their place's weights up
+        weights = F.array(*[F.array(*[F.lit(float(c)) for c in savgol_coeffs(w, self.order, g)]) for g in range(w)])
+        products = F.zip_with(F.slice("__around", F.greatest(begin, F.lit(0)) + 1, F.lit(w)), F.get(weights, "__place"), lambda v, c: v * c)
+        smooth = F.when(F.col("__place") == half, inside).otherwise(F.aggregate(products, F.lit(0.0), lambda total, p: total + p))
         smooth = F.when(~F.isnan(smooth), smooth)
         return rows.withColumn(self.output, F.when(F.col("__glen") > w, smooth).otherwise(F.col("__short")))
 

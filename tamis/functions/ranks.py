@@ -64,10 +64,11 @@ def spearman(df: DataFrame, columns: list[Column]) -> dict[tuple[int, int], tupl
         return {}
     rows = numbers(df, columns)
     own = [F.col(f"c{i}") for i in range(len(columns))]
-    there = pair_sums(rows, own, [*pairs, *((i, i) for i in range(len(columns)))])
-    counts = np.zeros((len(columns), len(columns)), np.int64)
-    for (i, j), sums in there.items():
-        counts[i, j] = counts[j, i] = int(sums[0])
+    size, *there = rows.agg(F.count(F.lit(1)), *[F.count(c) for c in own]).first()
+    counts = np.full((len(columns), len(columns)), size, np.int64)
+    if min(there) < size:
+        for (i, j), sums in pair_sums(rows, own, [*pairs, *((i, i) for i in range(len(columns)))]).items():
+            counts[i, j] = counts[j, i] = int(sums[0])
     rankings, used = rankings_for(counts)
 
     entries = [

@@ -1,20 +1,23 @@
 """T18 ``extract_tfidf`` and A18 word frequencies.
 
-Fit: a document's tokens are sorted, so that each occurrence knows whether it is the term's first in its
-document; one ``groupBy(term)`` with map-side combine then gives total and document
-counts. The vocabulary is the top ``max_features`` (≤ 1,000) terms by total count among those
-in at least 2 documents and at most 95% of them.
-
-Transform: row by row, without a shuffle or an id, on streams too. The row's vocabulary tokens are sorted
-and counted inside the row; raw term counts × smooth idf ln((1+n)/(1+df)) + 1 are
-L2-normalised there. The long form is (id, term, term_index, tfidf), the wide form the
-``tfidf_i`` columns in alphabetical term order.
+Fit: a document's tokens are exploded beside its distinct tokens, so that one tokenising and one
+``groupBy(term)`` with map-side combine give total and document counts. The vocabulary is the
+top ``max_features`` (≤ 1,000) terms by total count among those in at least 2 documents and at
+most 95% of them.
+
+Transform: row by row, without a shuffle or an id, on streams too. Raw term counts
+(``CountVectorizerModel`` over the fitted vocabulary) × smooth idf ln((1+n)/(1+df)) + 1,
+L2-normalised. The long form is (id, term, term_index, tfidf), the wide form the ``tfidf_i``
+columns in alphabetical term order.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +25,22 @@ from tamis.functions.fixed import ENGLISH_STOP_WORDS, TFIDF_TOKEN_PATTERN
 from tamis.operators.base import FittedStep, Step, StepError, clamp, col, register_step
 
 
-def tfidf_tokens(x):
-    toks = F.regexp_extract_all(F.lower(F.coalesce(x.cast("string"), F.lit(""))), F.lit(TFIDF_TOKEN_PATTERN), 0)
-    return F.filter(toks, lambda t: ~t.isin(*ENGLISH_STOP_WORDS))
+def all_tokens(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(x.cast("string"), F.lit(""))), F.lit(TFIDF_TOKEN_PATTERN), 0)
 
 
-def begins(tokens: Column, i: Column) -> Column:
-    """Whether place i (from 0) of a sorted array begins a run of equal values."""
-    return (i == 0) | (F.get(tokens, i - 1) != F.get(tokens, i))
+def tfidf_tokens(x: Column) -> Column:
+    return F.filter(all_tokens(x), lambda t: ~t.isin(*ENGLISH_STOP_WORDS))
 
 
 def fit_vocabulary(df: DataFrame, column: str, max_features=100, min_df=2, max_df=0.95) -> tuple[list[tuple[str, float]], int]:
-    """[(term, idf)] of the kept vocabulary by term, and the document count."""
+    """[(term, idf)] of the kept vocabulary by term, and the document count. Stop words leave once the terms are counted."""
     n_docs = df.count()
-    docs = df.select(F.sort_array(tfidf_tokens(col(column))).alias("t"))
-    marked = F.transform("t", lambda term, i: F.struct(term.alias("term"), begins(F.col("t"), i).cast("int").alias("first")))
-    stats = docs.select(F.explode(marked).alias("e")).groupBy("e.term").agg(F.count(F.lit(1)).alias("tf"), F.sum("e.first").alias("df"))
-    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+    docs = df.select(all_tokens(col(column)).alias("t"))
+    lists = [F.struct(F.lit(once).alias("once"), terms.alias("terms")) for once, terms in ((False, F.col("t")), (True, F.array_distinct("t")))]
+    terms = docs.select(F.explode(F.array(*lists)).alias("e")).select("e.once", F.explode("e.terms").alias("term"))
+    stats = terms.groupBy("term").agg(F.count_if(~F.col("once")).alias("tf"), F.count_if("once").alias("df"))
+    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)) & ~F.col("term").isin(*ENGLISH_STOP_WORDS))
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(max_features)).collect()
     if not top:
         raise StepError("extract_tfidf: no terms remain after document-frequency pruning")
@@ -49,42 +51,26 @@ VECTOR = "__tfidf"
 
 
 def with_vector(df: DataFrame, column: str, vocab: list[tuple[str, float]]) -> DataFrame:
-    """Adds VECTOR, an array of (term, term_index, tfidf) by term.
-
-    Each step is a column of its own: it is referred to several times and must not be computed again for each.
-    """
-    terms, idf = (F.lit(list(x)) for x in zip(*vocab, strict=True))
-    known = [t for t, _ in vocab]
-    kept = F.sort_array(F.filter(tfidf_tokens(col(column)), lambda t: t.isin(*known)))
-    rows = df.withColumn("__kept", kept)
-    size = F.size("__kept")
-    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("__at", F.filter(places, lambda i: begins(F.col("__kept"), i)))
-
-    def raw(start, n):
-        term = F.get("__kept", start)
-        index = (F.array_position(terms, term) - 1).cast("int")
-        count = F.coalesce(F.get("__at", n + 1), size) - start
-        return F.struct(term.alias("term"), index.alias("term_index"), (count * F.get(idf, index)).alias("raw"))
-
-    rows = rows.withColumn("__raw", F.transform("__at", raw))
-    rows = rows.withColumn("__norm", F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda total, e: total + e["raw"] * e["raw"])))
-    unit = F.transform("__raw", lambda e: F.struct(e["term"].alias("term"), e["term_index"].alias("term_index"), (e["raw"] / F.col("__norm")).alias("tfidf")))
-    return rows.withColumn(VECTOR, unit).drop("__kept", "__at", "__raw", "__norm")
+    """Adds VECTOR, an array with one value for each term of the vocabulary."""
+    terms, idf = zip(*vocab, strict=True)
+    rows = df.withColumn("__tokens", all_tokens(col(column)))
+    rows = CountVectorizerModel.from_vocabulary(list(terms), inputCol="__tokens", outputCol="__counts").transform(rows)
+    rows = ElementwiseProduct(scalingVec=Vectors.dense(list(idf)), inputCol="__counts", outputCol="__weighted").transform(rows)
+    rows = Normalizer(p=2.0, inputCol="__weighted", outputCol="__unit").transform(rows)
+    return rows.withColumn(VECTOR, vector_to_array("__unit")).drop("__tokens", "__counts", "__weighted", "__unit")
 
 
 def tfidf_long(df: DataFrame, id_col: str, column: str, vocab) -> DataFrame:
     rows = with_vector(df.select(*[col(c) for c in dict.fromkeys((id_col, column))]), column, vocab)
-    # the outer form: a plain inline gets a filter on its input, which would be computed below all the columns
-    return rows.select(col(id_col), F.inline_outer(VECTOR)).where("term IS NOT NULL")
+    terms = F.lit([t for t, _ in vocab])
+    places = rows.select(col(id_col), F.posexplode_outer(VECTOR).alias("term_index", "tfidf")).where("tfidf > 0")
+    return places.select(col(id_col), F.get(terms, "term_index").alias("term"), "term_index", "tfidf")
 
 
 def tfidf_wide(df: DataFrame, column: str, vocab) -> DataFrame:
     """The rows without their text, with one column a term."""
-    entries = F.transform(VECTOR, lambda e: F.struct(e["term_index"], e["tfidf"]))
-    rows = with_vector(df, column, vocab).withColumn("__map", F.map_from_entries(entries))
-    columns = [F.coalesce(F.col("__map")[i], F.lit(0.0)).alias(f"tfidf_{i}") for i in range(len(vocab))]
-    return rows.select(*[col(c) for c in df.columns if c != column], *columns)
+    columns = [F.get(VECTOR, F.lit(i)).alias(f"tfidf_{i}") for i in range(len(vocab))]
+    return with_vector(df, column, vocab).select(*[col(c) for c in df.columns if c != column], *columns)
 
 
 @register_step("extract_tfidf")

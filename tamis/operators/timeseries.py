@@ -119,7 +119,7 @@ def resample(df: DataFrame, time_column: str, freq: str, agg_func="mean", fill_e
     if bounds["lo"] is None:
         return spark.createDataFrame([], base.select(F.col("__t").alias(time_column), *[col(c) for c in values]).schema)
     origin = datetime(bounds["lo"].year, bounds["lo"].month, bounds["lo"].day)
-    origin_lit = F.lit(origin.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")  # no time-zone shift
+    origin_lit = F.lit(origin.isoformat(" ")).cast("timestamp_ntz")  # no time-zone shift; four digits of year
     if kind == "months":
         months = (F.year("__t") - origin.year) * 12 + (F.month("__t") - origin.month)
         idx = F.floor(months / n).cast("long")

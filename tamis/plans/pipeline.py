@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import time
+import warnings
 
 from pyspark.sql import DataFrame
 
@@ -69,24 +70,65 @@ def _columns_after(step, cols: list[str]) -> list[str]:
     return out
 
 
-def validate_pipeline(df: DataFrame, steps: list[dict]) -> tuple[bool, list[str]]:
-    """Check kinds, parameters and columns. Columns are checked against the schema each
-    step will see as far as it follows from earlier steps' parameters; no job runs."""
+# The least and most a parameter may be, by step.
+PARAMETER_RANGES = {
+    ("impute", "n_neighbors"): (1, None),
+    ("create_polynomial_features", "degree"): (1, None),
+    ("bin_features", "bins"): (2, None),
+    ("select_features_correlation", "threshold"): (0.1, 0.9),
+    ("automated_feature_engineering", "max_features"): (10, None),
+}
+# What larger values are taken as.
+PARAMETER_LIMITS = {
+    ("impute", "n_neighbors"): 50,
+    ("create_polynomial_features", "degree"): 5,
+    ("bin_features", "bins"): 50,
+    ("automated_feature_engineering", "max_features"): 500,
+}
+
+
+def range_errors(step) -> list[str]:
+    """Parameters that are no number or lie outside their range; warns of those that the step will lower."""
     errors = []
+    for (kind, name), (least, most) in PARAMETER_RANGES.items():
+        if kind != step.kind or name not in step.params:
+            continue
+        value = step.params[name]
+        kinds = (int, float) if isinstance(least, float) else int
+        if isinstance(value, bool) or not isinstance(value, kinds) or value < least or (most is not None and value > most):
+            number = "a number" if isinstance(least, float) else "an integer"
+            errors.append(f"'{name}' must be {number} " + (f"of at least {least}" if most is None else f"between {least} and {most}"))
+        elif value > PARAMETER_LIMITS.get((kind, name), value):
+            warnings.warn(f"{kind}: '{name}' {value} is taken as {PARAMETER_LIMITS[kind, name]}", stacklevel=3)
+    return errors
+
+
+def problems(df: DataFrame, steps: list[dict]) -> tuple[list[str], list[str]]:
+    """(steps that can't be built, other errors)."""
     if not isinstance(steps, list):
-        return False, ["pipeline must be a list"]
+        return ["pipeline must be a list"], []
+    unbuilt, errors = [], []
     cols = list(df.columns)
     for i, spec in enumerate(steps):
         try:
             step = make_step(spec)
         except StepError as e:
-            errors.append(f"Step {i}: {e}")
+            unbuilt.append(f"Step {i}: {e}")
             continue
+        errors += [f"Step {i} ({step.kind}): {e}" for e in range_errors(step)]
         absent = [c for c in step.input_columns() if c not in cols]
         if absent:
             errors.append(f"Step {i} ({step.kind}): columns not in DataFrame: {', '.join(absent)}")
         cols = _columns_after(step, cols)
-    return not errors, errors
+    return unbuilt, errors
+
+
+def validate_pipeline(df: DataFrame, steps: list[dict]) -> tuple[bool, list[str]]:
+    """Check kinds, parameters, their ranges and columns. Columns are checked against the schema each
+    step will see as far as it follows from earlier steps' parameters; no job runs."""
+    unbuilt, errors = problems(df, steps)
+    every = sorted([*unbuilt, *errors], key=lambda e: int(e.split()[1].strip(":")) if e.startswith("Step ") else -1)
+    return not every, every
 
 
 class Pipeline:
@@ -136,9 +178,9 @@ class Pipeline:
 
 def run_pipeline(df: DataFrame, steps: list[dict]) -> DataFrame:
     """Fit and apply every step in order (fail fast on the first bad step)."""
-    ok, errors = validate_pipeline(df, steps)
-    if not ok and any("unknown step kind" in e or "missing required" in e for e in errors):
-        raise StepError("; ".join(errors))
+    unbuilt, _ = problems(df, steps)
+    if unbuilt:
+        raise StepError("; ".join(unbuilt))
     return Pipeline(steps).fit_transform(df)
 
 
