@@ -23,10 +23,10 @@ BLOCK = 500_000  # rows whose inversions one task counts
 FAN = 64  # blocks that are merged at a time
 
 
-def stacked(rows: DataFrame, entries: list[Column]) -> DataFrame:
-    """One row for each entry (a struct) that isn't null, beside the row's __rid if there is one."""
+def stacked(rows: DataFrame, entries: list[Column], key: str) -> DataFrame:
+    """One row for each entry (a struct) whose ``key`` isn't null, beside the row's __rid if there is one."""
     kept = ["__rid"] if "__rid" in rows.columns else []
-    return rows.select(*kept, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select(*kept, "e.*")
+    return rows.select(*kept, F.inline(F.array(*entries))).where(F.col(key).isNotNull())
 
 
 def numbers(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -72,10 +72,10 @@ def spearman(df: DataFrame, columns: list[Column]) -> dict[tuple[int, int], tupl
     rankings, used = rankings_for(counts)
 
     entries = [
-        F.when(own[i].isNotNull() & own[k].isNotNull(), F.struct(F.lit(r).alias("r"), own[i].alias("v"))) for r, (i, k) in enumerate(rankings)
+        F.struct(F.lit(r).alias("r"), (own[i] if i == k else F.when(own[k].isNotNull(), own[i])).alias("v")) for r, (i, k) in enumerate(rankings)
     ]
-    cells = stacked(rows, entries)
-    held = cells.groupBy("r", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = stacked(rows, entries, "v")
+    held = reliable_checkpoint(cells.groupBy("r", "v").agg(F.count(F.lit(1)).alias("cnt")))
     total = [int(counts[i, k]) for i, k in rankings]
     # ranks less their mean: their squares and products are added up as they are
     scanned = reliable_checkpoint(ordered_scan(held, CumulativeKernel("cnt", "before"), ["v"], ["r"]))
@@ -173,9 +173,9 @@ def kendall(df: DataFrame, columns: list[Column], pairs: list[tuple[int, int]] |
     rows = numbers(df, columns)
     x = [F.col(f"c{i}") for i in range(len(columns))]
     entries = [
-        F.when(x[i].isNotNull() & x[j].isNotNull(), F.struct(F.lit(p).alias("p"), x[i].alias("x"), x[j].alias("y"))) for p, (i, j) in enumerate(pairs)
+        F.struct(F.lit(p).alias("p"), F.when(x[j].isNotNull(), x[i]).alias("x"), x[j].alias("y")) for p, (i, j) in enumerate(pairs)
     ]
-    cells = stacked(rows.drop("__rid"), entries)
+    cells = stacked(rows.drop("__rid"), entries, "x")
     whole = F.col("n").cast("decimal(19,0)")
     tied = {}
     for keys in ((), ("x",), ("y",), ("x", "y")):
