@@ -11,6 +11,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -1424,12 +1425,18 @@ def q_kendall(spark, sf):
     return spark.createDataFrame([(round(tau, 6), n)], "tau double, n long")
 
 
-@_query("significant_pairs")
+@_query(
+    "significant_pairs",
+    "WITH every AS (" + _pearson_sql() + """)
+        SELECT Variable1, Variable2, correlation, 0.0::DOUBLE AS p_value, CASE WHEN abs(correlation) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength
+        FROM every WHERE Variable1 < Variable2 AND abs(correlation) >= 0.3""",  # so many rows: p is 0 to six places
+)
 def q_significant(spark, sf):
     _prep(spark)
     from tamis.operators.correlation import pearson_matrix, significant_pairs
 
-    return significant_pairs(pearson_matrix(line_corr(spark, sf), _PEARSON_COLS))
+    found = significant_pairs(pearson_matrix(line_corr(spark, sf), _PEARSON_COLS))
+    return found.withColumns({c: r6(F.col(c)) for c in ("correlation", "p_value")})
 
 
 # ---- A12–A14 importance --------------------------------------------------------------------------------------
@@ -1589,6 +1596,134 @@ def q_recommendations(spark, sf):
     return r.select("rank", "type", "column", "severity", "priority", r6(F.col("value")).alias("value"))
 
 
+# ---- K sinks and S sources: written to the shared scratch folder, read back ------------------------------------
+
+
+def _scratch(spark, name):
+    """A folder of this run under the checkpoint folder, which every executor shares."""
+    from tamis.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_SINK_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"
+_SINK_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"
+
+
+def _sink_rows(spark, sf):
+    _prep(spark)
+    return _t(spark, sf, "orders").select(*[F.col(c).cast("date").alias(c) if c == "o_orderdate" else c for c in (f.split()[0] for f in _SINK_SCHEMA.split(", "))])
+
+
+@_query("sink_csv", _SINK_SQL)
+def q_sink_csv(spark, sf):
+    from tamis.sources.csv import read_csv
+    from tamis.sources.sinks import write_csv
+
+    path = _scratch(spark, "csv")
+    write_csv(_sink_rows(spark, sf), path)
+    return read_csv(spark, path, _SINK_SCHEMA)
+
+
+@_query("sink_csv_gzip_inferred", _SINK_SQL.replace("CAST(o_orderdate AS DATE) AS o_orderdate", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS o_orderdate"))
+def q_sink_csv_gzip(spark, sf):
+    from tamis.sources.csv import read_csv
+    from tamis.sources.sinks import write_csv
+
+    path = _scratch(spark, "gzip")
+    write_csv(_sink_rows(spark, sf), path, compression="gzip")
+    return read_csv(spark, path)
+
+
+@_query("source_csv_rejects", _SINK_SQL.replace("o_orderpriority FROM", "o_orderpriority, CAST(NULL AS VARCHAR) AS rejected FROM"))
+def q_source_rejects(spark, sf):
+    from tamis.sources.csv import read_csv
+
+    path = _scratch(spark, "semicolons")
+    _sink_rows(spark, sf).write.option("header", True).option("sep", ";").option("encoding", "iso-8859-1").csv(path)
+    return read_csv(spark, path, _SINK_SCHEMA, encoding="latin-1", delimiter=";", rejects="rejected")
+
+
+@_query("sink_parquet_partitioned", _SINK_SQL)
+def q_sink_parquet(spark, sf):
+    from tamis.sources.sinks import write_parquet
+
+    path = _scratch(spark, "parquet")
+    write_parquet(_sink_rows(spark, sf), path, compression="zstd", partition_by=["o_orderstatus"])
+    return spark.read.schema(_SINK_SCHEMA).parquet(path)
+
+
+@_query("sink_chosen_columns", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_sink_columns(spark, sf):
+    from tamis.sources.sinks import export_columns
+
+    path = _scratch(spark, "columns")
+    export_columns(_sink_rows(spark, sf), path, ["o_orderkey", "o_totalprice"], fmt="parquet")
+    return spark.read.parquet(path)
+
+
+@_query("sink_matrix", _pearson_sql())
+def q_sink_matrix(spark, sf):
+    from tamis.operators.correlation import pearson_matrix
+    from tamis.sources.csv import read_csv
+    from tamis.sources.sinks import write_matrix
+
+    _prep(spark)
+    path = _scratch(spark, "matrix")
+    write_matrix(pearson_matrix(line_corr(spark, sf), _PEARSON_COLS), path)
+    m = read_csv(spark, path, "Variable1 string, Variable2 string, correlation double, n long, p_value double")
+    return m.select("Variable1", "Variable2", r6(F.col("correlation")).alias("correlation"))
+
+
+@_query("sink_bundle", "SELECT o_orderkey, (o_totalprice - lo) / (hi - lo) AS o_totalprice FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
+def q_sink_bundle(spark, sf):
+    from tamis.plans.pipeline import run_pipeline
+    from tamis.sources.bundle import export_bundle, import_bundle
+
+    path = _scratch(spark, "bundle")
+    steps = [{"kind": "scale", "params": {"columns": ["o_totalprice"], "method": "minmax"}}]
+    export_bundle(_sink_rows(spark, sf).select("o_orderkey", "o_totalprice"), steps, path)
+    rows, steps, _ = import_bundle(spark, path)
+    return run_pipeline(rows, steps)
+
+
+@_query(
+    "smooth_after_bfill",
+    with_views(
+        """, b AS (SELECT event_id, row_number() OVER (ORDER BY ts) AS rn, value FROM events_nulls),
+        f AS (SELECT event_id, rn, first_value(value IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM b)
+        SELECT event_id, round(avg(value) OVER (ORDER BY rn ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS value FROM f""",
+        "events_nulls",
+    ),
+)
+def q_smooth_bfill(spark, sf):
+    _prep(spark)
+    d = _step(events_nulls(spark, sf), "smooth_time_series", column="value", method="moving_average", window=7, interpolate="bfill", order_by=["ts"])
+    return d.select("event_id", r6(F.col("value")).alias("value"))
+
+
+@_query(
+    "spearman_with_gaps",
+    with_views(
+        """, p AS (SELECT event_id, user_id, value FROM events_nulls),
+        r AS (SELECT rank() OVER (ORDER BY event_id) + (count(*) OVER (PARTITION BY event_id) - 1) / 2.0 AS a,
+            rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0 AS b FROM p),
+        s AS (SELECT rank() OVER (ORDER BY event_id) + (count(*) OVER (PARTITION BY event_id) - 1) / 2.0 AS a,
+            rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0 AS b,
+            rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS c FROM p WHERE value IS NOT NULL)
+        SELECT 'event_id' AS x, 'user_id' AS y, round(corr(a, b), 6) AS correlation FROM r
+        UNION ALL SELECT 'event_id', 'value', round(corr(a, c), 6) FROM s UNION ALL SELECT 'user_id', 'value', round(corr(b, c), 6) FROM s""",
+        "events_nulls",
+    ),
+)
+def q_spearman_gaps(spark, sf):
+    _prep(spark)
+    from tamis.operators.correlation import spearman_matrix
+
+    m = spearman_matrix(events_nulls(spark, sf), ["event_id", "user_id", "value"]).where("Variable1 < Variable2")
+    return m.select(F.col("Variable1").alias("x"), F.col("Variable2").alias("y"), r6(F.col("correlation")).alias("correlation"))
+
+
 # ---- Q / P surface, S4 sample --------------------------------------------------------------------------------
 
 _SQL_TEXT = "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM df WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY o_orderstatus"

@@ -130,3 +130,18 @@ def test_matrix_writer_and_sampled_bundle(spark, sf):
     export_bundle(li, [], f"{d}/b", sample_rows=500)
     raw, steps, man = import_bundle(spark, f"{d}/b")
     assert raw.count() == 500 and steps == [] and man["sample_rows"] == 500
+
+
+def test_rejected_and_multiline_rows(spark, tmp_path):
+    from tamis.sources.csv import read_csv, rejected
+
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as f:
+        f.write('id,text,v\n1,"two\nlines, and ""quotes""",1.5\n2,NA,N/A\n3,too,4,many\n4,few\n5,last,x7\n')
+    typed = read_csv(spark, path, "id int, text string, v double", multiline=True, rejects="_bad")
+    rows, bad, n = rejected(typed, "_bad")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 'two\nlines, and "quotes"', 1.5), (2, None, None)]
+    assert n == 3 and sorted(r[0] for r in bad.collect()) == ["3,too,4,many", "4,few", "5,last,x7"]
+    rows, _, n = rejected(read_csv(spark, path, multiline=True, rejects="_bad"), "_bad")
+    assert n == 2 and sorted(r.id for r in rows.collect()) == [1, 2, 5]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
