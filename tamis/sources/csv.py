@@ -75,8 +75,13 @@ def read_csv(
     # everything as text first, so that NA strings are no malformed numbers
     names = reader.option("inferSchema", False).csv(path).columns
     texts = StructType([StructField(n, StringType()) for n in [*names, *([rejects] if rejects else [])]])
-    raw = reader.option("columnNameOfCorruptRecord", rejects or "_corrupt_record").schema(texts).csv(path)
+    if rejects:  # a row is judged by all its values, whichever are asked for
+        reader = reader.option("columnNameOfCorruptRecord", rejects).option("columnPruning", False)
+    raw = reader.schema(texts).csv(path)
     raw = _from_cp1252(raw) if windows else raw
+    if rejects and names:
+        # Spark refuses to read the rejects alone: an empty part of the first column goes along
+        raw = raw.withColumn(rejects, F.concat(col(rejects), F.substring(F.coalesce(col(raw.columns[0]), F.lit("")), 1, 0)))
     kept = raw.select(*_na_columns(raw.drop(rejects) if rejects else raw), *([col(rejects)] if rejects else []))
     return _infer_types(kept, skip=rejects) if fields is None else nan_to_null(_typed(kept, fields, rejects, delimiter))
 
