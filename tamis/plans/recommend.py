@@ -13,6 +13,8 @@ The rules run on the driver over that profile.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -216,30 +218,51 @@ def filter_priority(recs: list[dict], band: str) -> list[dict]:
     return [r for r in recs if lo <= r["priority"] <= hi]
 
 
+# Limits of the feature suggestions.
+SKEW_LOG, SKEW_SQRT, WIDEST, LONG_TEXT, SUGGESTED = 1.0, 0.5, 5, 10, 8
+PRIORITIES = ("high", "medium", "low")
+
+
+def _skewed(prof: dict, above: float, most: float) -> list[list[str]]:
+    skews = {c: prof["stats"][c].get("skewness") for c in prof["numeric_cols"]}
+    return [[c] for c, s in skews.items() if s is not None and above < s <= most]
+
+
+def _widest(prof: dict) -> list[list[str]]:
+    spread = {c: prof["stats"][c].get("variance") for c in prof["numeric_cols"]}
+    widest = sorted((c for c, v in spread.items() if v), key=lambda c: -spread[c])[:WIDEST]
+    return [widest] if len(widest) > 1 else []
+
+
+@dataclass(frozen=True)
+class FeatureRule:
+    """A suggested feature: ``finding`` gives the column groups of a profile that it fits, ``name`` is filled with the first column."""
+
+    name: str
+    kind: str
+    priority: str
+    finding: Callable[[dict], list[list[str]]]
+
+
+FEATURE_RULES = (
+    FeatureRule("log_{}", "log", "high", lambda p: _skewed(p, SKEW_LOG, math.inf)),
+    FeatureRule("{}_parts", "extract_datetime_features", "high", lambda p: [[c] for c in p["datetime_cols"]]),
+    FeatureRule("drop_correlated", "select_features_correlation", "high", lambda p: [[]] if p.get("high_correlations") else []),
+    FeatureRule("sqrt_{}", "sqrt", "medium", lambda p: _skewed(p, SKEW_SQRT, SKEW_LOG)),
+    FeatureRule("freq_{}", "frequency_encode", "medium", lambda p: [[c] for c in p["high_cardinality_cols"]]),
+    FeatureRule("polynomial", "create_polynomial_features", "medium", _widest),
+    FeatureRule("text_{}", "text_features", "medium", lambda p: [[c] for c in p["text_cols"] if (p["stats"][c].get("avg_length") or 0) > LONG_TEXT]),
+)
+
+
 def smart_feature_rules(df: DataFrame) -> list[dict]:
-    """Feature suggestions from the A10 profile, top 8 by priority."""
+    """Feature suggestions from the A10 profile, the first by priority."""
     from tamis.operators.profile import analyze_dataset_advanced
 
     prof = analyze_dataset_advanced(df, as_dict=True)
-    out = []
-    st = prof["stats"]
-    for c in prof["numeric_cols"]:
-        s = st[c].get("skewness")
-        if s is not None and s > 1:
-            out.append({"feature": f"log_{c}", "kind": "log", "columns": [c], "priority": "high"})
-        elif s is not None and 0.5 < s <= 1:
-            out.append({"feature": f"sqrt_{c}", "kind": "sqrt", "columns": [c], "priority": "medium"})
-    for c in prof["datetime_cols"]:
-        out.append({"feature": f"{c}_parts", "kind": "extract_datetime_features", "columns": [c], "priority": "high"})
-    for c in prof["high_cardinality_cols"]:
-        out.append({"feature": f"freq_{c}", "kind": "frequency_encode", "columns": [c], "priority": "medium"})
-    hv = sorted([c for c in prof["numeric_cols"] if st[c].get("variance")], key=lambda c: -st[c]["variance"])[:5]
-    if len(hv) >= 2:
-        out.append({"feature": "polynomial", "kind": "create_polynomial_features", "columns": hv, "priority": "medium"})
-    if prof.get("high_correlations"):
-        out.append({"feature": "drop_correlated", "kind": "select_features_correlation", "columns": [], "priority": "high"})
-    for c in prof["text_cols"]:
-        if (st[c].get("avg_length") or 0) > 10:
-            out.append({"feature": f"text_{c}", "kind": "text_features", "columns": [c], "priority": "medium"})
-    order = {"high": 0, "medium": 1, "low": 2}
-    return sorted(out, key=lambda r: order[r["priority"]])[:8]
+    found = [
+        {"feature": rule.name.format(*columns[:1]), "kind": rule.kind, "columns": columns, "priority": rule.priority}
+        for rule in sorted(FEATURE_RULES, key=lambda r: PRIORITIES.index(r.priority))
+        for columns in rule.finding(prof)
+    ]
+    return found[:SUGGESTED]
