@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
 
 from tamis.functions.exprs import is_missing
+from tamis.functions.neighbours import Search
 from tamis.functions.ordering import FillKernel, ordered_scan
 from tamis.operators.base import (
     FittedStep,
@@ -120,15 +119,14 @@ def _as_list(v):
 
 
 KNN_BLOCK = 8_192  # rows to fill, and donors, that are compared in one task at a time
-KNN_AT_ONCE = 128
 
 
 def _fit_knn(df: DataFrame, cols, k, p) -> FittedStep:
     """Mean of the k nearest donors by NaN-aware Euclidean distance over all numeric columns.
 
-    Donors are the fitted rows with the column present, at any number. Rows to fill and
-    donors are cut into blocks; each pair of blocks is compared in one task, which gives the k
-    nearest of its donors for each row, and these are merged by distance, then donor number.
+    Donors are the fitted rows with the column present, at any number; of equal ones only the
+    first k can be among the nearest, so the others leave before the search (see
+    ``functions/neighbours.py``). Ties go to the smaller donor number.
     Only the requested columns are filled. Integer columns become double.
     """
     feats = numeric_columns(df)
@@ -136,13 +134,16 @@ def _fit_knn(df: DataFrame, cols, k, p) -> FittedStep:
     if not targets or len(feats) < 2:
         return FittedStep("impute", p, {"skipped": True}, None)
     point = F.array(*[col(c).cast("double") for c in feats])
-    donors = reliable_checkpoint(df.select(F.monotonically_increasing_id().alias("donor"), point.alias("x")))
+    donors = df.select(F.monotonically_increasing_id().alias("donor"), point.alias("x"))
+    equal = Window.partitionBy("x").orderBy("donor")
+    donors = reliable_checkpoint(donors.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k).drop("n"))
 
     def transform(d: DataFrame) -> DataFrame:
         held = reliable_checkpoint(d.withColumn("__row", F.monotonically_increasing_id()))
         out = held
         for n, t in enumerate(targets):
-            values = knn_values(held.where(col(t).isNull()).select("__row", point.alias("x")), donors, feats.index(t), k)
+            search = Search(donors, feats.index(t), k, KNN_BLOCK)
+            values = search.mean(held.where(col(t).isNull()).select("__row", point.alias("x")), reliable_checkpoint)
             out = out.join(values.withColumnsRenamed({"__row": f"__r{n}", "value": f"__v{n}"}), F.col("__row") == F.col(f"__r{n}"), "left")
         new = {t: F.coalesce(col(t).cast("double"), F.col(f"__v{n}")).alias(t) for n, t in enumerate(targets)}
         return out.select(*[new.get(c, col(c)) for c in d.columns])
@@ -150,50 +151,6 @@ def _fit_knn(df: DataFrame, cols, k, p) -> FittedStep:
     return FittedStep("impute", p, {"features": feats}, transform)
 
 
-def knn_values(needy: DataFrame, donors: DataFrame, at: int, k: int) -> DataFrame:
-    """(__row, value): the mean of feature ``at`` over each row's k nearest donors."""
-    donors = donors.where(F.col("x")[at].isNotNull())
-    rows, many = needy.count(), donors.count()
-    across, down = max(1, -(-rows // KNN_BLOCK)), max(1, -(-many // KNN_BLOCK))
-
-    def blocks(key: str, own: str, n: int, other: str, m: int):
-        return [F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)]
-
-    left = needy.select("__row", "x", *blocks("__row", "a", across, "b", down))
-    right = donors.select("donor", "x", *blocks("donor", "b", down, "a", across))
-
-    def nearest(ask: pd.DataFrame, give: pd.DataFrame) -> pd.DataFrame:
-        if ask.empty or give.empty:
-            return pd.DataFrame({"__row": [], "donor": [], "d": [], "v": []}).astype({"__row": "int64", "donor": "int64"})
-        give = give.sort_values("donor")
-        ids, points = give["donor"].to_numpy(), np.array(give["x"].tolist(), float)
-        known = ~np.isnan(points)
-        filled, out = np.where(known, points, 0.0), []
-        for start in range(0, len(ask), KNN_AT_ONCE):
-            part = ask.iloc[start : start + KNN_AT_ONCE]
-            x = np.array(part["x"].tolist(), float)
-            own = ~np.isnan(x)
-            x = np.where(own, x, 0.0)
-            square, common = np.zeros((len(part), len(ids))), np.zeros((len(part), len(ids)))
-            for c in range(points.shape[1]):
-                both = own[:, c, None] & known[None, :, c]
-                square += np.where(both, (x[:, c, None] - filled[None, :, c]) ** 2, 0.0)
-                common += both
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.where(common > 0, square * (points.shape[1] / common), np.inf)
-            best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-            d = np.take_along_axis(distance, best, 1)
-            frame = {"__row": np.repeat(part["__row"].to_numpy(), best.shape[1]), "donor": ids[best].ravel(), "d": d.ravel(), "v": points[best, at].ravel()}
-            out.append(pd.DataFrame(frame))
-        found = pd.concat(out)
-        return found[np.isfinite(found["d"])]
-
-    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "__row long, donor long, d double, v double")
-    order = Window.partitionBy("__row").orderBy("d", "donor")
-    best = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    return best.groupBy("__row").agg(F.avg("v").alias("value"))
-
-
 def _fit_random_forest(df: DataFrame, cols, trees, p) -> FittedStep:
     """Regress each column on the other numeric columns (median-filled) with Spark ML."""
     from pyspark.ml.feature import VectorAssembler
