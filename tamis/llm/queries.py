@@ -43,25 +43,26 @@ def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> st
 
 
 def _op2_sql() -> str:
-    from tamis.llm.secret_scan import RULES
+    from tamis.llm.secret_scan import ALL_RULES, RULES
 
-    spans = " UNION ALL ".join(_spans_sql(r.kind, n, r.pattern, r.measured, r.least) for n, r in enumerate(RULES))
+    spans = " UNION ALL ".join(_spans_sql(r.kind, n, r.pattern, r.measured, r.least) for n, r in enumerate(ALL_RULES))
     return f"""
         WITH found AS (SELECT * FROM ({spans}) WHERE m >= least),
         by_doc AS (SELECT doc_id,
             count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
             count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) FILTER (rank < {len(RULES)}) AS base,
             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS spans FROM found GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-            sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id"""
 
 
 @query("op2_secret_scan", _op2_sql())
 def op2_secret_scan(spark, sf_dir):
-    from tamis.llm.secret_scan import digest, scan
+    from tamis.llm.secret_scan import ALL_RULES, digest, scan
 
-    return digest(scan(table(spark, sf_dir, "documents")))
+    return digest(scan(table(spark, sf_dir, "documents"), ALL_RULES), ALL_RULES)
 
 
 OP3_SQL = """

@@ -41,6 +41,18 @@ class Rule:
 
 
 RULES = (Rule("assign", ASSIGN, 2, 6), Rule("access", ACCESS, 0, 20), Rule("hex", HEX, 0, 24))
+# Published forms of private keys, tokens and keys of hosted services, and logins and keys in URLs.
+ADDED = (
+    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("git_token", r"(ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]+", 0, 40),
+    Rule("chat_token", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
+    Rule("payment_key", r"(sk|rk)_live_[A-Za-z0-9]+", 0, 24),
+    Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("url_login", r"[a-z]+://[^\x00-\x20/?#:@]+:([^\x00-\x20/?#:@]+)@", 1, 1),
+    Rule("url_key", r"[?&](access_token|api_key|apikey|client_secret|signature)=([A-Za-z0-9%_.~-]+)", 2, 8),
+)
+ALL_RULES = (*RULES, *ADDED)
 
 
 def literal_alternatives(pattern: str) -> list[list[str]]:

@@ -67,3 +67,47 @@ def test_extra_rule_and_empty_table(spark, docs_of):
     got = secret_scan.digest(secret_scan.scan(docs_of([(1, "x -----BEGIN RSA PRIVATE KEY----- y")]), rules), rules).first()
     assert got.spans == "pem:2:33" and got.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secret_scan.scan(docs_of([])).count() == 0
+
+
+ADDED = [
+    ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("git_token", r"(ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]+", 0, 40),
+    ("chat_token", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
+    ("payment_key", r"(sk|rk)_live_[A-Za-z0-9]+", 0, 24),
+    ("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    ("url_login", r"[a-z]+://[^\x00-\x20/?#:@]+:([^\x00-\x20/?#:@]+)@", 1, 1),
+    ("url_key", r"[?&](access_token|api_key|apikey|client_secret|signature)=([A-Za-z0-9%_.~-]+)", 2, 8),
+]
+PARTS = [
+    "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----", "ghp_" + "aB3" * 13, "ghp_short",
+    "github_pat_" + "x1_" * 12, "xoxb-123-abcdefghijk", "xoxq-123456789012", "sk_live_" + "9z" * 9, "rk_live_", "AIza" + "Sy_-0" * 8, "eyJhbGciOi.eyJzdWIiOiIx.abc-_def0123456",
+    "eyJ.eyJ.x", "https://user:pa55@host/x", "ftp://user@host", "http://h/p?api_key=abcdefgh&client_secret=12345678", "?signature=short",
+    "password=hunter22", "0f" * 14, "AKIA" + "Z" * 20, "word", "\u00e9\U0001f600", "eyJeyJ", "://:@", "token:",
+]
+
+
+def test_added_rules_match_brute_force_and_leave_the_base(spark, docs_of):
+    import random
+
+    rng = random.Random(5)
+    texts = [*TEXTS, *PARTS, *(rng.choice(["", " ", "\n", "="]).join(rng.choices(PARTS, k=rng.randrange(1, 12))) for _ in range(300))]
+    assert [(r.kind, r.pattern, r.measured, r.least) for r in secret_scan.ADDED] == ADDED
+    rules = secret_scan.ALL_RULES
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs_of(list(enumerate(texts))), rules), rules).collect()}
+    seen = set()
+    for n, text in enumerate(texts):
+        base = brute(text)
+        spans = []
+        for rank, (kind, pattern, group, least) in enumerate([*KINDS, *ADDED]):
+            found = [m for m in re.finditer(pattern, text or "", re.ASCII) if len(m.group(group)) >= least]
+            spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in found]
+            seen |= {kind} if found else set()
+        assert got[n].spans == ",".join(s[2] for s in sorted(spans))
+        assert got[n].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert len(seen) == len(rules)
+
+
+def test_every_added_rule_is_indexed():
+    for rule in secret_scan.ADDED:
+        assert secret_scan.trigram_query(rule.pattern), rule.kind
