@@ -106,3 +106,62 @@ def test_factorization_machine_learns_pairs():
 def test_statistics_of_odd_texts():
     for text in ("", " \n\t", "\x00", "é" * 10, "a", "\ud800", "| | |"):
         assert len(quality.statistics(text)) == len(quality.STATISTICS) and np.isfinite(quality.statistics(text)).all()
+
+
+def test_terms_that_tell_only_in_pairs(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    docs, labels = [], []
+    for d in range(4_000):
+        words = [rng.choice(vocab) for _ in range(rng.randrange(5, 120))]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words += ["insultus"] * one + ["groupius"] * other
+        rng.shuffle(words)
+        docs.append((d, " ".join(words)))
+        labels.append((d, int(one == other)))
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.classify(frame, marks).collect()
+    assert held_out_accuracy(rows, {d: (None, t) for d, t in labels}, 1) >= 0.95
+
+
+def test_chance_labels_add_few_pairs():
+    rng = np.random.default_rng(2)
+    places = [np.flatnonzero(rng.random(300) < 0.1).astype(np.int32) for _ in range(2_000)]
+    counts = np.bincount(np.concatenate(places), minlength=300).astype(float)
+    assert len(toxicity.telling_pairs(places, counts, rng.normal(size=2_000), 100)) <= 3
+    assert len(toxicity.telling_pairs(places[:0], counts[:0], np.zeros(0), 100)) == 0
+
+
+def test_sparse_rows_match_dense():
+    rng = np.random.default_rng(4)
+    places = [np.flatnonzero(rng.random(30) < share).astype(np.int32) for share in (0.3, 0.0, 0.9, 0.1, 0.0)]
+    x = toxicity.dense(places, np.arange(30), 30).astype(float)
+    rows, v, e = toxicity.Rows(places), rng.normal(size=(30, 3)), rng.normal(size=(5, 2))
+    assert np.allclose(rows.times(v), x @ v)
+    assert np.allclose(rows.sums(e), (x.T @ e)[rows.columns])
+
+
+def test_scores_of_a_fixed_machine_are_sums_over_pairs():
+    rng = np.random.default_rng(6)
+    w, v = rng.normal(size=9), rng.normal(size=(9, 4))
+    machine = toxicity.Machine(np.arange(9), 0.3, w, v)
+    for places in ([], [2], [0, 3, 4, 8], list(range(9))):
+        margin = 0.3 + sum(w[i] for i in places) + sum(v[i] @ v[j] for i in places for j in places if i < j)
+        assert machine.score(places) == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    from tamis.llm.labelled import reduced_sample
+
+    frame = spark.createDataFrame([(d % 3, f"word{d}") for d in range(90)], "doc_id long, text string").repartition(7)
+    marks = spark.createDataFrame([(d, d % 2) for d in range(3)], "doc_id long, toxic int")
+
+    def reduce(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[int(t[4:])] for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["hash", "y", "b"])
+
+    first = sorted(map(str, reduced_sample(frame, marks, "toxic", 3, 9, 10, reduce).collect()))
+    assert len(first) == 10 and first == sorted(map(str, reduced_sample(frame.coalesce(2), marks, "toxic", 3, 9, 10, reduce).collect()))
+    assert reduced_sample(frame, marks, "toxic", 3, 9, 90, reduce).count() == 90
