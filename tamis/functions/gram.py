@@ -1,9 +1,10 @@
 """Sums over pairs of columns, in one pass: products of a block of rows with itself.
 
-Each task turns its Arrow batches into matrices and adds up four products: rows in which both
-columns have a value, sums and sums of squares of one over the rows of the other, and sums of
-products. It emits one row a pair, and pairs are added up by a grouped aggregation. The
-plan holds one expression a column, not one a pair.
+The columns go to Python as one array a row, whose Arrow batches are matrices as they stand. Each
+task adds up four products: rows in which both columns have a value, sums and sums of squares of
+one over the rows of the other, and sums of products; where a batch lacks no value, the last
+product and the column sums give the others. It emits one row a pair, and pairs are added up by
+a grouped aggregation. The plan holds one expression a column, not one a pair.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ def block_sums(x: np.ndarray) -> np.ndarray:
 
     Missing values are NaN. A column's infinite values make all sums of its pairs NaN.
     """
+    if math.isfinite(x.sum()):  # neither missing nor infinite values
+        a, ab = np.tile(x.sum(0)[:, None], x.shape[1]), x.T @ x
+        aa = np.tile(ab.diagonal()[:, None], x.shape[1])
+        return np.stack((np.full(ab.shape, float(len(x))), a, a.T, aa, aa.T, ab))
     there = ~np.isnan(x)
     endless = np.isinf(x)
     held = np.where(there & ~endless, x, 0.0)
@@ -48,16 +53,15 @@ def pair_sums(df: DataFrame, columns: list[Column], pairs: list[tuple[int, int]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(SUMS), d, d))
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            total += block_sums(x)
+            total += block_sums(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
         found = [pa.array(i), pa.array(j), *(pa.array(s) for s in total[:, i, j])]
         yield pa.RecordBatch.from_arrays(found, ["i", "j", *SUMS])
 
-    narrow = df.select(*[c.cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    parts = narrow.mapInArrow(run, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
-    rows = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS]).collect()  # one row a pair asked for
+    rows = df.select(F.array(*[c.cast("double") for c in columns]).alias("x"))
+    parts = rows.mapInArrow(run, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
+    added = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS]).collect()  # one row a pair asked for
     nothing = (0.0,) * len(SUMS)
-    found = {(r["i"], r["j"]): tuple(r[s] for s in SUMS) for r in rows}
+    found = {(r["i"], r["j"]): tuple(r[s] for s in SUMS) for r in added}
     return {p: found.get(p, nothing) for p in pairs}
 
 

@@ -73,6 +73,29 @@ def test_columns_without_spread_or_end(spark):
     assert gram.correlations(df.limit(0), [F.col("a"), F.col("b")])[0, 1] == (None, 0)
 
 
+class Counted(np.ndarray):
+    """Counts the matrix products made with it."""
+
+    products = 0
+
+    def __matmul__(self, other):
+        Counted.products += 1
+        return np.asarray(self) @ np.asarray(other)
+
+    def __rmatmul__(self, other):
+        Counted.products += 1
+        return np.asarray(other) @ np.asarray(self)
+
+
+def test_whole_blocks_take_one_product(monkeypatch):
+    monkeypatch.setattr(Counted, "products", 0)
+    x = np.random.default_rng(5).normal(size=(500, 7))
+    whole = gram.block_sums(x.view(Counted))
+    assert Counted.products == 1
+    gaps = gram.block_sums(np.vstack((x, np.full((1, 7), np.nan))))  # a row of gaps adds nothing
+    assert np.allclose(whole, gaps, rtol=1e-12, atol=1e-12)
+
+
 def tau(x, y):
     keep = ~(np.isnan(x) | np.isnan(y))
     x, y = x[keep], y[keep]
