@@ -118,7 +118,7 @@ def _as_list(v):
     return [v] if isinstance(v, str) else list(v)
 
 
-KNN_BLOCK = 8_192  # rows to fill, and donors, that are compared in one task at a time
+KNN_BLOCK = 32_768  # rows to fill, and donors, that are compared in one task at a time
 
 
 def _fit_knn(df: DataFrame, cols, k, p) -> FittedStep:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,62 @@ def test_no_donors_and_no_rows(spark):
     some = frame(spark, [(1.0, 2.0)], "donor")
     assert neighbours.Search(some, 1, 3, 16).mean(asked.limit(0), reliable_checkpoint).count() == 0
     assert [r.value for r in neighbours.Search(some, 1, 3, 16).mean(asked, reliable_checkpoint).collect()] == [2.0]
+
+
+def block(rng, n, m, gaps, high):
+    """Donors with many equal points and a column with a frequent greatest value, and rows that lack the last coordinate."""
+    points = rng.integers(0, high, (n + m, 4)).astype(float)
+    points[:, 0] = np.where(rng.random(n + m) < 0.7, high, points[:, 0])
+    points[rng.random(points.shape) < gaps] = NAN
+    points[:: n // 20, 1] = np.inf
+    points[:n, 3], points[n:, 3] = rng.random(n), NAN
+    names = [f"x{c}" for c in range(4)]
+    give, ask = (pd.DataFrame(p, columns=names) for p in (points[:n], points[n:]))
+    return ask.assign(__row=range(m), reach=np.inf), give.assign(donor=range(n)).sample(frac=1.0, random_state=1), names
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.3, 0.9])
+@pytest.mark.parametrize("high", [2, 1_000])
+def test_block_matches_brute_force(monkeypatch, gaps, high):
+    for name, value in (("LEAF", 8), ("PAIRS", 100), ("AT_ONCE", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    ask, give, names = block(np.random.default_rng(high), 400, 30, gaps, high)
+    ask["reach"] = np.where(ask["__row"] % 2 == 0, np.inf, high)
+    got = neighbours.compare(ask, give, names, 3, 5)
+    points = give.sort_values("donor")[names].to_numpy()
+    for row, x, reach in zip(ask["__row"], ask[names].to_numpy(), ask["reach"], strict=True):
+        both = ~np.isnan(points) & ~np.isnan(x)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(both, (points - x) ** 2, 0.0).sum(1) * (4 / both.sum(1))
+        want = [n for n in np.argsort(d, kind="stable") if d[n] <= reach and np.isfinite(d[n])][:5]
+        assert got.loc[got["__row"] == row, "donor"].tolist() == want
+
+
+def test_pairs_in_a_block_grow_far_slower_than_rows_times_donors(monkeypatch):
+    counted = []
+    plain = neighbours.Leaves.distance
+    monkeypatch.setattr(neighbours.Leaves, "distance", lambda self, x, row, donor: counted.append(len(row)) or plain(self, x, row, donor))
+
+    def pairs(n):
+        counted.clear()
+        ask, give, names = block(np.random.default_rng(n), n, n, 0.0, 10_000)
+        neighbours.compare(ask, give, names, 3, 5)
+        return sum(counted)
+
+    small, large = pairs(1_000), pairs(8_000)
+    assert large < 12 * small  # 64 times as many pairs exist
+    assert large < 8_000 * 8_000 / 10
+
+
+def test_cells_within_reach_are_found_from_the_top():
+    rng = np.random.default_rng(6)
+    points = rng.random((600, 3))
+    points[rng.random(points.shape) < 0.2] = NAN
+    cells = neighbours.Tree(points, 64, 2).cell(points)
+    order = np.argsort(cells, kind="stable")
+    known = ~np.isnan(points[order])
+    boxes = neighbours.Boxes.over(cells[order], points[order], points[order], known, known)
+    x, reach = points[:50], rng.random(50) / 10
+    row, box = neighbours.within(boxes.levels(), x, reach)
+    found = sorted(zip(row.tolist(), box.tolist(), strict=True))
+    assert found == [(n, int(b)) for n in range(50) for b in np.flatnonzero(boxes.bound(x[n]) <= reach[n])]
